@@ -45,10 +45,6 @@ def annotated(spark: SparkSession, sf_dir: str, scope: str = "flagged") -> DataF
     return messages.annotate_messages(flagged_messages(spark, sf_dir), scope=scope)
 
 
-def hit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return annotated(spark, sf_dir).filter(F.size("matches") > 0)
-
-
 def dataset(spark: SparkSession, sf_dir: str, scope: str = "flagged") -> DataFrame:
     return datasets.dataset_columns(datasets.annotated_texts(annotated(spark, sf_dir, scope), scope=scope))
 
@@ -198,17 +194,16 @@ def document_rule_hits(spark, sf_dir):
     docs = views.read_table(spark, sf_dir, "documents").select("doc_id", F.concat_ws(
         "", F.col("text"), F.lit(" "), views._pick(views.DOUBLE, F.col("doc_id") % 4), F.lit(". "),
         views._pick(views.SINGLE, F.col("doc_id") % 12)).alias("t"))
-    hits = rules.with_matches(docs, "t").select("doc_id", "t", F.explode("matches").alias("h"))
-    return hits.select("doc_id", "h.rule_id", "h.category", "h.severity", "h.text",
-                       (F.expr("instr(t, h.text)") - 1).alias("first_at"))
+    hits = rules.explode_hits(rules.with_matches(docs, "t"), "doc_id", "t").drop("hit_no")
+    return hits.withColumn("first_at", F.expr("instr(t, text)") - 1).drop("t")
 
 
 @query(o.sql(o.CHAT_HITS, """SELECT conv_id, conv_idx, rule_id, text, CAST(strpos(norm, text) - 1 AS INTEGER) AS "start",
 CAST(strpos(norm, text) - 1 + length(text) AS INTEGER) AS "end" FROM live JOIN text_hits USING (norm)"""))
 def rule_spans(spark, sf_dir):
     rows = text.normalise(views.conversation_messages(spark, sf_dir))
-    spans = rules.with_matches(rows, "norm", spans=True).select("conv_id", "conv_idx", F.explode("matches").alias("h"))
-    return spans.select("conv_id", "conv_idx", "h.rule_id", "h.text", "h.start", "h.end")
+    spans = rules.explode_hits(rules.with_matches(rows, "norm", spans=True), "conv_id", "conv_idx")
+    return spans.select("conv_id", "conv_idx", "rule_id", "text", "start", "end")
 
 
 @query(o.sql([*o.CHAT_HITS, *o.scored_ctes("flagged")],
@@ -231,7 +226,7 @@ CUSTOM = Catalog((
              "SELECT conv_id, conv_idx, rule_id, category, severity, text FROM msg JOIN th ON t = text_raw"))
 def custom_catalog_hits(spark, sf_dir):
     rows = rules.with_matches(views.conversation_messages(spark, sf_dir), "text_raw", CUSTOM)
-    return rows.select("conv_id", "conv_idx", F.explode("matches").alias("h")).select("conv_id", "conv_idx", "h.*")
+    return rules.explode_hits(rows, "conv_id", "conv_idx").drop("hit_no")
 
 
 @query(o.sql([*o.CHAT_HITS, *o.scored_ctes("flagged")],
@@ -239,7 +234,8 @@ def custom_catalog_hits(spark, sf_dir):
              (SELECT conv_id, conv_idx, category, severity, min(rule_id) AS r FROM hits GROUP BY ALL) GROUP BY 1, 2"""))
 def rule_tags(spark, sf_dir):
     tags = F.transform(rules.rule_tags(), lambda t: F.concat_ws(":", t["category"], t["severity"].cast("string")))
-    return hit_rows(spark, sf_dir).select("conv_id", "conv_idx", F.array_join(tags, " ").alias("tags"))
+    rows = annotated(spark, sf_dir).select("conv_id", "conv_idx", F.explode_outer(F.array(F.array_join(tags, " "))).alias("tags"))
+    return rows.filter("tags <> ''")
 
 
 # --- conversation scores -------------------------------------------------------
@@ -249,19 +245,19 @@ SCORED = [*o.CHAT_HITS, *o.scored_ctes("flagged")]
 
 @query(o.sql(SCORED, "SELECT * FROM catn"))
 def category_message_counts(spark, sf_dir):
-    return conversations.category_counts(hit_rows(spark, sf_dir))
+    return conversations.category_counts(annotated(spark, sf_dir))
 
 
 @query(o.sql([*SCORED, o.WEIGHTS], "SELECT conv_id, category, msg_count, coalesce(weight, 1.0) AS weight FROM catn LEFT JOIN weights USING (category)"))
 def weighted_category_counts(spark, sf_dir):
-    counts = conversations.category_counts(hit_rows(spark, sf_dir))
+    counts = conversations.category_counts(annotated(spark, sf_dir))
     return conversations.weighted_counts(counts, DEFAULT.weights_df(spark))
 
 
 @query(o.sql([*SCORED, o.PAIRS], """SELECT a.conv_id, cat_a, cat_b, bonus FROM pairs JOIN catn a ON a.category = cat_a
 JOIN catn b ON b.category = cat_b AND a.conv_id = b.conv_id"""))
 def active_pairs(spark, sf_dir):
-    counts = conversations.category_counts(hit_rows(spark, sf_dir))
+    counts = conversations.category_counts(annotated(spark, sf_dir))
     return conversations.active_pairs(counts, DEFAULT.pairs_df(spark))
 
 
@@ -714,8 +710,8 @@ def metrics_sink(spark, sf_dir):
 def feed(spark: SparkSession, sf_dir: str, reset=None) -> DataFrame:
     """The events as a stream of contact messages."""
     streams.prepare_session(spark)
-    path = f"{sf_dir}/events.parquet"
-    source = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    schema = views.read_table(spark, sf_dir, "events").schema
+    source = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")
     messages_ = views.contact_messages(source.withColumn("ts", F.col("ts").cast("timestamp")))
     return messages_.withColumn("reset", F.lit(False) if reset is None else reset)
 

@@ -1,8 +1,8 @@
 """Rule matching as column expressions: every occurrence of every pattern, in catalog order.
 
 A regex is tried on a message only when one of the words its match must contain is there; one
-pass finds all those words, so ordinary messages cost that pass alone. Rows with characters outside ASCII skip that
-test, because case folding can differ from lower-casing there.
+pass finds all those words, so ordinary messages cost that pass alone. Rows with characters outside
+ASCII count as holding every word, because case folding can differ from lower-casing there.
 """
 
 from __future__ import annotations
@@ -29,36 +29,43 @@ def word_regex(words) -> str:
     return f"(?=({'|'.join(groups)}))"
 
 
-def _hits_sql(rule_id: int, rule: tuple[str, int, str], text: str, spans: bool) -> str:
-    category, severity, pattern = rule
-    regex = quote(REGEX_FLAGS + pattern)
-    found = f"regexp_extract_all({text}, {regex}, 0)"
-    head = f"'rule_id', {rule_id}, 'category', {quote(category)}, 'severity', {severity}"
-    if not spans:
-        return f"transform({found}, h -> named_struct({head}, 'text', h))"
-    # A hit starts after the gaps before it and the hits before it.
-    gaps = f"split({text}, {regex}, -1)"
-    length = "aggregate({}, 0, (n, s) -> n + char_length(s))"
-    start = length.format(f"slice({gaps}, 1, i + 1)") + " + " + length.format(f"slice({found}, 1, i)")
-    return (
-        f"transform({found}, (h, i) -> named_struct({head}, 'start', {start}, "
-        f"'end', {start} + char_length(h), 'text', h))"
-    )
-
-
-def matches_sql(text: str, words: str, wide: str, catalog: Catalog, spans: bool, gate: bool) -> str:
-    empty = f"CAST(array() AS ARRAY<{_SPAN_HIT if spans else _HIT}>)"
-    parts = []
-    for i, rule in enumerate(catalog.rules):
-        hits = _hits_sql(i, rule, text, spans)
-        if gate and catalog.anchors[i]:
-            seen = " OR ".join(f"array_contains({words}, {quote(w)})" for w in catalog.anchors[i])
-            hits = f"CASE WHEN {wide} OR {seen} THEN {hits} ELSE {empty} END"
-        parts.append(hits)
-    every = f"concat({', '.join(parts)})"
+def matches_sql(text: str, words: str, catalog: Catalog, spans: bool, gate: bool) -> str:
+    """Per rule the list of its hits, then one pass that labels and joins the lists."""
+    hit = _SPAN_HIT if spans else _HIT
+
+    def per_rule(call: str) -> str:
+        lists = []
+        for (_, _, pattern), anchor in zip(catalog.rules, catalog.anchors):
+            found = call.format(quote(REGEX_FLAGS + pattern))
+            if gate and anchor:
+                found = f"CASE WHEN {_seen(anchor, words)} THEN {found} END"
+            lists.append(found)
+        return f"array({', '.join(lists)})"
+
+    found = per_rule(f"regexp_extract_all({text}, {{}}, 0)")
+    category = f"element_at(array({', '.join(quote(c) for c, _, _ in catalog.rules)}), r + 1)"
+    severity = f"element_at(array({', '.join(str(s) for _, s, _ in catalog.rules)}), r + 1)"
+    head = f"'rule_id', r, 'category', {category}, 'severity', {severity}"
+    if spans:
+        # A hit starts after the gaps before it and the hits before it.
+        gaps = f"element_at({per_rule(f'split({text}, {{}}, -1)')}, r + 1)"
+        length = "aggregate({}, 0, (n, s) -> n + char_length(s))"
+        start = length.format(f"slice({gaps}, 1, i + 1)") + " + " + length.format("slice(hs, 1, i)")
+        body = f"named_struct({head}, 'start', {start}, 'end', {start} + char_length(h), 'text', h)"
+    else:
+        body = f"named_struct({head}, 'text', h)"
+    empty = f"CAST(array() AS ARRAY<{hit}>)"
+    labelled = f"transform({found}, (hs, r) -> coalesce(transform(hs, (h, i) -> {body}), {empty}))"
+    every = f"flatten({labelled})"
     if not gate or not all(catalog.anchors):
         return every
-    return f"CASE WHEN {wide} OR size({words}) > 0 THEN {every} ELSE {empty} END"
+    return f"CASE WHEN size({words}) > 0 THEN {every} ELSE {empty} END"
+
+
+def _seen(anchor: tuple[str, ...], words: str) -> str:
+    if len(anchor) == 1:
+        return f"array_contains({words}, {quote(anchor[0])})"
+    return f"arrays_overlap({words}, array({', '.join(map(quote, anchor))}))"
 
 
 def with_matches(
@@ -67,15 +74,15 @@ def with_matches(
 ) -> DataFrame:
     """Add `matches`, the hits of every rule on `text`; rows failing `when` get an empty list."""
     allowed = F.lit(True) if when is None else F.coalesce(when, F.lit(False))
-    known = {w for anchor in catalog.anchors for w in anchor or ()}
+    known = sorted({w for anchor in catalog.anchors for w in anchor or ()})
     words = F.regexp_extract_all(F.lower("_text"), F.lit(word_regex(known)), F.lit(1)) if known else F.array()
+    wide = F.octet_length("_text") != F.char_length("_text")
     staged = (
         df.withColumn("_text", F.when(allowed, F.col(text)).otherwise(F.lit("")))
-        .withColumn("_words", words)
-        .withColumn("_wide", F.octet_length("_text") != F.char_length("_text"))
+        .withColumn("_words", F.when(wide, F.array(*map(F.lit, known))).otherwise(words))
     )
-    sql = matches_sql("_text", "_words", "_wide", catalog, spans, gate)
-    return staged.withColumn(out, F.coalesce(F.expr(sql), F.array())).drop("_text", "_words", "_wide")
+    matches = F.expr(matches_sql("_text", "_words", catalog, spans, gate))
+    return staged.withColumn(out, F.coalesce(matches, F.array())).drop("_text", "_words")
 
 
 def max_severity(matches: str = "matches") -> Column:
@@ -130,6 +137,7 @@ def with_summary(df: DataFrame, catalog: Catalog = DEFAULT, matches: str = "matc
 
 def explode_hits(df: DataFrame, *keys: str, matches: str = "matches") -> DataFrame:
     """One row per hit, numbered per rule within its message."""
-    hit = df.select(*keys, F.posexplode(matches).alias("_pos", "_hit"), F.col(matches).alias("_all"))
-    first = F.array_position(F.transform("_all", lambda m: m["rule_id"]), F.col("_hit.rule_id")) - 1
-    return hit.select(*keys, (F.col("_pos") - first).cast("int").alias("hit_no"), "_hit.*")
+    # The outer form keeps Spark from testing the list, and so matching, a second time below.
+    hit = df.select(*keys, F.posexplode_outer(matches).alias("_pos", "_hit"), F.col(f"{matches}.rule_id").alias("_rules"))
+    first = F.array_position("_rules", F.col("_hit.rule_id")) - 1
+    return hit.filter(F.col("_hit").isNotNull()).select(*keys, (F.col("_pos") - first).cast("int").alias("hit_no"), "_hit.*")

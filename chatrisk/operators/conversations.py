@@ -19,8 +19,8 @@ COMPONENTS = ["base", "cooccur", "escal", "arc", "dominance", "density", "consec
 
 def category_counts(messages: DataFrame) -> DataFrame:
     """Messages that contain a category, per conversation and category."""
-    cats = messages.select(KEY, F.explode(F.array_distinct(F.col("matches.category"))).alias("category"))
-    return cats.groupBy(KEY, "category").agg(F.count(F.lit(1)).alias("msg_count"))
+    cats = messages.select(KEY, F.explode_outer(F.array_distinct(F.col("matches.category"))).alias("category"))
+    return cats.filter("category IS NOT NULL").groupBy(KEY, "category").agg(F.count(F.lit(1)).alias("msg_count"))
 
 
 def weighted_counts(counts: DataFrame, weights: DataFrame) -> DataFrame:
