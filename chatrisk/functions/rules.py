@@ -79,7 +79,7 @@ def with_matches(
     wide = F.octet_length("_text") != F.char_length("_text")
     staged = (
         df.withColumn("_text", F.when(allowed, F.col(text)).otherwise(F.lit("")))
-        .withColumn("_words", F.when(wide, F.array(*map(F.lit, known))).otherwise(words))
+        .withColumn("_words", F.when(wide, F.expr(f"array({', '.join(map(quote, known))})")).otherwise(words))
     )
     matches = F.expr(matches_sql("_text", "_words", catalog, spans, gate))
     return staged.withColumn(out, F.coalesce(matches, F.array())).drop("_text", "_words")
@@ -101,21 +101,17 @@ def categories(matches: str = "matches") -> Column:
 
 def category_mask(catalog: Catalog = DEFAULT, matches: str = "matches") -> Column:
     """One bit per category, in catalog order; 0 without a hit."""
-    names = F.col(f"{matches}.category")
-    mask = F.lit(0).cast("bigint")
-    for category in catalog.categories:
-        bit = F.lit(catalog.bit(category)).cast("bigint")
-        mask = mask + F.when(F.array_contains(names, category), bit).otherwise(F.lit(0).cast("bigint"))
-    return F.when(F.size(matches) == 0, F.lit(0).cast("bigint")).otherwise(mask)
+    names = f"array({', '.join(map(quote, catalog.categories))})"
+    return F.expr(
+        f"aggregate({matches}, 0L, (mask, m) -> mask | shiftleft(1L, CAST(array_position({names}, m.category) - 1 AS INT)))")
 
 
-def mask_categories(mask: Column, catalog: Catalog = DEFAULT) -> Column:
+def mask_categories(mask: str, catalog: Catalog = DEFAULT) -> Column:
     """Sorted category names of a mask."""
-    items = [
-        F.when(mask.bitwiseAND(F.lit(catalog.bit(c)).cast("bigint")) != 0, F.lit(c))
-        for c in sorted(catalog.categories)
-    ]
-    return F.array_compact(F.array(*items))
+    names = sorted(catalog.categories)
+    bits = ", ".join(f"{catalog.bit(c)}L" for c in names)
+    return F.expr(
+        f"filter(array({', '.join(map(quote, names))}), (c, i) -> ({mask} & element_at(array({bits}), i + 1)) != 0)")
 
 
 def rule_tags(matches: str = "matches") -> Column:

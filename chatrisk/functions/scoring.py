@@ -1,14 +1,14 @@
-"""The parts of the risk score as column expressions over counts, masks and message ordinals.
+"""The parts of the risk score as SQL expressions over counts, masks and message ordinals.
 
 An ordinal numbers the scored messages (flagged authors, external senders) of one conversation or
 window from 1. `first_k`/`last_k` are the lowest and highest ordinal with severity k or more; with
 them "the early half reaches severity k" is `first_k <= half`, so no list of messages is needed.
+The catalog's two dozen categories make these expressions long, hence text and not column objects.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from collections.abc import Callable
 
 from chatrisk import config
 from chatrisk.functions.catalog import Catalog
@@ -16,64 +16,51 @@ from chatrisk.functions.catalog import Catalog
 SEVERITIES = (1, 2, 3)
 
 
-def big(value: int) -> Column:
-    return F.lit(value).cast("bigint")
+def has_any(mask: str, wanted: int) -> str:
+    return f"({mask} & {wanted}L) != 0"
 
 
-def has_any(mask: Column, wanted: int) -> Column:
-    return mask.bitwiseAND(big(wanted)) != 0
-
-
-def base_score(count_of, catalog: Catalog) -> Column:
+def base_score(count_of: Callable[[str], str], catalog: Catalog) -> str:
     """Sum of weight times count, each category's count capped."""
-    total = F.lit(0.0)
-    for category in catalog.categories:
-        capped = F.least(count_of(category), F.lit(config.COUNT_CAP)).cast("double")
-        total = total + F.lit(float(catalog.weight(category))) * capped
-    return total
+    return " + ".join(
+        f"{catalog.weight(c)}D * least({count_of(c)}, {config.COUNT_CAP})" for c in catalog.categories)
 
 
-def pair_score(mask: Column, catalog: Catalog) -> Column:
+def pair_score(mask: str, catalog: Catalog) -> str:
     """Sum of the bonuses of all pairs whose two categories are both present."""
-    total = F.lit(0.0)
-    for a, b, bonus in catalog.pairs:
-        if a in catalog.categories and b in catalog.categories:
-            both = big(catalog.mask([a, b]))
-            total = total + F.when(mask.bitwiseAND(both) == both, F.lit(float(bonus))).otherwise(F.lit(0.0))
-    return total
+    terms = [
+        f"IF(({mask} & {both}L) = {both}L, {bonus}D, 0D)"
+        for both, bonus in ((catalog.mask([a, b]), bonus) for a, b, bonus in catalog.pairs
+                            if a in catalog.categories and b in catalog.categories)
+    ]
+    return " + ".join(["0D", *terms])
 
 
-def _highest(reached) -> Column:
+def _highest(reached: Callable[[int], str]) -> str:
     """Highest severity k for which `reached(k)` holds, else 0."""
-    level = F.lit(0)
-    for k in SEVERITIES:
-        level = F.when(F.coalesce(reached(k), F.lit(False)), F.lit(k)).otherwise(level)
-    return level
+    whens = " ".join(f"WHEN {reached(k)} THEN {k}" for k in reversed(SEVERITIES))
+    return f"(CASE {whens} ELSE 0 END)"
 
 
-def escalation(n: Column, first, last) -> Column:
+def escalation(n: str, first: Callable[[int], str], last: Callable[[int], str]) -> str:
     """Bonus when the later half of n messages is more severe than the earlier half."""
-    half = F.floor(n / 2)
-    early = _highest(lambda k: first(k) <= half)
-    late = _highest(lambda k: last(k) > half)
-    jump = F.when((early <= 1) & (late == 3), F.lit(config.ESCALATION_JUMP_BONUS)).otherwise(F.lit(0.0))
-    rises = (n >= config.ESCALATION_MIN_MESSAGES) & (late > early)
-    return F.when(rises, F.lit(config.ESCALATION_BONUS) + jump).otherwise(F.lit(0.0))
+    early = _highest(lambda k: f"{first(k)} <= {n} div 2")
+    late = _highest(lambda k: f"{last(k)} > {n} div 2")
+    return (
+        f"CASE WHEN {n} >= {config.ESCALATION_MIN_MESSAGES} AND {late} > {early} THEN {config.ESCALATION_BONUS}D + "
+        f"IF({early} <= 1 AND {late} = 3, {config.ESCALATION_JUMP_BONUS}D, 0D) ELSE 0D END"
+    )
 
 
-def stage_arc(n: Column, first_trust: Column, last_solicit: Column, mask: Column, catalog: Catalog) -> Column:
+def stage_arc(n: str, first_trust: str, last_solicit: str, mask: str, catalog: Catalog) -> str:
     """Bonus for trust building in the first third and solicitation in the last third."""
-    third = F.greatest(F.floor(n / 3), F.lit(1))
-    staged = F.coalesce((first_trust <= third) & (last_solicit > n - third), F.lit(False))
-    control = F.when(has_any(mask, catalog.mask(catalog.control)), F.lit(config.ARC_CONTROL_BONUS)).otherwise(F.lit(0.0))
-    return F.when((n >= config.ARC_MIN_MESSAGES) & staged, F.lit(config.ARC_BONUS) + control).otherwise(F.lit(0.0))
-
-
-def level_of(score: Column) -> Column:
+    third = f"greatest({n} div 3, 1)"
     return (
-        F.when(score >= config.RISK_HIGH, "HIGH")
-        .when(score >= config.RISK_MEDIUM, "MEDIUM")
-        .otherwise("LOW")
+        f"CASE WHEN {n} >= {config.ARC_MIN_MESSAGES} AND {first_trust} <= {third} AND {last_solicit} > {n} - {third} "
+        f"THEN {config.ARC_BONUS}D + IF({has_any(mask, catalog.mask(catalog.control))}, {config.ARC_CONTROL_BONUS}D, 0D) "
+        f"ELSE 0D END"
     )
 
 
+def level_of(score: str) -> str:
+    return f"CASE WHEN {score} >= {config.RISK_HIGH}D THEN 'HIGH' WHEN {score} >= {config.RISK_MEDIUM}D THEN 'MEDIUM' ELSE 'LOW' END"

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatrisk import config
+from chatrisk.functions.sqltext import quote
 
 UNICODE = "(?U)"
 
@@ -73,7 +74,7 @@ def expand_slang(text: Column, slang=None) -> Column:
     """Every slang word replaced in one pass over the text between and at the words."""
     closed = closed_slang(slang)
     regex = F.lit(_slang_regex(closed))
-    table = F.create_map(*[F.lit(x) for pair in closed.items() for x in pair])
+    table = F.expr(f"map({', '.join(quote(x) for pair in closed.items() for x in pair)})")
     words = F.regexp_extract_all(text, regex, F.lit(0))
     expanded = F.array_append(F.transform(words, lambda w: F.element_at(table, w)), F.lit(""))
     gaps = F.split(text, _slang_regex(closed), -1)

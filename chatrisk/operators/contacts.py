@@ -45,17 +45,17 @@ class PackedCounts:
         self.catalog = catalog
         self.words = -(-len(self.categories) // self.per_word)
 
-    def contribution(self, mask: Column, word: int) -> Column:
+    def contribution(self, mask: str, word: int) -> str:
         """What one message adds to a word."""
-        total = scoring.big(0)
-        for slot, category in enumerate(self._slots(word)):
-            field = scoring.big(1 << (slot * self.bits))
-            total = total + F.when(scoring.has_any(mask, self.catalog.bit(category)), field).otherwise(scoring.big(0))
-        return F.when(mask == 0, scoring.big(0)).otherwise(total)
+        fields = [
+            f"IF({scoring.has_any(mask, self.catalog.bit(category))}, {1 << (slot * self.bits)}L, 0L)"
+            for slot, category in enumerate(self._slots(word))
+        ]
+        return f"IF({mask} = 0, 0L, {' + '.join(fields)})"
 
-    def count_of(self, category: str) -> Column:
+    def count_of(self, category: str) -> str:
         word, slot = divmod(self.categories.index(category), self.per_word)
-        return F.shiftright(F.col(f"_packed{word}"), slot * self.bits).bitwiseAND(scoring.big((1 << self.bits) - 1))
+        return f"(shiftright(_packed{word}, {slot * self.bits}) & {(1 << self.bits) - 1}L)"
 
     def _slots(self, word: int) -> tuple[str, ...]:
         return self.categories[word * self.per_word:(word + 1) * self.per_word]
@@ -92,67 +92,49 @@ def _window_figures(
 ) -> DataFrame:
     by = Window.partitionBy(*keys).orderBy(*order)
     frame = by.rowsBetween(-(params.size - 1), 0)
+    sofar = by.rowsBetween(Window.unboundedPreceding, 0)
     packed = PackedCounts(catalog, params.size)
-    ext = F.col("sender") == EXTERNAL
-    severity, mask = F.col("_sev"), F.col("_mask")
-
-    staged = messages.withColumns({
-        "_ext": ext,
-        "_sev": F.when(ext, F.col("max_severity")).otherwise(0),
-        "_mask": F.when(ext, F.col("cat_mask")).otherwise(scoring.big(0)),
-    })
+    in_frame = lambda sql: F.expr(sql).over(frame)
+    before = lambda sql: F.expr(sql).over(by)
+
+    staged = messages.withColumn("_ext", F.col("sender") == EXTERNAL).withColumns({
+        "_sev": F.expr("IF(_ext, max_severity, 0)"),
+        "_mask": F.expr("IF(_ext, cat_mask, 0L)"),
+        "_high": F.expr(f"int(_ext AND ml_prob >= {params.theta_high}D)"),
+        "_risky": F.col("_ext") & is_risky(params),
+    }).withColumns({f"_add{w}": F.expr(packed.contribution("_mask", w)) for w in range(packed.words)})
     staged = staged.withColumns({
-        f"_add{w}": packed.contribution(mask, w) for w in range(packed.words)
-    })
-
-    def run_of(length: int) -> Column:
-        """The last `length` messages are all external."""
-        return reduce(
-            Column.__and__, [F.coalesce(F.lag("_ext", i).over(by), F.lit(False)) for i in range(1, length)], F.col("_ext")
-        )
+        "_ordinal": F.expr("sum(int(_ext))").over(sofar),
+        "_ext1": before("lag(_ext, 1, false)"), "_ext2": before("lag(_ext, 2, false)"), "_ext3": before("lag(_ext, 3, false)"),
+    }).withColumn("_run", F.expr("_ext AND _ext1 AND _ext2"))  # the last three messages are external
 
+    trust = scoring.has_any("_mask", catalog.mask(catalog.trust))
+    solicit = scoring.has_any("_mask", catalog.mask(catalog.solicit))
+    inner = by.rowsBetween(-(params.size - 1 - config.RUN_LENGTH), 0)
     staged = staged.withColumns({
-        "_ordinal": F.sum(F.col("_ext").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)),
-        "_run": run_of(config.RUN_LENGTH),
-        "_before": F.coalesce(F.lag("_ext", config.RUN_LENGTH).over(by), F.lit(False)),
-    })
-    ordinal = F.col("_ordinal")
-    figures = {
-        "window_len": F.count(F.lit(1)).over(frame),
-        "n_external": F.sum(F.col("_ext").cast("int")).over(frame),
-        "high_risk_count": F.sum((F.col("_ext") & (F.col("ml_prob") >= params.theta_high)).cast("int")).over(frame),
-        "risky_count": F.sum((F.col("_ext") & is_risky(params)).cast("int")).over(frame),
-        "window_mask": F.bit_or(mask).over(frame),
-        "_trust": F.min(F.when(scoring.has_any(mask, catalog.mask(catalog.trust)), ordinal)).over(frame),
-        "_solicit": F.max(F.when(scoring.has_any(mask, catalog.mask(catalog.solicit)), ordinal)).over(frame),
+        "window_len": in_frame("count(1)"),
+        "n_external": in_frame("sum(int(_ext))"),
+        "high_risk_count": in_frame("sum(_high)"),
+        "risky_count": in_frame("sum(int(_risky))"),
+        "window_mask": in_frame("bit_or(_mask)"),
+        "_trust": in_frame(f"min(IF({trust}, _ordinal, NULL))"),
+        "_solicit": in_frame(f"max(IF({solicit}, _ordinal, NULL))"),
         # Runs that reach their length inside the frame; one cut by the frame start reaches it
         # at the frame's third message.
-        "_inner_runs": F.coalesce(
-            F.sum((F.col("_run") & ~F.col("_before")).cast("int")).over(
-                by.rowsBetween(-(params.size - 1 - config.RUN_LENGTH), 0)
-            ), F.lit(0)),
-        "_cut_run": F.coalesce(F.lag("_run", params.size - config.RUN_LENGTH).over(by), F.lit(False)).cast("int"),
-    }
-    for k in scoring.SEVERITIES:
-        figures[f"_first{k}"] = F.min(F.when(severity >= k, ordinal)).over(frame)
-        figures[f"_last{k}"] = F.max(F.when(severity >= k, ordinal)).over(frame)
-    for w in range(packed.words):
-        figures[f"_packed{w}"] = F.sum(f"_add{w}").over(frame)
-    staged = staged.withColumns(figures)
-
-    before = F.col("_ordinal") - F.col("n_external")  # external messages that left the frame
+        "_inner_runs": F.expr("sum(int(_run AND NOT _ext3))").over(inner),
+        "_cut_run": before(f"lag(_run, {params.size - config.RUN_LENGTH}, false)"),
+        **{f"_first{k}": in_frame(f"min(IF(_sev >= {k}, _ordinal, NULL))") for k in scoring.SEVERITIES},
+        **{f"_last{k}": in_frame(f"max(IF(_sev >= {k}, _ordinal, NULL))") for k in scoring.SEVERITIES},
+        **{f"_packed{w}": in_frame(f"sum(_add{w})") for w in range(packed.words)},
+    }).withColumn("_gone", F.expr("_ordinal - n_external"))  # external messages that left the frame
+
     scored = staged.withColumns({
-        "window_len": F.col("window_len").cast("int"),
-        "n_external": F.col("n_external").cast("int"),
-        "high_risk_count": F.col("high_risk_count").cast("int"),
-        "risky_count": F.col("risky_count").cast("int"),
-        "n_runs": (F.col("_inner_runs") + F.col("_cut_run")).cast("int"),
-        "base": scoring.base_score(packed.count_of, catalog),
-        "cooccur": scoring.pair_score(F.col("window_mask"), catalog),
-        "escal": scoring.escalation(
-            F.col("n_external"), lambda k: F.col(f"_first{k}") - before, lambda k: F.col(f"_last{k}") - before),
-        "arc": scoring.stage_arc(
-            F.col("n_external"), F.col("_trust") - before, F.col("_solicit") - before, F.col("window_mask"), catalog),
+        **{c: F.col(c).cast("int") for c in ("window_len", "n_external", "high_risk_count", "risky_count")},
+        "n_runs": F.expr("int(_inner_runs + int(_cut_run))"),
+        "base": F.expr(scoring.base_score(packed.count_of, catalog)),
+        "cooccur": F.expr(scoring.pair_score("window_mask", catalog)),
+        "escal": F.expr(scoring.escalation("n_external", lambda k: f"(_first{k} - _gone)", lambda k: f"(_last{k} - _gone)")),
+        "arc": F.expr(scoring.stage_arc("n_external", "(_trust - _gone)", "(_solicit - _gone)", "window_mask", catalog)),
     })
     helpers = [c for c in scored.columns if c.startswith("_") and c not in messages.columns]
     return with_score(scored.drop(*helpers))
@@ -169,13 +151,13 @@ def window_stats(scored: DataFrame, keys: list[str], catalog: Catalog = DEFAULT)
     """One row of window statistics per message, whoever sent it."""
     return scored.select(
         *keys, "window_len", "high_risk_count", "risky_count", F.round("score", 2).alias("score"),
-        mask_categories(F.col("window_mask"), catalog).alias("cats"),
+        mask_categories("window_mask", catalog).alias("cats"),
         (F.col("escal") > 0).alias("escal"), (F.col("arc") > 0).alias("arc"),
     )
 
 
 def _cats(mask: str, catalog: Catalog, empty: str) -> Column:
-    names = F.array_join(mask_categories(F.col(mask), catalog), ", ")
+    names = F.array_join(mask_categories(mask, catalog), ", ")
     return F.concat(F.lit("cats=["), F.when(names == "", F.lit(empty)).otherwise(names), F.lit("]"))
 
 

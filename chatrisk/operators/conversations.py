@@ -44,33 +44,34 @@ def message_runs(messages: DataFrame, piece_rows: int = PIECE_ROWS) -> DataFrame
 def _figures(messages: DataFrame, keys: list[str], catalog: Catalog, extra: dict[str, Column]) -> DataFrame:
     """Aggregates per key with ordinals counted within the key."""
     by = Window.partitionBy(*keys).orderBy("conv_idx")
-    idx, scored, own = F.col("conv_idx"), F.col("_scored"), F.col("_scored") & ~F.col("_halo")
+    over = lambda sql: F.expr(sql).over(by)
     staged = messages.withColumns({
-        "_ordinal": F.sum(own.cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)),
-        "_run": scored & F.coalesce(F.lag("_scored", 1).over(by) & F.lag("_scored", 2).over(by), F.lit(False))
-        & F.coalesce(idx - F.lag(idx, 2).over(by) == 2, F.lit(False)),
-        "_before": F.coalesce(F.lag("_scored", 3).over(by) & (idx - F.lag(idx, 3).over(by) == 3), F.lit(False)),
+        "_own": F.expr("_scored AND NOT _halo"),
+        "_s1": over("lag(_scored, 1, false)"), "_s2": over("lag(_scored, 2, false)"), "_s3": over("lag(_scored, 3, false)"),
+        "_i2": over("lag(conv_idx, 2, -9)"), "_i3": over("lag(conv_idx, 3, -9)"),
+    }).withColumns({
+        "_mask": F.expr("IF(_own, cat_mask, 0L)"),
+        "_sev": F.expr("IF(_own, max_severity, 0)"),
+        "_ordinal": F.expr("sum(int(_own))").over(by.rowsBetween(Window.unboundedPreceding, 0)),
+        # The third message of a run of adjacent ones, each run once.
+        "_third": F.expr("_own AND _s1 AND _s2 AND conv_idx - _i2 = 2 AND NOT (_s3 AND conv_idx - _i3 = 3)"),
     })
-    mask = F.when(own, F.col("cat_mask")).otherwise(scoring.big(0))
-    severity = F.when(own, F.col("max_severity")).otherwise(0)
-    ordinal = F.col("_ordinal")
-    count = lambda condition: F.sum(condition.cast("int")).cast("bigint")
+    trust = scoring.has_any("_mask", catalog.mask(catalog.trust))
+    solicit = scoring.has_any("_mask", catalog.mask(catalog.solicit))
     figures = {
-        "label": F.max((F.col("is_flagged") & ~F.col("_halo")).cast("int")),
-        "n_messages": count((F.col("norm") != "") & ~F.col("_halo")),
-        "n_flagged": count(own),
-        "total_hits": F.sum(F.when(own, F.col("n_hits")).otherwise(0)),
-        "n_runs": count(F.col("_run") & ~F.col("_before") & own),
-        "cat_mask": F.bit_or(mask),
-        "_trust": F.min(F.when(scoring.has_any(mask, catalog.mask(catalog.trust)), ordinal)),
-        "_solicit": F.max(F.when(scoring.has_any(mask, catalog.mask(catalog.solicit)), ordinal)),
+        "label": "max(int(is_flagged AND NOT _halo))",
+        "n_messages": "count_if(norm != '' AND NOT _halo)",
+        "n_flagged": "count_if(_own)",
+        "total_hits": "sum(IF(_own, n_hits, 0))",
+        "n_runs": "count_if(_third)",
+        "cat_mask": "bit_or(_mask)",
+        "_trust": f"min(IF({trust}, _ordinal, NULL))",
+        "_solicit": f"max(IF({solicit}, _ordinal, NULL))",
+        **{f"_first{k}": f"min(IF(_sev >= {k}, _ordinal, NULL))" for k in scoring.SEVERITIES},
+        **{f"_last{k}": f"max(IF(_sev >= {k}, _ordinal, NULL))" for k in scoring.SEVERITIES},
+        **{f"_n{i}": f"count_if({scoring.has_any('_mask', catalog.bit(c))})" for i, c in enumerate(catalog.categories)},
     }
-    for k in scoring.SEVERITIES:
-        figures[f"_first{k}"] = F.min(F.when(severity >= k, ordinal))
-        figures[f"_last{k}"] = F.max(F.when(severity >= k, ordinal))
-    for i, category in enumerate(catalog.categories):
-        figures[f"_n{i}"] = count(scoring.has_any(mask, catalog.bit(category)))
-    columns = [*(f.alias(n) for n, f in figures.items()), *(e.alias(n) for n, e in extra.items())]
+    columns = [*(F.expr(f).alias(n) for n, f in figures.items()), *(e.alias(n) for n, e in extra.items())]
     return staged.groupBy(*keys).agg(*columns)
 
 
@@ -124,26 +125,22 @@ def conversation_figures(
 
 def risk_columns(figures: DataFrame, *, scope: str = "flagged", catalog: Catalog = DEFAULT) -> DataFrame:
     """Add the seven components, the score and the level."""
-    n, counts = F.col("n_flagged"), {c: F.col(f"_n{i}") for i, c in enumerate(catalog.categories)}
-    share = n.cast("double") / F.nullif(F.col("n_messages"), F.lit(0)).cast("double")
-    rate = F.col("total_hits").cast("double") / F.nullif(n, F.lit(0)).cast("double")
-    dominance = F.when(share > config.DOMINANCE_SHARE, F.lit(config.DOMINANCE_BONUS)).otherwise(F.lit(0.0))
-    consec = F.col("n_runs") * F.lit(config.RUN_BONUS)
-    if scope == "all":  # these two compare flagged authors with the others
-        dominance = consec = F.lit(0.0)
-    scored = figures.withColumns({
-        "base": scoring.base_score(counts.__getitem__, catalog),
-        "cooccur": scoring.pair_score(F.col("cat_mask"), catalog),
-        "escal": scoring.escalation(n, lambda k: F.col(f"_first{k}"), lambda k: F.col(f"_last{k}")),
-        "arc": scoring.stage_arc(n, F.col("_trust"), F.col("_solicit"), F.col("cat_mask"), catalog),
-        "dominance": dominance,
-        "density": F.when(rate > config.DENSITY_LIMIT, F.lit(config.DENSITY_BONUS)).otherwise(F.lit(0.0)),
-        "consec": consec,
-    })
-    scored = scored.withColumn("score", reduce(Column.__add__, [F.col(c) for c in COMPONENTS]))
-    scored = scored.withColumn("level", scoring.level_of(F.col("score")))
+    place = {c: i for i, c in enumerate(catalog.categories)}
+    scored = figures.withColumns({name: F.expr(sql) for name, sql in {
+        "base": scoring.base_score(lambda c: f"_n{place[c]}", catalog),
+        "cooccur": scoring.pair_score("cat_mask", catalog),
+        "escal": scoring.escalation("n_flagged", lambda k: f"_first{k}", lambda k: f"_last{k}"),
+        "arc": scoring.stage_arc("n_flagged", "_trust", "_solicit", "cat_mask", catalog),
+        # These two compare flagged authors with the others.
+        "dominance": "0D" if scope == "all" else (
+            f"IF(try_divide(n_flagged, n_messages) > {config.DOMINANCE_SHARE}D, {config.DOMINANCE_BONUS}D, 0D)"),
+        "consec": "0D" if scope == "all" else f"n_runs * {config.RUN_BONUS}D",
+        "density": f"IF(try_divide(total_hits, n_flagged) > {config.DENSITY_LIMIT}D, {config.DENSITY_BONUS}D, 0D)",
+    }.items()})
+    scored = scored.withColumn("score", F.expr(" + ".join(COMPONENTS)))
+    scored = scored.withColumn("level", F.expr(scoring.level_of("score")))
     helpers = [c for c in scored.columns if c.startswith("_")]
-    return scored.drop(*helpers).withColumn("categories", mask_categories(F.col("cat_mask"), catalog))
+    return scored.drop(*helpers).withColumn("categories", mask_categories("cat_mask", catalog))
 
 
 def conversation_risk(

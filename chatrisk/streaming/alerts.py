@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -94,41 +94,31 @@ def stream_windows(feed: DataFrame, params: WindowParams = WindowParams(), catal
 
 def score_windows(windows: DataFrame, params: WindowParams, catalog: Catalog) -> DataFrame:
     """Window figures from the arrays, named as in batch."""
-    frame = F.arrays_zip("w_ext", "w_sev", "w_mask", "w_prob")
-    staged = windows.withColumn("_all", frame).withColumn("_frame", F.filter("_all", lambda m: m["w_ext"]))
-    n = F.col("n_external")
-
-    def where(condition) -> Column:
-        """Ordinals of the external messages that meet a condition."""
-        marked = F.transform("_frame", lambda m, i: F.when(condition(m), i + 1))
-        return F.array_compact(marked)
-
-    count = lambda condition: F.size(F.filter("_frame", condition))
-    has = lambda wanted: lambda m: scoring.has_any(m["w_mask"], wanted)
-    pattern = F.array_join(F.transform("_all", lambda m: F.when(m["w_ext"], "E").otherwise("c")), "")
-    runs = F.regexp_count(pattern, F.lit(f"E{{{config.RUN_LENGTH},}}"))
-    staged = staged.withColumns({
-        "window_len": F.size("_all"),
-        "n_external": F.size("_frame"),
-        "high_risk_count": count(lambda m: m["w_prob"] >= params.theta_high),
-        "risky_count": count(lambda m: (m["w_prob"] >= params.theta_medium) | (m["w_sev"] >= 2)),
-        "window_mask": F.aggregate("_frame", scoring.big(0), lambda acc, m: acc.bitwiseOR(m["w_mask"])),
-        "n_runs": runs,
-        "_trust": F.array_min(where(has(catalog.mask(catalog.trust)))),
-        "_solicit": F.array_max(where(has(catalog.mask(catalog.solicit)))),
-    })
-    for k in scoring.SEVERITIES:
-        reached = where(lambda m, k=k: m["w_sev"] >= k)
-        staged = staged.withColumns({f"_first{k}": F.array_min(reached), f"_last{k}": F.array_max(reached)})
-    # The categories of the frame, each as often as messages hold it.
-    counts = {c: count(has(catalog.bit(c))) for c in catalog.categories}
-    hit = lambda c: F.when(scoring.has_any(F.col("window_mask"), catalog.bit(c)), counts[c]).otherwise(0)
-    scored = staged.withColumns({
-        "base": scoring.base_score(hit, catalog),
-        "cooccur": scoring.pair_score(F.col("window_mask"), catalog),
-        "escal": scoring.escalation(n, lambda k: F.col(f"_first{k}"), lambda k: F.col(f"_last{k}")),
-        "arc": scoring.stage_arc(n, F.col("_trust"), F.col("_solicit"), F.col("window_mask"), catalog),
-    })
+    where = lambda sql: f"array_compact(transform(_frame, (m, i) -> IF({sql}, i + 1, NULL)))"
+    count = lambda sql: f"size(filter(_frame, m -> {sql}))"
+    has = lambda names: scoring.has_any("m.w_mask", catalog.mask(names))
+    staged = windows.withColumn("_all", F.arrays_zip("w_ext", "w_sev", "w_mask", "w_prob"))
+    staged = staged.withColumn("_frame", F.filter("_all", lambda m: m["w_ext"]))
+    staged = staged.withColumns({name: F.expr(sql) for name, sql in {
+        "window_len": "size(_all)",
+        "n_external": "size(_frame)",
+        "high_risk_count": count(f"m.w_prob >= {params.theta_high}D"),
+        "risky_count": count(f"m.w_prob >= {params.theta_medium}D OR m.w_sev >= 2"),
+        "window_mask": "aggregate(_frame, 0L, (mask, m) -> mask | m.w_mask)",
+        "n_runs": "regexp_count(array_join(transform(_all, m -> IF(m.w_ext, 'E', 'c')), ''), 'E{%d,}')" % config.RUN_LENGTH,
+        "_trust": f"array_min({where(has(catalog.trust))})",
+        "_solicit": f"array_max({where(has(catalog.solicit))})",
+        **{f"_first{k}": f"array_min({where(f'm.w_sev >= {k}')})" for k in scoring.SEVERITIES},
+        **{f"_last{k}": f"array_max({where(f'm.w_sev >= {k}')})" for k in scoring.SEVERITIES},
+    }.items()})
+    # Messages of the frame per category; categories not in its mask need no count.
+    hits = lambda c: f"IF({scoring.has_any('window_mask', catalog.bit(c))}, {count(has([c]))}, 0)"
+    scored = staged.withColumns({name: F.expr(sql) for name, sql in {
+        "base": scoring.base_score(hits, catalog),
+        "cooccur": scoring.pair_score("window_mask", catalog),
+        "escal": scoring.escalation("n_external", lambda k: f"_first{k}", lambda k: f"_last{k}"),
+        "arc": scoring.stage_arc("n_external", "_trust", "_solicit", "window_mask", catalog),
+    }.items()})
     helpers = [c for c in scored.columns if c.startswith(("_", "w_"))]
     return with_score(scored.drop(*helpers))
 
