@@ -16,7 +16,7 @@ def q(text: str) -> str:
 
 
 def values(rows) -> str:
-    cell = lambda v: q(v) if isinstance(v, str) else repr(v)
+    cell = lambda v: q(v) if isinstance(v, str) else f"{v!r}e0" if isinstance(v, float) else repr(v)
     return "VALUES " + ", ".join("(" + ", ".join(cell(v) for v in row) + ")" for row in rows)
 
 
@@ -95,29 +95,29 @@ def scored_ctes(scope: str) -> list[str]:
 RISK = [
     WEIGHTS, PAIRS,
     "totals AS (SELECT conv_id, max(CAST(is_flagged AS INTEGER)) AS label, count(*) FILTER (norm <> '') AS n_messages FROM m GROUP BY 1)",
-    "basic AS (SELECT conv_id, sum(coalesce(weight, 1.0) * least(msg_count, 3)) AS base, string_agg(category, ',' ORDER BY category) AS cats FROM catn LEFT JOIN weights USING (category) GROUP BY 1)",
+    "basic AS (SELECT conv_id, sum(coalesce(weight, 1e0) * least(msg_count, 3)) AS base, string_agg(category, ',' ORDER BY category) AS cats FROM catn LEFT JOIN weights USING (category) GROUP BY 1)",
     "co AS (SELECT a.conv_id, sum(bonus) AS cooccur FROM pairs JOIN catn a ON a.category = cat_a JOIN catn b ON b.category = cat_b AND a.conv_id = b.conv_id GROUP BY 1)",
     """half AS (SELECT conv_id, max(n) AS n, coalesce(max(sev) FILTER (o <= n // 2), 0) AS early, coalesce(max(sev) FILTER (o > n // 2), 0) AS late,
     coalesce(sum(n_hits), 0) AS total_hits FROM sc LEFT JOIN msev USING (conv_id, conv_idx) GROUP BY 1)""",
-    "esc AS (SELECT conv_id, CASE WHEN n >= 4 AND late > early THEN 3.0 + CASE WHEN early <= 1 AND late = 3 THEN 1.5 ELSE 0 END ELSE 0 END AS escal FROM half)",
+    "esc AS (SELECT conv_id, CASE WHEN n >= 4 AND late > early THEN 3e0 + CASE WHEN early <= 1 AND late = 3 THEN 1.5e0 ELSE 0e0 END ELSE 0e0 END AS escal FROM half)",
     f"""thirds AS (SELECT conv_id, bool_or(o <= greatest(n // 3, 1) AND category IN {in_list(config.TRUST)}) AS t,
     bool_or(o > n - greatest(n // 3, 1) AND category IN {in_list(config.SOLICIT)}) AS s, bool_or(category IN {in_list(config.CONTROL)}) AS c,
     max(n) AS n FROM sc JOIN hits USING (conv_id, conv_idx) GROUP BY 1)""",
-    "arcs AS (SELECT conv_id, CASE WHEN n >= 6 AND t AND s THEN 2.5 + CASE WHEN c THEN 1.0 ELSE 0 END ELSE 0 END AS arc FROM thirds)",
+    "arcs AS (SELECT conv_id, CASE WHEN n >= 6 AND t AND s THEN 2.5e0 + CASE WHEN c THEN 1e0 ELSE 0e0 END ELSE 0e0 END AS arc FROM thirds)",
     "islands AS (SELECT conv_id, count(*) AS len FROM (SELECT conv_id, conv_idx - o AS island FROM sc) GROUP BY conv_id, island)",
     "runs AS (SELECT conv_id, count(*) AS n_runs FROM islands WHERE len >= 3 GROUP BY 1)",
 ]
 
 
 def risk_ctes(scope: str) -> list[str]:
-    relative = "0.0" if scope == "all" else None
+    relative = "0e0" if scope == "all" else None
     return [
         *CHAT_HITS, *scored_ctes(scope), *RISK,
         f"""parts AS (SELECT t.conv_id, t.label, t.n_messages, coalesce(h.n, 0) AS n_flagged, coalesce(h.total_hits, 0) AS total_hits,
-        coalesce(base, 0.0) AS base, coalesce(cooccur, 0.0) AS cooccur, coalesce(escal, 0.0) AS escal, coalesce(arc, 0.0) AS arc,
-        {relative or "CASE WHEN n_messages > 0 AND coalesce(h.n, 0) / n_messages > 0.60 THEN 1.5 ELSE 0.0 END"} AS dominance,
-        CASE WHEN coalesce(h.n, 0) > 0 AND h.total_hits / h.n > 1.5 THEN 2.0 ELSE 0.0 END AS density,
-        {relative or "coalesce(n_runs, 0) * 0.5"} AS consec, coalesce(cats, '') AS cats
+        coalesce(base, 0e0) AS base, coalesce(cooccur, 0e0) AS cooccur, coalesce(escal, 0e0) AS escal, coalesce(arc, 0e0) AS arc,
+        {relative or "CASE WHEN n_messages > 0 AND coalesce(h.n, 0) / n_messages > 0.60 THEN 1.5e0 ELSE 0e0 END"} AS dominance,
+        CASE WHEN coalesce(h.n, 0) > 0 AND h.total_hits / h.n > 1.5 THEN 2e0 ELSE 0e0 END AS density,
+        {relative or "coalesce(n_runs, 0) * 0.5e0"} AS consec, coalesce(cats, '') AS cats
         FROM totals t LEFT JOIN half h USING (conv_id) LEFT JOIN basic USING (conv_id) LEFT JOIN co USING (conv_id)
         LEFT JOIN esc USING (conv_id) LEFT JOIN arcs USING (conv_id) LEFT JOIN runs USING (conv_id))""",
         "scores AS (SELECT *, base + cooccur + escal + arc + dominance + density + consec AS score FROM parts)",
@@ -149,7 +149,7 @@ RECORDS = [
     "tagsum AS (SELECT conv_id, sum(n) AS total_rule_hits, sum(n3) AS sev3_hits FROM tagn GROUP BY 1)",
     """rec AS (SELECT r.conv_id AS conversation_id, label, CASE WHEN label = 1 THEN 'GROOMING' ELSE 'benign' END AS label_str, level AS risk_level,
     CASE level WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 1 ELSE 0 END AS risk_order, escal > 0 AS escalation, arc > 0 AS arc,
-    dominance > 0 AS dominance, cats AS categories, CASE WHEN cats = '' THEN 0 ELSE len(string_split(cats, ',')) END AS n_categories,
+    dominance > 0 AS dominance, cats AS categories, CAST(CASE WHEN cats = '' THEN 0 ELSE len(string_split(cats, ',')) END AS INTEGER) AS n_categories,
     CAST(coalesce(total_rule_hits, 0) AS INTEGER) AS total_rule_hits, CAST(coalesce(sev3_hits, 0) AS INTEGER) AS sev3_hits,
     CAST(n_messages AS INTEGER) AS n_messages FROM risk r LEFT JOIN tagsum USING (conv_id))""",
 ]
@@ -175,18 +175,18 @@ def contact_ctes(key: str = "contact_id", extra: str = "") -> list[str]:
         """cnts AS (SELECT at_id, count(*) AS window_len, count(*) FILTER (ext) AS n_external, count(*) FILTER (ext AND p >= 0.80) AS high_risk_count,
         count(*) FILTER (ext AND (p >= 0.60 OR sev >= 2)) AS risky_count, string_agg(CASE WHEN ext THEN 'E' ELSE 'C' END, '' ORDER BY rn) AS pattern
         FROM fr GROUP BY 1)""",
-        "runs AS (SELECT at_id, len(regexp_extract_all(pattern, 'E{3,}')) * 0.5 AS consec FROM cnts)",
+        "runs AS (SELECT at_id, len(regexp_extract_all(pattern, 'E{3,}')) * 0.5e0 AS consec FROM cnts)",
         "tc AS (SELECT DISTINCT text, category FROM th)",
         "fc AS (SELECT at_id, category, count(*) AS k FROM ex JOIN tc USING (text) GROUP BY 1, 2)",
-        "bs AS (SELECT at_id, sum(coalesce(weight, 1.0) * least(k, 3)) AS base, string_agg(category, ', ' ORDER BY category) AS cats FROM fc LEFT JOIN weights USING (category) GROUP BY 1)",
+        "bs AS (SELECT at_id, sum(coalesce(weight, 1e0) * least(k, 3)) AS base, string_agg(category, ', ' ORDER BY category) AS cats FROM fc LEFT JOIN weights USING (category) GROUP BY 1)",
         "co AS (SELECT x.at_id, sum(bonus) AS cooccur FROM pairs JOIN fc x ON x.category = cat_a JOIN fc y ON y.category = cat_b AND x.at_id = y.at_id GROUP BY 1)",
         """es AS (SELECT at_id, CASE WHEN max(n) >= 4 AND coalesce(max(sev) FILTER (o > n // 2), 0) > coalesce(max(sev) FILTER (o <= n // 2), 0)
-        THEN 3.0 + CASE WHEN coalesce(max(sev) FILTER (o <= n // 2), 0) <= 1 AND max(sev) FILTER (o > n // 2) = 3 THEN 1.5 ELSE 0 END ELSE 0 END AS escal FROM ex GROUP BY 1)""",
+        THEN 3e0 + CASE WHEN coalesce(max(sev) FILTER (o <= n // 2), 0) <= 1 AND max(sev) FILTER (o > n // 2) = 3 THEN 1.5e0 ELSE 0e0 END ELSE 0e0 END AS escal FROM ex GROUP BY 1)""",
         f"""ar AS (SELECT at_id, CASE WHEN max(n) >= 6 AND bool_or(o <= {half} AND category IN {in_list(config.TRUST)}) AND bool_or(o > n - {half} AND category IN {in_list(config.SOLICIT)})
-        THEN 2.5 + CASE WHEN bool_or(category IN {in_list(config.CONTROL)}) THEN 1.0 ELSE 0 END ELSE 0 END AS arc FROM ex JOIN tc USING (text) GROUP BY 1)""",
-        """win AS (SELECT cm.*, coalesce(tsev.sev, 0) AS max_severity, c.window_len, c.n_external, c.high_risk_count, c.risky_count, coalesce(base, 0.0) AS base,
-        coalesce(cooccur, 0.0) AS cooccur, coalesce(escal, 0.0) AS escal, coalesce(arc, 0.0) AS arc, consec, coalesce(cats, '') AS cats,
-        coalesce(base, 0.0) + coalesce(cooccur, 0.0) + coalesce(escal, 0.0) + coalesce(arc, 0.0) + consec AS score
+        THEN 2.5e0 + CASE WHEN bool_or(category IN {in_list(config.CONTROL)}) THEN 1e0 ELSE 0e0 END ELSE 0e0 END AS arc FROM ex JOIN tc USING (text) GROUP BY 1)""",
+        """win AS (SELECT cm.*, coalesce(tsev.sev, 0) AS max_severity, c.window_len, c.n_external, c.high_risk_count, c.risky_count, coalesce(base, 0e0) AS base,
+        coalesce(cooccur, 0e0) AS cooccur, coalesce(escal, 0e0) AS escal, coalesce(arc, 0e0) AS arc, consec, coalesce(cats, '') AS cats,
+        coalesce(base, 0e0) + coalesce(cooccur, 0e0) + coalesce(escal, 0e0) + coalesce(arc, 0e0) + consec AS score
         FROM cm JOIN cnts c ON c.at_id = msg_id JOIN runs ON runs.at_id = msg_id LEFT JOIN bs ON bs.at_id = msg_id LEFT JOIN co ON co.at_id = msg_id
         LEFT JOIN es ON es.at_id = msg_id LEFT JOIN ar ON ar.at_id = msg_id LEFT JOIN tsev ON tsev.text = cm.text)""",
         "mcats AS (SELECT text, string_agg(category, ', ' ORDER BY category) AS mc FROM tc GROUP BY 1)",

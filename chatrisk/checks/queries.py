@@ -248,7 +248,7 @@ def category_message_counts(spark, sf_dir):
     return conversations.category_counts(annotated(spark, sf_dir))
 
 
-@query(o.sql([*SCORED, o.WEIGHTS], "SELECT conv_id, category, msg_count, coalesce(weight, 1.0) AS weight FROM catn LEFT JOIN weights USING (category)"))
+@query(o.sql([*SCORED, o.WEIGHTS], "SELECT conv_id, category, msg_count, coalesce(weight, 1e0) AS weight FROM catn LEFT JOIN weights USING (category)"))
 def weighted_category_counts(spark, sf_dir):
     counts = conversations.category_counts(annotated(spark, sf_dir))
     return conversations.weighted_counts(counts, DEFAULT.weights_df(spark))
@@ -520,14 +520,14 @@ def top_categories(spark, sf_dir):
     return reports.top_categories(slim(spark, sf_dir), 5)
 
 
-@query(o.sql(REC, """SELECT l.label, b.bin, count(rec.label) AS n FROM (VALUES (0), (1)) l(label), (SELECT unnest(range((SELECT max(n_categories) + 1 FROM rec))) AS bin) b
+@query(o.sql(REC, """SELECT l.label, CAST(b.bin AS INTEGER) AS bin, count(rec.label) AS n FROM (VALUES (0), (1)) l(label), (SELECT unnest(range((SELECT max(n_categories) + 1 FROM rec))) AS bin) b
 LEFT JOIN rec ON rec.label = l.label AND n_categories = b.bin GROUP BY 1, 2"""))
 def category_histogram(spark, sf_dir):
     return reports.category_histogram(slim(spark, sf_dir))
 
 
 @query(o.sql([*REC, "e AS (SELECT least(greatest(max(sev3_hits), 1) + 2, 20) - 1 AS edge FROM rec)", "b AS (SELECT unnest(range((SELECT edge FROM e))) AS bin)"],
-             """SELECT l.label, b.bin, count(rec.label) AS n FROM (VALUES (0), (1)) l(label), b LEFT JOIN rec ON rec.label = l.label
+             """SELECT l.label, CAST(b.bin AS INTEGER) AS bin, count(rec.label) AS n FROM (VALUES (0), (1)) l(label), b LEFT JOIN rec ON rec.label = l.label
              AND (sev3_hits = b.bin OR (b.bin = (SELECT edge - 1 FROM e) AND sev3_hits = b.bin + 1)) GROUP BY 1, 2"""))
 def severity_histogram(spark, sf_dir):
     return reports.severity_histogram(slim(spark, sf_dir))
@@ -535,7 +535,7 @@ def severity_histogram(spark, sf_dir):
 
 @query(o.sql([*REC, "e AS (SELECT greatest(max(total_rule_hits), 1) + 1 AS top, least(40, greatest(max(total_rule_hits), 1) + 2) - 1 AS bins FROM rec)",
               "b AS (SELECT unnest(range((SELECT bins FROM e))) AS bin)"],
-             """SELECT l.label, b.bin, round(b.bin * e.top / e.bins, 6) AS low, count(rec.label) AS n FROM (VALUES (0), (1)) l(label), b, e LEFT JOIN rec ON rec.label = l.label
+             """SELECT l.label, CAST(b.bin AS INTEGER) AS bin, round(b.bin * e.top / e.bins, 6) AS low, count(rec.label) AS n FROM (VALUES (0), (1)) l(label), b, e LEFT JOIN rec ON rec.label = l.label
              AND total_rule_hits * e.bins >= b.bin * e.top AND total_rule_hits * e.bins < (b.bin + 1) * e.top GROUP BY 1, 2, 3"""))
 def hits_histogram(spark, sf_dir):
     return reports.hits_histogram(slim(spark, sf_dir))
@@ -561,7 +561,7 @@ def confusion_counts(spark, sf_dir):
 
 
 @query(ROWS + METRIC + """SELECT tp, fp, fn, round(precision, 6) AS precision, round(recall, 6) AS recall,
-round(CASE WHEN 4 * precision + recall = 0 THEN 0.0 ELSE 5 * precision * recall / (4 * precision + recall) END, 6) AS f2, 0.5 AS threshold FROM pr""")
+round(CASE WHEN 4 * precision + recall = 0 THEN 0.0 ELSE 5 * precision * recall / (4 * precision + recall) END, 6) AS f2, 0.5e0 AS threshold FROM pr""")
 def metrics_at_threshold(spark, sf_dir):
     result = evaluation.metrics(scored_rows(spark, sf_dir), 0.5)
     return result.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f2")})
@@ -647,12 +647,19 @@ def token_sequences(spark, sf_dir):
 
 # --- files: written by Spark from the tables, read back by the sources ----------
 
-@query(o.sql(o.CHAT, "SELECT CAST(conv_id AS VARCHAR) AS conv_id, conv_idx, author, trim(text_raw) AS text_raw FROM msg"))
+# An element holds at most this many messages; a longer conversation goes on in elements of their own.
+XML_ROWS = 100_000
+
+
+@query(o.sql(o.CHAT, f"""SELECT conv_id || CASE WHEN conv_idx >= {XML_ROWS} THEN '#' || conv_idx // {XML_ROWS} ELSE '' END AS conv_id,
+CAST(conv_idx % {XML_ROWS} AS INTEGER) AS conv_idx, author, trim(text_raw) AS text_raw FROM msg"""))
 def xml_messages(spark, sf_dir):
     path = scratch_path(spark, "corpus-xml")
-    rows = views.conversation_messages(spark, sf_dir).groupBy(F.col("conv_id").alias("_id")).agg(
+    rows = views.conversation_messages(spark, sf_dir)
+    element = F.expr(f"concat(conv_id, IF(conv_idx >= {XML_ROWS}, concat('#', conv_idx div {XML_ROWS}), ''))")
+    elements = rows.groupBy(element.alias("_id")).agg(
         F.array_sort(F.collect_list(F.struct("conv_idx", "author", F.col("text_raw").alias("text")))).alias("message"))
-    rows.write.format("xml").option("rowTag", "conversation").option("rootTag", "conversations").save(path)
+    elements.write.format("xml").option("rowTag", "conversation").option("rootTag", "conversations").save(path)
     return corpus.read_messages(spark, path)
 
 

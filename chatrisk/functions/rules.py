@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatrisk.functions.catalog import DEFAULT, Catalog
-from chatrisk.functions.sqltext import quote
+from chatrisk.functions.sqltext import name, quote
 
 REGEX_FLAGS = "(?iU)"  # ignore case, Unicode classes and folding
 _HIT = "STRUCT<rule_id: INT, category: STRING, severity: INT, text: STRING>"
@@ -21,25 +21,42 @@ _SPAN_HIT = "STRUCT<rule_id: INT, category: STRING, severity: INT, start: INT, e
 
 
 def word_regex(words) -> str:
-    """Matches at every position where a word starts, overlapping ones included."""
+    """Any of the words, grouped by first letter so that most positions fail on one character."""
     by_letter: dict[str, list[str]] = {}
     for word in sorted(words):
         by_letter.setdefault(word[0], []).append(re.escape(word[1:]))
-    groups = (f"{re.escape(letter)}(?:{'|'.join(rest)})" for letter, rest in by_letter.items())
-    return f"(?=({'|'.join(groups)}))"
+    return "|".join(f"{re.escape(letter)}(?:{'|'.join(rest)})" for letter, rest in by_letter.items())
+
+
+def candidate_rules(text: str, catalog: Catalog) -> Column:
+    """Ids of the gated rules that the words of a text leave possible."""
+    rules_of: dict[str, list[int]] = {}
+    for i, anchor in enumerate(catalog.anchors):
+        for word in anchor or ():
+            rules_of.setdefault(word, []).append(i)
+    if not rules_of:
+        return F.array().cast("array<int>")
+    low, regex = f"lower({name(text)})", word_regex(rules_of)
+    table = ", ".join(f"{quote(w)}, array({', '.join(map(str, ids))})" for w, ids in rules_of.items())
+    # The look-ahead finds a word at every position, overlapping ones included.
+    words = f"regexp_extract_all({low}, {quote(f'(?=({regex}))')}, 1)"
+    every = f"array({', '.join(str(i) for i, anchor in enumerate(catalog.anchors) if anchor)})"
+    return F.expr(
+        f"CASE WHEN octet_length({name(text)}) != char_length({name(text)}) THEN {every} "
+        f"WHEN rlike({low}, {quote(regex)}) THEN flatten(transform({words}, w -> element_at(map({table}), w))) "
+        f"ELSE CAST(array() AS ARRAY<INT>) END")
 
 
-def matches_sql(text: str, words: str, catalog: Catalog, spans: bool, gate: bool) -> str:
+def matches_sql(text: str, candidates: str, catalog: Catalog, spans: bool, gate: bool) -> str:
     """Per rule the list of its hits, then one pass that labels and joins the lists."""
     hit = _SPAN_HIT if spans else _HIT
 
     def per_rule(call: str) -> str:
         lists = []
-        for (_, _, pattern), anchor in zip(catalog.rules, catalog.anchors):
+        for i, ((_, _, pattern), anchor) in enumerate(zip(catalog.rules, catalog.anchors)):
             found = call.format(quote(REGEX_FLAGS + pattern))
-            if gate and anchor:
-                found = f"CASE WHEN {_seen(anchor, words)} THEN {found} END"
-            lists.append(found)
+            gated = gate and anchor
+            lists.append(f"CASE WHEN array_contains({candidates}, {i}) THEN {found} END" if gated else found)
         return f"array({', '.join(lists)})"
 
     found = per_rule(f"regexp_extract_all({text}, {{}}, 0)")
@@ -59,13 +76,7 @@ def matches_sql(text: str, words: str, catalog: Catalog, spans: bool, gate: bool
     every = f"flatten({labelled})"
     if not gate or not all(catalog.anchors):
         return every
-    return f"CASE WHEN size({words}) > 0 THEN {every} ELSE {empty} END"
-
-
-def _seen(anchor: tuple[str, ...], words: str) -> str:
-    if len(anchor) == 1:
-        return f"array_contains({words}, {quote(anchor[0])})"
-    return f"arrays_overlap({words}, array({', '.join(map(quote, anchor))}))"
+    return f"CASE WHEN size({candidates}) > 0 THEN {every} ELSE {empty} END"
 
 
 def with_matches(
@@ -74,15 +85,10 @@ def with_matches(
 ) -> DataFrame:
     """Add `matches`, the hits of every rule on `text`; rows failing `when` get an empty list."""
     allowed = F.lit(True) if when is None else F.coalesce(when, F.lit(False))
-    known = sorted({w for anchor in catalog.anchors for w in anchor or ()})
-    words = F.regexp_extract_all(F.lower("_text"), F.lit(word_regex(known)), F.lit(1)) if known else F.array()
-    wide = F.octet_length("_text") != F.char_length("_text")
-    staged = (
-        df.withColumn("_text", F.when(allowed, F.col(text)).otherwise(F.lit("")))
-        .withColumn("_words", F.when(wide, F.expr(f"array({', '.join(map(quote, known))})")).otherwise(words))
-    )
-    matches = F.expr(matches_sql("_text", "_words", catalog, spans, gate))
-    return staged.withColumn(out, F.coalesce(matches, F.array())).drop("_text", "_words")
+    staged = df.withColumn("_text", F.when(allowed, F.coalesce(F.col(text), F.lit(""))).otherwise(F.lit("")))
+    staged = staged.withColumn("_candidates", candidate_rules("_text", catalog))
+    matches = F.expr(matches_sql("_text", "_candidates", catalog, spans, gate))
+    return staged.withColumn(out, matches).drop("_text", "_candidates")
 
 
 def max_severity(matches: str = "matches") -> Column:

@@ -11,6 +11,7 @@ from chatrisk import config
 from chatrisk.functions.sqltext import quote
 
 UNICODE = "(?U)"
+MARK = "\x01"
 
 
 def closed_slang(slang=None) -> dict[str, str]:
@@ -30,7 +31,7 @@ def _slang_regex(words) -> str:
     for word in sorted(words):
         by_letter.setdefault(word[0], []).append(re.escape(word[1:]))
     groups = [f"{re.escape(letter)}(?:{'|'.join(rest)})" for letter, rest in by_letter.items()]
-    return rf"{UNICODE}\b(?:{'|'.join(groups)})\b"
+    return rf"\b(?:{'|'.join(groups)})\b"
 
 
 def nfkc(text: Column) -> Column:
@@ -51,18 +52,27 @@ def nfkc_arrow(text: Column) -> Column:
     return normalised(text)
 
 
+def is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.char_length(text)
+
+
+def _replace(text: Column, pattern: str, replacement: str) -> Column:
+    """Replace under Unicode rules; on ASCII text the plain, faster classes mean the same."""
+    plain = F.regexp_replace(text, F.lit(pattern), F.lit(replacement))
+    return F.when(is_ascii(text), plain).otherwise(F.regexp_replace(text, F.lit(UNICODE + pattern), F.lit(replacement)))
+
+
 def mask_urls(text: Column) -> Column:
-    masked = F.regexp_replace(text, F.lit(f"(?iU){config.URL_PATTERN}"), F.lit("<URL>"))
-    return F.when(F.contains(F.lower(text), F.lit("http")) | F.contains(F.lower(text), F.lit("www.")), masked).otherwise(text)
+    """Expects lower case, as the other masks do."""
+    return F.when(F.contains(text, F.lit("http")) | F.contains(text, F.lit("www.")), _replace(text, config.URL_PATTERN, "<URL>")).otherwise(text)
 
 
 def mask_emails(text: Column) -> Column:
-    masked = F.regexp_replace(text, F.lit(f"(?iU){config.EMAIL_PATTERN}"), F.lit("<EMAIL>"))
-    return F.when(F.contains(text, F.lit("@")), masked).otherwise(text)
+    return F.when(F.contains(text, F.lit("@")), _replace(text, config.EMAIL_PATTERN, "<EMAIL>")).otherwise(text)
 
 
 def mask_phones(text: Column) -> Column:
-    return F.regexp_replace(text, F.lit(f"{UNICODE}{config.PHONE_PATTERN}"), F.lit("<PHONE>"))
+    return _replace(text, config.PHONE_PATTERN, "<PHONE>")
 
 
 def collapse_repeats(text: Column) -> Column:
@@ -71,19 +81,27 @@ def collapse_repeats(text: Column) -> Column:
 
 
 def expand_slang(text: Column, slang=None) -> Column:
-    """Every slang word replaced in one pass over the text between and at the words."""
+    """Every slang word replaced in one pass: the words are marked, cut out and looked up."""
     closed = closed_slang(slang)
-    regex = F.lit(_slang_regex(closed))
     table = F.expr(f"map({', '.join(quote(x) for pair in closed.items() for x in pair)})")
-    words = F.regexp_extract_all(text, regex, F.lit(0))
-    expanded = F.array_append(F.transform(words, lambda w: F.element_at(table, w)), F.lit(""))
-    gaps = F.split(text, _slang_regex(closed), -1)
-    joined = F.array_join(F.zip_with(gaps, expanded, lambda gap, word: F.concat(gap, word)), "")
-    return F.when(F.rlike(text, regex), joined).otherwise(text)
+
+    def expanded(regex: str) -> Column:
+        # Cutting at a single character needs no regex; text that holds the mark is cut by regex.
+        marked = F.split(F.regexp_replace(text, F.lit(regex), F.lit(f"{MARK}$0{MARK}")), MARK, -1)
+        quick = F.array_join(F.transform(
+            marked, lambda part, i: F.when(i % 2 == 1, F.element_at(table, part)).otherwise(part)), "")
+        words = F.transform(F.regexp_extract_all(text, F.lit(regex), F.lit(0)), lambda w: F.element_at(table, w))
+        careful = F.array_join(F.zip_with(
+            F.split(text, regex, -1), F.array_append(words, F.lit("")), lambda gap, word: F.concat(gap, word)), "")
+        either = F.when(F.contains(text, F.lit(MARK)), careful).otherwise(quick)
+        return F.when(F.rlike(text, F.lit(regex)), either).otherwise(text)
+
+    regex = _slang_regex(closed)
+    return F.when(is_ascii(text), expanded(regex)).otherwise(expanded(UNICODE + regex))
 
 
 def collapse_spaces(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, F.lit(rf"{UNICODE}\s+"), F.lit(" ")))
+    return F.trim(_replace(text, r"\s+", " "))
 
 
 def normalise(

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatrisk import config
+from chatrisk.plans.joins import lookup_join
+from chatrisk.plans.skew import PIECE_ROWS, hot_keys, with_position
 
 # The thresholds tried, 0.05 to 0.94 in steps of 0.01, as that range yields them.
 GRID = [float(t) for t in np.arange(0.05, 0.95, 0.01)]
@@ -103,26 +105,38 @@ def with_class_weight(labelled: DataFrame, scale: float = 3.0) -> DataFrame:
     return labelled.join(F.broadcast(weights), "label")  # two rows
 
 
-def epoch_choice(log: DataFrame, keys: list[str], patience: int) -> DataFrame:
-    """Per run of training: is_best, epochs without improvement, and whether the run still goes.
+def epoch_choice(log: DataFrame, keys: list[str], patience: int, piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """Add is_best, no_improve (epochs since the last best) and ran (the run still goes) per epoch.
 
-    `log` holds epoch and f2, a few rows per run. An epoch is best when it beats all before it and
-    0. The run stops at the first epoch that ends `patience` epochs in a row without a new best.
+    `log` holds epoch and f2. An epoch is best when it beats 0 and all before it. A run stops at the
+    first epoch that ends `patience` epochs in a row without a new best. Each of the three is a
+    running maximum, so a long run is worked on in pieces that carry the maximum of earlier ones.
     """
-    by = Window.partitionBy(*keys).orderBy("epoch")
-    before = by.rowsBetween(Window.unboundedPreceding, -1)
-    upto = by.rowsBetween(Window.unboundedPreceding, 0)
-    marked = log.withColumn("is_best", F.col("f2") > F.coalesce(F.greatest(F.max("f2").over(before), F.lit(0.0)), F.lit(0.0)))
-    placed = marked.withColumn("_place", F.row_number().over(by))
-    last_best = F.coalesce(F.max(F.when(F.col("is_best"), F.col("_place"))).over(upto), F.lit(0))
-    counted = placed.withColumn("no_improve", F.col("_place") - last_best)
-    stops = (F.col("no_improve") >= patience).cast("int")
-    return counted.withColumn("ran", F.coalesce(F.sum(stops).over(before), F.lit(0)) == 0).drop("_place")
-
-
-def best_epoch(log: DataFrame, keys: list[str], patience: int) -> DataFrame:
+    placed = with_position(log, keys, ["epoch"], "_pos", piece_rows).withColumn("_piece", F.floor(F.col("_pos") / piece_rows))
+    many = hot_keys(log, keys, piece_rows) is not None
+
+    def max_before(df: DataFrame, value: str, out: str) -> DataFrame:
+        earlier_rows = Window.partitionBy(*keys, "_piece").orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
+        inside = F.coalesce(F.max(value).over(earlier_rows), F.lit(0))
+        if not many:
+            return df.withColumn(out, inside)
+        tops = df.groupBy(*keys, "_piece").agg(F.max(value).alias("_top"))
+        earlier = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+        carried = tops.select(*keys, "_piece", F.coalesce(F.max("_top").over(earlier), F.lit(0)).alias("_carried"))
+        return lookup_join(df, carried, [*keys, "_piece"]).withColumn(out, F.greatest(inside, "_carried")).drop("_carried")
+
+    marked = max_before(placed, "f2", "_best").withColumn("is_best", F.col("f2") > F.col("_best"))
+    marked = marked.withColumn("_place", F.when(F.col("is_best"), F.col("_pos") + 1))
+    counted = max_before(marked, "_place", "_last").withColumn(
+        "no_improve", F.col("_pos") + 1 - F.coalesce("_place", "_last"))
+    counted = counted.withColumn("_stop", (F.col("no_improve") >= patience).cast("int"))
+    chosen = max_before(counted, "_stop", "_stopped").withColumn("ran", F.col("_stopped") == 0)
+    return chosen.drop("_pos", "_piece", "_best", "_place", "_last", "_stop", "_stopped")
+
+
+def best_epoch(log: DataFrame, keys: list[str], patience: int, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """Per run: last epoch run, best epoch, its f2; epoch NULL and f2 0 when nothing beat 0."""
-    chosen = epoch_choice(log, keys, patience).filter("ran")
+    chosen = epoch_choice(log, keys, patience, piece_rows).filter("ran")
     best = F.when(F.col("is_best"), F.col("epoch"))
     return chosen.groupBy(*keys).agg(
         F.max("epoch").alias("last_epoch"), F.max(best).alias("best_epoch"),

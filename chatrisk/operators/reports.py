@@ -88,47 +88,47 @@ def top_categories(records: DataFrame, n: int = 20) -> DataFrame:
     return category_totals(records).orderBy(F.desc("hits"), "category").limit(n)
 
 
-def _filled(counts: DataFrame, value: str, last: Column) -> DataFrame:
-    """(label, value, n) with zero rows for the values nobody has; `counts` is already aggregated."""
-    top = counts.agg(last.alias("_last"))
-    grid = top.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("label"), "_last").select(
-        "label", F.explode(F.sequence(F.lit(0), F.col("_last").cast("int"))).alias(value))
-    return grid.join(counts, ["label", value], "left").select("label", value, F.coalesce("n", F.lit(0)).alias("n"))
+def _with_empty_bins(binned: DataFrame, last_bin: Column) -> DataFrame:
+    """(label, bin, n, width) for both labels and bins 0..last; `binned` has few rows by now."""
+    row = binned.agg(
+        F.collect_list(F.struct("label", "bin", "n")).alias("_counts"), last_bin.cast("int").alias("_last"),
+        F.max("width").alias("width"))
+    grid = row.withColumn("label", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn(
+        "bin", F.explode(F.sequence(F.lit(0), F.coalesce("_last", F.lit(0)))))
+    n = F.expr("aggregate(filter(_counts, c -> c.label = label AND c.bin = bin), 0L, (s, c) -> s + c.n)")
+    return grid.select("label", "bin", n.alias("n"), "width")
 
 
 def category_histogram(records: DataFrame) -> DataFrame:
     """Conversations per label and number of categories, from 0 to the highest."""
     counts = records.groupBy("label", F.col("n_categories").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    return _filled(counts, "bin", F.coalesce(F.max("bin"), F.lit(0)))
+    return _with_empty_bins(counts.withColumn("width", F.lit(1.0)), F.max("bin")).drop("width")
 
 
 def severity_histogram(records: DataFrame, max_edges: int = 20) -> DataFrame:
     """Conversations per label and number of severity-3 hits; unit bins, the last one closed.
 
-    With edges 0..e the last bin holds e-1 and e, and larger values fall outside.
+    With edges 0..e the last bin holds e-1 and e, and larger values fall outside. Values beyond the
+    last possible edge are counted as one, which leaves at most `max_edges` + 1 rows per label.
     """
-    values = records.groupBy("label", F.col("sev3_hits").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    edge = values.agg(F.least(F.greatest(F.max("v"), F.lit(1)) + 1, F.lit(max_edges - 1)).alias("_edge"))
-    binned = values.join(F.broadcast(edge), F.col("v") <= F.col("_edge")).groupBy(  # edge is one row
-        "label", F.least(F.col("v"), F.col("_edge") - 1).alias("bin")).agg(F.sum("n").alias("n"))
-    top = edge.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("label"), "_edge").select(
-        "label", F.explode(F.sequence(F.lit(0), F.col("_edge") - 1)).alias("bin"))
-    return top.join(binned, ["label", "bin"], "left").select("label", "bin", F.coalesce("n", F.lit(0)).alias("n"))
+    values = records.groupBy("label", F.least("sev3_hits", F.lit(max_edges)).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    edge = F.least(F.greatest(F.max("v").over(Window.partitionBy()), F.lit(1)) + 1, F.lit(max_edges - 1))
+    binned = values.withColumn("_edge", edge).withColumn("_out", F.col("v") > F.col("_edge"))
+    binned = binned.groupBy("label", F.least(F.col("v"), F.col("_edge") - 1).alias("bin"), "_edge").agg(
+        F.sum(F.when(F.col("_out"), 0).otherwise(F.col("n"))).alias("n"), F.lit(1.0).alias("width"))
+    return _with_empty_bins(binned, F.max("_edge") - 1).drop("width")
 
 
 def hits_histogram(records: DataFrame, max_edges: int = 40) -> DataFrame:
     """Conversations per label and equal-width bin of the total hits over [0, highest + 1]."""
     values = records.groupBy("label", F.col("total_rule_hits").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    highest = F.greatest(F.max("v"), F.lit(1))
-    shape = values.agg((highest + 1).alias("_end"), (F.least(highest + 2, F.lit(max_edges)) - 1).alias("_bins"))
+    # One row per label and distinct total here.
+    highest = F.greatest(F.max("v").over(Window.partitionBy()), F.lit(1))
+    shaped = values.withColumn("_end", highest + 1).withColumn("_bins", F.least(F.col("_end") + 1, F.lit(max_edges)) - 1)
     bucket = F.least(F.floor(F.col("v") * F.col("_bins") / F.col("_end")), F.col("_bins") - 1).cast("int")
-    binned = values.join(F.broadcast(shape), F.col("v") <= F.col("_end")).groupBy(  # shape is one row
-        "label", bucket.alias("bin")).agg(F.sum("n").alias("n"))
-    grid = shape.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("label"), "_bins", "_end").select(
-        "label", F.explode(F.sequence(F.lit(0), F.col("_bins") - 1)).alias("bin"), "_bins", "_end")
-    return grid.join(binned, ["label", "bin"], "left").select(
-        "label", "bin", F.round(F.col("bin") * F.col("_end") / F.col("_bins"), 6).alias("low"),
-        F.coalesce("n", F.lit(0)).alias("n"))
+    binned = shaped.groupBy("label", bucket.alias("bin"), "_bins", (F.col("_end") / F.col("_bins")).alias("width")).agg(F.sum("n").alias("n"))
+    filled = _with_empty_bins(binned, F.max("_bins") - 1)
+    return filled.select("label", "bin", F.round(F.col("bin") * F.col("width"), 6).alias("low"), "n")
 
 
 def split_summary(records: DataFrame) -> DataFrame:

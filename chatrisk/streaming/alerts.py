@@ -37,10 +37,19 @@ WINDOW_SCHEMA = (
 MATCHES = "ARRAY<STRUCT<rule_id: INT, category: STRING, severity: INT, text: STRING>>"
 
 
+EMIT_ROWS = 5_000  # rows per batch handed back
+
+
+def _with_arrays(rows: pd.DataFrame, windows: list) -> pd.DataFrame:
+    places = {"w_ext": 0, "w_sev": 1, "w_mask": 2, "w_prob": 3}
+    return rows.assign(**{c: pd.Series([[m[i] for m in w] for w in windows], index=rows.index) for c, i in places.items()})
+
+
 class LastMessages(StatefulProcessor):
     """Keeps the last `size` messages of a contact; emits each message with its window.
 
-    A micro-batch is applied in (ts, msg_id) order; a reset row clears the window before itself.
+    A micro-batch is applied in (ts, msg_id) order; a reset row clears the window before itself. The
+    handler holds one contact's rows of one micro-batch, which the source's per-trigger limit bounds.
     """
 
     def __init__(self, size: int):
@@ -53,19 +62,21 @@ class LastMessages(StatefulProcessor):
         batch = pd.concat(list(rows)).sort_values(["ts", "msg_id"], kind="stable")
         stored = self.window.get() if self.window.exists() else None
         window = list(zip(*stored)) if stored and stored[0] else []
-        windows = []
         arrived = zip(batch["sender"] == EXTERNAL, batch["max_severity"], batch["cat_mask"], batch["ml_prob"])
-        for message, reset in zip(arrived, batch["reset"].fillna(False).astype(bool)):
+        resets = batch["reset"].fillna(False).astype(bool).tolist()
+        out = batch.drop(columns=["reset"]).reset_index(drop=True)
+        windows, start = [], 0
+        for message, reset in zip(arrived, resets):
             window = ([] if reset else window[-(self.size - 1):]) + [message]
             windows.append(window)
+            if len(windows) == EMIT_ROWS:
+                yield _with_arrays(out[start:start + EMIT_ROWS], windows)
+                windows, start = [], start + EMIT_ROWS
         if windows:
-            ext, sev, mask, prob = zip(*windows[-1])
-            self.window.update((
-                [bool(x) for x in ext], [int(x) for x in sev], [int(x) for x in mask], [float(x) for x in prob]))
-            out = batch.drop(columns=["reset"]).reset_index(drop=True)
-            for column, place in (("w_ext", 0), ("w_sev", 1), ("w_mask", 2), ("w_prob", 3)):
-                out[column] = [[m[place] for m in w] for w in windows]
-            yield out
+            yield _with_arrays(out[start:], windows)
+        ext, sev, mask, prob = zip(*window)
+        self.window.update((
+            [bool(x) for x in ext], [int(x) for x in sev], [int(x) for x in mask], [float(x) for x in prob]))
 
     def close(self) -> None:
         pass

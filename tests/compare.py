@@ -15,6 +15,8 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
+SAME_TYPE = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
 
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
@@ -49,9 +51,14 @@ def compare(spark, con, query, sql, sf_dir) -> tuple[bool, str, int]:
     theirs = cursor.fetchall()
     if sorted(columns) != sorted(df.columns):
         return False, f"columns {sorted(df.columns)} against {sorted(columns)}", len(mine)
+    types = {d[0]: str(d[1]) for d in cursor.description}
+    other = {f.name: (SAME_TYPE.get(f.dataType.simpleString()), types[f.name]) for f in df.schema}
+    other = {name: pair for name, pair in other.items() if pair[0] != pair[1]}
     a, b = rows_of(df.columns, mine), rows_of(columns, theirs)
     if a != b:
         return False, f"{len(mine)} rows against {len(theirs)}; only here {list((a - b).items())[:2]}; only there {list((b - a).items())[:2]}", len(mine)
+    if other:
+        return False, f"types {other}", len(mine)
     return True, "equal", len(mine)
 
 
