@@ -13,6 +13,7 @@ from chatrisk.functions import rules, text
 from chatrisk.functions.catalog import DEFAULT, Catalog
 from chatrisk.operators import classifier, contacts, conversations, datasets, evaluation, messages, records, reports
 from chatrisk.plans.checkpoints import scratch_path
+from chatrisk.plans.spread import spread_small
 from chatrisk.sources import corpus, sinks
 from chatrisk.streaming import alerts as streams
 
@@ -121,7 +122,7 @@ def turn_shares(spark, sf_dir):
 
 @query(o.sql(o.normalised("documents", "doc_id", "text", "nd"), "SELECT doc_id, norm FROM nd WHERE norm <> ''"))
 def normalised_documents(spark, sf_dir):
-    docs = views.read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread_small(views.read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return text.drop_empty(text.normalise(docs, "text")).select("doc_id", "norm")
 
 
@@ -191,7 +192,7 @@ def rule_hits(spark, sf_dir):
               "h AS (SELECT doc_id, rule_id, category, severity, t, unnest(regexp_extract_all(t, pattern, 0, 'i')) AS text FROM d, rules)"],
              "SELECT doc_id, rule_id, category, severity, text, CAST(strpos(t, text) - 1 AS INTEGER) AS first_at FROM h"))
 def document_rule_hits(spark, sf_dir):
-    docs = views.read_table(spark, sf_dir, "documents").select("doc_id", F.concat_ws(
+    docs = spread_small(views.read_table(spark, sf_dir, "documents")).select("doc_id", F.concat_ws(
         "", F.col("text"), F.lit(" "), views._pick(views.DOUBLE, F.col("doc_id") % 4), F.lit(". "),
         views._pick(views.SINGLE, F.col("doc_id") % 12)).alias("t"))
     hits = rules.explode_hits(rules.with_matches(docs, "t"), "doc_id", "t").drop("hit_no")

@@ -1,8 +1,7 @@
 """Rule matching as column expressions: every occurrence of every pattern, in catalog order.
 
 A regex is tried on a message only when one of the words its match must contain is there; one
-pass finds all those words, so ordinary messages cost that pass alone. Rows with characters outside
-ASCII count as holding every word, because case folding can differ from lower-casing there.
+pass finds all those words, so ordinary messages cost that pass alone.
 """
 
 from __future__ import annotations
@@ -16,6 +15,8 @@ from chatrisk.functions.catalog import DEFAULT, Catalog
 from chatrisk.functions.sqltext import name, quote
 
 REGEX_FLAGS = "(?iU)"  # ignore case, Unicode classes and folding
+# Characters that match an ASCII letter when case is ignored but do not lower-case to it alone.
+FOLDED = ("\u017f\u0131\u212a\u0130", "siki")
 _HIT = "STRUCT<rule_id: INT, category: STRING, severity: INT, text: STRING>"
 _SPAN_HIT = "STRUCT<rule_id: INT, category: STRING, severity: INT, start: INT, end: INT, text: STRING>"
 
@@ -36,14 +37,14 @@ def candidate_rules(text: str, catalog: Catalog) -> Column:
             rules_of.setdefault(word, []).append(i)
     if not rules_of:
         return F.array().cast("array<int>")
-    low, regex = f"lower({name(text)})", word_regex(rules_of)
+    column, regex = name(text), word_regex(rules_of)
+    folded = f"translate({column}, {quote(FOLDED[0])}, {quote(FOLDED[1])})"
+    low = f"lower(CASE WHEN octet_length({column}) = char_length({column}) THEN {column} ELSE {folded} END)"
     table = ", ".join(f"{quote(w)}, array({', '.join(map(str, ids))})" for w, ids in rules_of.items())
     # The look-ahead finds a word at every position, overlapping ones included.
     words = f"regexp_extract_all({low}, {quote(f'(?=({regex}))')}, 1)"
-    every = f"array({', '.join(str(i) for i, anchor in enumerate(catalog.anchors) if anchor)})"
     return F.expr(
-        f"CASE WHEN octet_length({name(text)}) != char_length({name(text)}) THEN {every} "
-        f"WHEN rlike({low}, {quote(regex)}) THEN flatten(transform({words}, w -> element_at(map({table}), w))) "
+        f"CASE WHEN rlike({low}, {quote(regex)}) THEN flatten(transform({words}, w -> element_at(map({table}), w))) "
         f"ELSE CAST(array() AS ARRAY<INT>) END")
 
 

@@ -123,4 +123,6 @@ def normalise(
 
 def drop_empty(df: DataFrame, column: str = "norm") -> DataFrame:
     """Messages that still hold text after normalisation."""
-    return df.filter(F.col(column) != "")
+    # Through a one-element array the filter stays above the normalisation, which then runs once.
+    others = [c for c in df.columns if c != column]
+    return df.select(*others, F.explode_outer(F.array(column)).alias(column)).filter(F.col(column) != "")
