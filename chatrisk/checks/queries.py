@@ -13,6 +13,7 @@ from chatrisk.functions import rules, text
 from chatrisk.functions.catalog import DEFAULT, Catalog
 from chatrisk.operators import classifier, contacts, conversations, datasets, evaluation, messages, records, reports
 from chatrisk.plans.checkpoints import scratch_path
+from chatrisk.plans.session import tune
 from chatrisk.plans.spread import spread_small
 from chatrisk.sources import corpus, sinks
 from chatrisk.streaming import alerts as streams
@@ -26,7 +27,7 @@ WINDOW_ORDER = ["ts", "msg_id"]
 
 def query(sql: str | None = None):
     def register(function: Query) -> Query:
-        QUERIES[function.__name__] = function
+        QUERIES[function.__name__] = lambda spark, sf_dir: function(tune(spark), sf_dir)
         if sql:
             ORACLE[function.__name__] = sql
         return function

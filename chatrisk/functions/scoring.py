@@ -20,10 +20,11 @@ def has_any(mask: str, wanted: int) -> str:
     return f"({mask} & {wanted}L) != 0"
 
 
-def base_score(count_of: Callable[[str], str], catalog: Catalog) -> str:
-    """Sum of weight times count, each category's count capped."""
-    return " + ".join(
+def base_score(count_of: Callable[[str], str], mask: str, catalog: Catalog) -> str:
+    """Sum of weight times count, each category's count capped; most masks are empty."""
+    terms = " + ".join(
         f"{catalog.weight(c)}D * least({count_of(c)}, {config.COUNT_CAP})" for c in catalog.categories)
+    return f"IF({mask} = 0, 0D, {terms})"
 
 
 def pair_score(mask: str, catalog: Catalog) -> str:
@@ -33,7 +34,8 @@ def pair_score(mask: str, catalog: Catalog) -> str:
         for both, bonus in ((catalog.mask([a, b]), bonus) for a, b, bonus in catalog.pairs
                             if a in catalog.categories and b in catalog.categories)
     ]
-    return " + ".join(["0D", *terms])
+    two_or_more = f"({mask} & ({mask} - 1L)) != 0"
+    return f"IF({two_or_more}, {' + '.join(['0D', *terms])}, 0D)"
 
 
 def _highest(reached: Callable[[int], str]) -> str:

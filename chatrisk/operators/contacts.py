@@ -12,7 +12,7 @@ from chatrisk import config
 from chatrisk.functions import scoring
 from chatrisk.functions.catalog import DEFAULT, Catalog
 from chatrisk.functions.rules import mask_categories
-from chatrisk.plans.skew import PIECE_ROWS, split_hot, with_pieces, with_position
+from chatrisk.plans.skew import PIECE_ROWS, split_hot, spread_position, with_pieces
 
 EXTERNAL = "external"
 
@@ -80,7 +80,7 @@ def with_window(
     if ordinary is not None:
         parts.append(_window_figures(ordinary, keys, order, params, catalog))
     if hot is not None:
-        placed = with_position(hot, keys, order, "_pos", piece_rows)
+        placed = spread_position(hot, keys, order, "_pos")
         pieces = with_pieces(placed, "_pos", params.size - 1, piece_rows)
         figures = _window_figures(pieces, [*keys, "_piece"], ["_pos"], params, catalog)
         parts.append(figures.filter(~F.col("_halo")).drop("_halo", "_piece", "_pos"))
@@ -131,7 +131,7 @@ def _window_figures(
     scored = staged.withColumns({
         **{c: F.col(c).cast("int") for c in ("window_len", "n_external", "high_risk_count", "risky_count")},
         "n_runs": F.expr("int(_inner_runs + int(_cut_run))"),
-        "base": F.expr(scoring.base_score(packed.count_of, catalog)),
+        "base": F.expr(scoring.base_score(packed.count_of, "window_mask", catalog)),
         "cooccur": F.expr(scoring.pair_score("window_mask", catalog)),
         "escal": F.expr(scoring.escalation("n_external", lambda k: f"(_first{k} - _gone)", lambda k: f"(_last{k} - _gone)")),
         "arc": F.expr(scoring.stage_arc("n_external", "(_trust - _gone)", "(_solicit - _gone)", "window_mask", catalog)),

@@ -60,7 +60,7 @@ def _figures(messages: DataFrame, keys: list[str], catalog: Catalog, extra: dict
     solicit = scoring.has_any("_mask", catalog.mask(catalog.solicit))
     figures = {
         "label": "max(int(is_flagged AND NOT _halo))",
-        "n_messages": "count_if(norm != '' AND NOT _halo)",
+        "n_messages": "count_if(_live AND NOT _halo)",
         "n_flagged": "count_if(_own)",
         "total_hits": "sum(IF(_own, n_hits, 0))",
         "n_runs": "count_if(_third)",
@@ -101,7 +101,9 @@ def split_conversations(messages: DataFrame, scope: str, piece_rows: int) -> tup
     scored = F.col("norm") != ""
     if scope == "flagged":
         scored = scored & F.col("is_flagged")
-    marked = messages.withColumn("_scored", scored)
+    marked = messages.withColumn("_scored", scored).select(
+        KEY, "conv_idx", "is_flagged", "_scored", "max_severity", "cat_mask", "n_hits", (F.col("norm") != "").alias("_live"),
+        *(["_part"] if "_part" in messages.columns else []))
     ordinary, hot = split_hot(marked, [KEY], piece_rows)
     if ordinary is not None:
         ordinary = ordinary.withColumn("_halo", F.lit(False))
@@ -127,7 +129,7 @@ def risk_columns(figures: DataFrame, *, scope: str = "flagged", catalog: Catalog
     """Add the seven components, the score and the level."""
     place = {c: i for i, c in enumerate(catalog.categories)}
     scored = figures.withColumns({name: F.expr(sql) for name, sql in {
-        "base": scoring.base_score(lambda c: f"_n{place[c]}", catalog),
+        "base": scoring.base_score(lambda c: f"_n{place[c]}", "cat_mask", catalog),
         "cooccur": scoring.pair_score("cat_mask", catalog),
         "escal": scoring.escalation("n_flagged", lambda k: f"_first{k}", lambda k: f"_last{k}"),
         "arc": scoring.stage_arc("n_flagged", "_trust", "_solicit", "cat_mask", catalog),

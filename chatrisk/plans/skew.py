@@ -26,17 +26,25 @@ def hot_keys(df: DataFrame, keys: list[str], limit: int = PIECE_ROWS) -> DataFra
     if df.select(F.lit(1)).limit(limit + 1).count() <= limit:
         return None
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")) if keys else df.agg(F.count(F.lit(1)).alias("_n"))
-    hot = checkpointed(counts.filter(F.col("_n") > limit).select(*keys, "_n"))
+    hot = checkpointed(counts.filter(F.col("_n") > limit).select(*keys, "_n"), "hot-keys")
     return None if hot.isEmpty() else hot.select(*keys)
 
 
-def split_hot(df: DataFrame, keys: list[str], limit: int = PIECE_ROWS) -> tuple[DataFrame | None, DataFrame | None]:
-    """(rows of ordinary keys, rows of hot keys); a side that cannot have rows is None."""
+def split_hot(
+    df: DataFrame, keys: list[str], limit: int = PIECE_ROWS, *, materialise: bool = True,
+) -> tuple[DataFrame | None, DataFrame | None]:
+    """(rows of ordinary keys, rows of hot keys); a side that cannot have rows is None.
+
+    With hot keys the rows are read twice; `materialise` writes them first, so that what was
+    computed for them, such as rule hits, is computed once.
+    """
     hot = hot_keys(df, keys, limit)
     if hot is None:
         return df, None
     if not keys:
         return None, df
+    if materialise:
+        df = checkpointed(df, "skewed")
     return semi_join(df, hot, keys, keep=False), semi_join(df, hot, keys, keep=True)
 
 
@@ -44,22 +52,25 @@ def with_position(
     df: DataFrame, keys: list[str], order: list[str], out: str = "pos", limit: int = PIECE_ROWS,
 ) -> DataFrame:
     """Add the 0-based position of each row within its key; `order` must be unique within it."""
-    ordinary, hot = split_hot(df, keys, limit)
+    ordinary, hot = split_hot(df, keys, limit, materialise=False)
     parts = []
     if ordinary is not None:
         rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
         parts.append(ordinary.withColumn(out, rank.cast("bigint") - 1))
     if hot is not None:
-        parts.append(_spread_position(hot, keys, order, out))
+        parts.append(spread_position(hot, keys, order, out))
     return reduce(DataFrame.unionByName, parts)
 
 
-def _spread_position(df: DataFrame, keys: list[str], order: list, out: str) -> DataFrame:
-    """Positions by range partitions: rows before the partition plus the place within it."""
-    columns = [F.col(k) for k in keys] + [F.col(o) if isinstance(o, str) else o for o in order]
+def spread_position(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
+    """Positions by range partitions: rows before the partition plus the place within it.
+
+    The range partitions are written with their number, since sampling again could cut elsewhere.
+    """
+    columns = [F.col(k) for k in keys] + [F.col(o) for o in order]
     pieces = max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     placed = checkpointed(
-        df.repartitionByRange(pieces, *columns).withColumn("_piece", F.spark_partition_id())
+        df.repartitionByRange(pieces, *columns).withColumn("_piece", F.spark_partition_id()), "ranges"
     )
     sizes = placed.groupBy(*keys, "_piece").agg(F.count(F.lit(1)).alias("_size"))
     earlier = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)

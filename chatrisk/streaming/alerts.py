@@ -125,7 +125,7 @@ def score_windows(windows: DataFrame, params: WindowParams, catalog: Catalog) ->
     # Messages of the frame per category; categories not in its mask need no count.
     hits = lambda c: f"IF({scoring.has_any('window_mask', catalog.bit(c))}, {count(has([c]))}, 0)"
     scored = staged.withColumns({name: F.expr(sql) for name, sql in {
-        "base": scoring.base_score(hits, catalog),
+        "base": scoring.base_score(hits, "window_mask", catalog),
         "cooccur": scoring.pair_score("window_mask", catalog),
         "escal": scoring.escalation("n_external", lambda k: f"_first{k}", lambda k: f"_last{k}"),
         "arc": scoring.stage_arc("n_external", "_trust", "_solicit", "window_mask", catalog),
