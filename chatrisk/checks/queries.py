@@ -581,6 +581,19 @@ def calibrated_threshold(spark, sf_dir):
     return evaluation.calibrate(scored_rows(spark, sf_dir)).select(F.round("threshold", 6).alias("threshold"), F.round("f2", 6).alias("f2"))
 
 
+@query("""WITH sr AS (SELECT doc_id AS id, 1 / (1 + exp(-((n_chars % 1000) - 500) / 100.0)) AS prob, toxic AS label FROM labels JOIN documents USING (doc_id)),
+c AS (SELECT count(*) FILTER (prob >= 0.35 AND label = 1) AS tp, count(*) FILTER (prob >= 0.35 AND label = 0) AS fp, count(*) FILTER (prob < 0.35 AND label = 1) AS fn FROM sr),
+pr AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS recall FROM c)
+SELECT tp, fp, fn, round(precision, 6) AS precision, round(recall, 6) AS recall,
+round(CASE WHEN 4 * precision + recall = 0 THEN 0.0 ELSE 5 * precision * recall / (4 * precision + recall) END, 6) AS f2, 0.35e0 AS threshold FROM pr""")
+def evaluated_logits(spark, sf_dir):
+    logits = views.read_table(spark, sf_dir, "documents").select("doc_id", ((F.col("n_chars") % 1000 - 500) / 100.0).alias("logit"))
+    scores = logits.select(F.col("doc_id").alias("id"), evaluation.sigmoid(F.col("logit")).alias("prob"))
+    labels = views.read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("toxic").alias("label"))
+    result = evaluation.evaluate(labels, scores, "id", 0.35)
+    return result.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f2")})
+
+
 @query("SELECT event_id, round(1 / (1 + exp(-(value - 50) / 20.0)), 6) AS prob FROM events")
 def sigmoid_of_logit(spark, sf_dir):
     events = views.read_table(spark, sf_dir, "events")
@@ -702,11 +715,21 @@ def dataset_sink(spark, sf_dir):
 def analysis_sink(spark, sf_dir):
     path = scratch_path(spark, "analysis")
     sinks.write_analysis(reports.ranked_report(slim(spark, sf_dir)).drop("cat_counts").withColumn("categories", joined("categories")), path)
-    schema = """idx INT, conversation_id BIGINT, label INT, label_str STRING, risk_level STRING, risk_order INT, escalation BOOLEAN, arc BOOLEAN,
+    schema = """idx BIGINT, conversation_id BIGINT, label INT, label_str STRING, risk_level STRING, risk_order INT, escalation BOOLEAN, arc BOOLEAN,
     dominance BOOLEAN, categories STRING, n_categories INT, total_rule_hits INT, sev3_hits INT, n_messages INT"""
     return spark.read.schema(schema).json(path)
 
 
+@query(o.sql([*REC, """line AS (SELECT conv_id, CASE WHEN is_flagged THEN '[PRED]' ELSE '[USER]' END || coalesce('  ' || tl, '') || '  ' || norm AS value
+FROM live LEFT JOIN (SELECT conv_id, conv_idx, string_agg('[' || category || ':' || severity || ']', ' ' ORDER BY r) AS tl FROM tag1 GROUP BY 1, 2) USING (conv_id, conv_idx))"""],
+             "SELECT value, count(*) AS n FROM line GROUP BY 1"))
+def readable_sink(spark, sf_dir):
+    path = scratch_path(spark, "readable")
+    sinks.write_readable(reports.ranked_report(records.parse_records(dataset(spark, sf_dir))), path)
+    lines = spark.read.text(path).filter(F.col("value").rlike(r"^\[(PRED|USER)\]"))
+    return lines.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(ORACLE["metrics_at_threshold"])
 def metrics_sink(spark, sf_dir):
     path = scratch_path(spark, "metrics")
