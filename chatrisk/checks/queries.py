@@ -380,6 +380,13 @@ def window_counts(spark, sf_dir):
     return windowed(spark, sf_dir).select("contact_id", "msg_id", "window_len", "n_external", "high_risk_count", "risky_count")
 
 
+@query(o.sql(o.CONTACT, "SELECT contact_id, msg_id, category, CAST(k AS INTEGER) AS n FROM fc JOIN cm ON cm.msg_id = at_id"))
+def window_category_counts(spark, sf_dir):
+    scored = contacts.with_window(contact_annotated(spark, sf_dir), WINDOW_KEYS, WINDOW_ORDER, counts=True)
+    rows = scored.select("contact_id", "msg_id", F.explode_outer("category_counts").alias("c"))
+    return rows.filter("c IS NOT NULL").select("contact_id", "msg_id", "c.category", "c.n")
+
+
 @query(o.sql(o.CONTACT, "SELECT contact_id, msg_id, base, cooccur, escal, arc, consec, score FROM win"))
 def window_risk(spark, sf_dir):
     return windowed(spark, sf_dir).select("contact_id", "msg_id", "base", "cooccur", "escal", "arc", "consec", "score")

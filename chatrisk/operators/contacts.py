@@ -57,6 +57,12 @@ class PackedCounts:
         word, slot = divmod(self.categories.index(category), self.per_word)
         return f"(shiftright(_packed{word}, {slot * self.bits}) & {(1 << self.bits) - 1}L)"
 
+    def present(self) -> str:
+        """(category, n) of the categories that occur."""
+        entries = ", ".join(
+            f"named_struct('category', '{c}', 'n', CAST({self.count_of(c)} AS INT))" for c in self.categories)
+        return f"filter(array({entries}), c -> c.n > 0)"
+
     def _slots(self, word: int) -> tuple[str, ...]:
         return self.categories[word * self.per_word:(word + 1) * self.per_word]
 
@@ -68,27 +74,30 @@ def is_risky(params: WindowParams = WindowParams()) -> Column:
 
 def with_window(
     messages: DataFrame, keys: list[str], order: list[str], params: WindowParams = WindowParams(),
-    catalog: Catalog = DEFAULT, piece_rows: int = PIECE_ROWS,
+    catalog: Catalog = DEFAULT, piece_rows: int = PIECE_ROWS, counts: bool = False,
 ) -> DataFrame:
     """Add the window figures of every message: the last `size` messages of its key, itself included.
 
+    `counts` adds category_counts, the categories of the window with the messages that hold them.
+
     `messages` holds sender, ml_prob, max_severity and cat_mask. `order` is unique within a key.
     Keys beyond `piece_rows` rows are windowed piece by piece.
     """
     ordinary, hot = split_hot(messages, keys, piece_rows)
     parts = []
     if ordinary is not None:
-        parts.append(_window_figures(ordinary, keys, order, params, catalog))
+        parts.append(_window_figures(ordinary, keys, order, params, catalog, counts))
     if hot is not None:
         placed = spread_position(hot, keys, order, "_pos")
         pieces = with_pieces(placed, "_pos", params.size - 1, piece_rows)
-        figures = _window_figures(pieces, [*keys, "_piece"], ["_pos"], params, catalog)
+        figures = _window_figures(pieces, [*keys, "_piece"], ["_pos"], params, catalog, counts)
         parts.append(figures.filter(~F.col("_halo")).drop("_halo", "_piece", "_pos"))
     return reduce(DataFrame.unionByName, parts)
 
 
 def _window_figures(
     messages: DataFrame, keys: list[str], order: list[str], params: WindowParams, catalog: Catalog,
+    counts: bool = False,
 ) -> DataFrame:
     by = Window.partitionBy(*keys).orderBy(*order)
     frame = by.rowsBetween(-(params.size - 1), 0)
@@ -136,6 +145,8 @@ def _window_figures(
         "escal": F.expr(scoring.escalation("n_external", lambda k: f"(_first{k} - _gone)", lambda k: f"(_last{k} - _gone)")),
         "arc": F.expr(scoring.stage_arc("n_external", "(_trust - _gone)", "(_solicit - _gone)", "window_mask", catalog)),
     })
+    if counts:
+        scored = scored.withColumn("category_counts", F.expr(packed.present()))
     helpers = [c for c in scored.columns if c.startswith("_") and c not in messages.columns]
     return with_score(scored.drop(*helpers))
 
