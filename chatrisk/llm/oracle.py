@@ -42,7 +42,7 @@ m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
     (SELECT count(*) FROM unnest(w) AS u(x) WHERE x IN ({", ".join(f"'{w}'" for w in STOP_WORDS)})) AS stops
     FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN lines USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    NOT base_failed AND n_symbols <= 0.1 * word_chars AND word_chars >= 2 * n_words AND word_chars <= 25 * n_words
+    NOT base_failed AND n_symbols <= 0.05 * word_chars AND word_chars >= 2 * n_words AND word_chars <= 25 * n_words
     AND stops >= 0.005 * n_words AND n_dup_lines <= 0.6 * n_lines AND shouts <= 0.5 * n_words AS kept
 FROM (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 """

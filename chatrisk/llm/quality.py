@@ -37,7 +37,7 @@ class Rule:
 RULES = (
     Rule("length", "n_words", low=50),
     Rule("repeated_words", "repeat_ratio", high=0.5),
-    Rule("symbols", "symbol_ratio", high=0.1),
+    Rule("symbols", "symbol_ratio", high=0.05),
     Rule("word_length", "mean_word_chars", low=2.0, high=25.0),
     Rule("stop_words", "stop_ratio", low=0.005),
     Rule("duplicate_lines", "dup_line_ratio", high=0.6),
@@ -52,7 +52,7 @@ def measures(df: DataFrame) -> DataFrame:
     lines = F.filter(F.split(text, "\n"), lambda s: s.rlike("[^ \\x09-\\x0D]"))
     n = F.size("_words")
     windows = F.when(n < 3, F.array().cast("array<struct<h:bigint,p:int>>")).otherwise(
-        F.array_sort(
+        F.sort_array(
             F.transform(
                 F.sequence(F.lit(0), n - 3),
                 lambda i: F.struct(
@@ -66,7 +66,7 @@ def measures(df: DataFrame) -> DataFrame:
         same = lambda j: F.coalesce(F.get("_windows", j)["h"] == window["h"], F.lit(False))
         return same(i - 1) | same(i + 1)
 
-    starts = F.array_sort(F.transform(F.filter("_windows", repeated), lambda w: w["p"]))
+    starts = F.sort_array(F.transform(F.filter("_windows", repeated), lambda w: w["p"]))
     # Each repeated window covers its words up to the next repeated window, three at most.
     covered = F.aggregate(
         F.transform("_starts", lambda p, i: F.least(F.lit(3), F.coalesce(F.get("_starts", i + 1) - p, F.lit(3)))),
@@ -84,7 +84,7 @@ def measures(df: DataFrame) -> DataFrame:
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint"),
             "n_repeat_words": covered,
             "n_stop_words": stops.cast("bigint"),
-            "n_shouts": F.length(F.regexp_replace(text, "[^!]", "")).cast("bigint"),
+            "n_shouts": (F.length(text) - F.length(F.translate(text, "!", ""))).cast("bigint"),
             "n_lines": F.size("_lines").cast("bigint"),
         })
         .drop("_words", "_lines", "_windows", "_starts")
