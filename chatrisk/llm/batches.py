@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from chatrisk.plans.joins import BROADCAST_ROWS, fits_broadcast
+
 #: Rows sent to Python at once; a batch holds this many whole texts.
 BATCH_ROWS = 512
 
@@ -76,7 +78,6 @@ def map_batches(
     return df.mapInArrow(run, schema)
 
 
-def counted(df: DataFrame, limit: int) -> int | None:
-    """The number of rows, or None if there are more than `limit`."""
-    n = df.select(F.lit(1)).limit(limit + 1).count()
-    return n if n <= limit else None
+def checked_join(big: DataFrame, small: DataFrame, on: list[str], how: str, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A broadcast join up to a counted size, beyond it a shuffle join that Spark splits where it is skewed."""
+    return big.join(F.broadcast(small) if fits_broadcast(small, limit) else small, on, how)

@@ -30,10 +30,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from chatrisk.llm.batches import byte_texts, map_batches, spaced
+from chatrisk.llm.batches import byte_texts, checked_join, map_batches, spaced
 from chatrisk.llm.components import components
 from chatrisk.plans.checkpoints import checkpointed
-from chatrisk.plans.joins import BROADCAST_ROWS, fits_broadcast
 
 #: Minwise values in a sketch, and trees.
 SKETCH = 128
@@ -163,7 +162,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, node:
         F.min("first_id").alias("component_id"), F.sum("copies").alias("members")
     ).filter(F.col("members") > 1)
     shared = checkpointed(groups.join(firsts, "component").select("key", "component_id"), "groups")
-    found = _lookup(rows.select("doc_id", "n_shingles", "key"), shared, ["key"], "left")
+    found = checked_join(rows.select("doc_id", "n_shingles", "key"), shared, ["key"], "left")
     component = F.when(F.col("component_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return found.select(
         "doc_id", "n_shingles", "key", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept")
@@ -209,16 +208,11 @@ def linked_classes(
     return rows, components(links.unionByName(confirmed(docs, rows, more, shingle, percent)))
 
 
-def _lookup(big: DataFrame, small: DataFrame, on: list[str], how: str) -> DataFrame:
-    """A broadcast join up to a counted size, beyond it a shuffle join that Spark splits where it is skewed."""
-    return big.join(F.broadcast(small) if fits_broadcast(small, BROADCAST_ROWS) else small, on, how)
-
-
 def _sketches_of(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """(key, sketch) of the classes that share a node with another one."""
     firsts = rows.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min(_id()).alias("_id"))
     needed = checkpointed(firsts.join(nodes.select("key").distinct(), "key"), "needed")
-    own = _lookup(rows.select("key", "sketch", _id().alias("_id")), needed, ["key", "_id"], "inner")
+    own = checked_join(rows.select("key", "sketch", _id().alias("_id")), needed, ["key", "_id"], "inner")
     return checkpointed(own.dropDuplicates(["key"]).select("key", "sketch"), "sketches")
 
 
@@ -247,7 +241,7 @@ def _pivot_pairs(large: DataFrame, sketches: DataFrame, similarity: float) -> Da
         sketches.select(F.col("key").alias("a"), F.col("sketch").alias("pivot")), "a"
     )
     own = large.select("path", F.col("key").alias("b")).join(sketches.select(F.col("key").alias("b"), "sketch"), "b")
-    rated = _lookup(own, checkpointed(pivots, "pivots"), ["path"], "inner").filter(F.col("a") != F.col("b"))
+    rated = checked_join(own, checkpointed(pivots, "pivots"), ["path"], "inner").filter(F.col("a") != F.col("b"))
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -370,7 +364,7 @@ def confirmed(docs: DataFrame, rows: DataFrame, pairs: DataFrame, shingle: int,
     keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
     firsts = rows.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min(_id()).alias("_id"))
     needed = checkpointed(firsts.join(keys, "key").select("_id").distinct(), "ids")
-    texts = _lookup(docs.select(_id().alias("_id"), "text"), needed, ["_id"], "left_semi")
+    texts = checked_join(docs.select(_id().alias("_id"), "text"), needed, ["_id"], "left_semi")
 
     def remade(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
         codes = WordCodes()
