@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -81,3 +81,12 @@ def map_batches(
 def checked_join(big: DataFrame, small: DataFrame, on: list[str], how: str, limit: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast join up to a counted size, beyond it a shuffle join that Spark splits where it is skewed."""
     return big.join(F.broadcast(small) if fits_broadcast(small, limit) else small, on, how)
+
+
+def kept_rows(df: DataFrame, condition: Column) -> DataFrame:
+    """The rows that meet a costly condition, which is evaluated where it stands.
+
+    A plain filter is pushed below the projections that the condition is made of, and repeats them, inside
+    their own lambdas too. A row number in the tested value keeps it in place.
+    """
+    return df.withColumn("_stays", F.when(condition, F.monotonically_increasing_id())).filter("_stays IS NOT NULL").drop("_stays")

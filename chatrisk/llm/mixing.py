@@ -41,8 +41,8 @@ def with_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     """Targets for sources (source, source_size): shares by weight, none above `most` times its size.
 
     Weights repeat over the sources by code point, null last. What a capped source cannot take goes to the
-    others by weight: the sources are ordered by cap over weight, and the first k are capped where the level
-    that is left over for the rest stays below the caps of the rest.
+    others by weight: with the sources in order of cap over weight, the level (words per weight) is the largest
+    that any number of capped sources leaves to the rest.
     """
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     weight = F.element_at(F.array(*map(F.lit, weights)), (place % len(weights) + 1).cast("int"))
@@ -53,9 +53,8 @@ def with_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     left = F.sum("source_size").over(every) - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))
     rest = F.sum("_weight").over(every) - F.coalesce(F.sum("_weight").over(before), F.lit(0.0))
     levels = ranked.withColumn("_level", left / rest)
-    level = F.min(F.when(F.col("_level") * F.col("_weight") <= F.col("_cap"), F.col("_level"))).over(every)
-    # Where no source stays below its cap, all of them are full.
-    share = F.coalesce(F.least(F.col("_cap"), level * F.col("_weight")), F.col("_cap"))
+    # The level rises with every source that is rightly capped and falls with the first that is not.
+    share = F.least(F.col("_cap"), F.max("_level").over(every) * F.col("_weight"))
     return levels.select("source", "source_size", share.alias("target"))
 
 

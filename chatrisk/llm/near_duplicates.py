@@ -147,7 +147,8 @@ def set_rows(docs: DataFrame, shingle: int, similarity: float, trees: int = TREE
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, node: int = NODE, levels: int = LEVELS) -> DataFrame:
-    """A row per row of `docs`: doc_id, n_shingles, key, component_id (smallest id reachable), kept.
+    """A row per row of `docs`: doc_id, n_shingles, key (of its set), group, component_id (smallest
+    id reachable), kept.
 
     Documents with 100 * intersection >= percent * union of their shingle sets are linked.
     """
@@ -161,14 +162,48 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, node:
     firsts = groups.groupBy("component").agg(
         F.min("first_id").alias("component_id"), F.sum("copies").alias("members")
     ).filter(F.col("members") > 1)
-    shared = checkpointed(groups.join(firsts, "component").select("key", "component_id"), "groups")
+    shared = checkpointed(groups.join(firsts, "component").select("key", "component_id", F.col("component").alias("group")), "groups")
     found = checked_join(rows.select("doc_id", "n_shingles", "key"), shared, ["key"], "left")
     component = F.when(F.col("component_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return found.select(
-        "doc_id", "n_shingles", "key", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept")
+        "doc_id", "n_shingles", "key", F.coalesce("group", "key").alias("group"), component.alias("component_id"),
+        component.eqNullSafe(F.col("doc_id")).alias("kept"),
     )
 
 
+def deduplicated(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """One row of `docs` per group: of the rows with the smallest id. Texts without words all stay.
+
+    Rows are told apart by id. Of ids that several rows share, or that are null, the shingle sets are made
+    again, and one row per id and set stays if the group's document has that id.
+    """
+    found = checkpointed(near_duplicates(docs, shingle, percent).withColumn("_id", _id()), "groups-of-rows")
+    shared = found.groupBy("_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("doc_id").isNull()).alias("null")).filter(
+        (F.col("n") > 1) | F.col("null")
+    ).select("_id")
+    shared = checkpointed(shared, "shared-ids")
+    gone = checkpointed(found.filter(~F.col("kept")).select("_id").distinct(), "gone")
+    own = docs.withColumn("_id", _id())
+    plain = checked_join(checked_join(own, shared, ["_id"], "left_anti"), gone, ["_id"], "left_anti").drop("_id")
+    if shared.isEmpty():
+        return plain
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
+        codes = WordCodes()
+        for batch in batches:
+            sets = [shingle_set(t, shingle, codes) for t in byte_texts(batch.column("text"))]
+            yield batch, [pa.array([_key(s) if len(s) else None for s in sets], pa.binary())]
+
+    odd = map_batches(checked_join(own, shared, ["_id"], "left_semi"), keyed, [StructField("_key", BinaryType())], own.columns)
+    # One set per group and id stays: of the sets that share the group's smallest id, the smallest.
+    stays = (
+        found.filter(F.col("kept") & F.col("key").isNotNull()).join(shared, "_id", "left_semi")
+        .groupBy("_id", "component_id", "group").agg(F.min("key").alias("_key")).select("_id", "_key")
+    )
+    full = odd.filter(F.col("_key").isNotNull()).join(stays, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"])
+    return plain.unionByName(odd.filter(F.col("_key").isNull()).unionByName(full).drop("_id", "_key"))
+
+
 def linked_classes(
     docs: DataFrame, shingle: int, percent: int, node: int = NODE, levels: int = LEVELS,
 ) -> tuple[DataFrame, DataFrame]:

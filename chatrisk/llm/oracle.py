@@ -53,7 +53,7 @@ s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY so
 r AS (SELECT *, CAST([5, 2, 1][(row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS wt, 3.0 * source_size AS cap FROM s),
 l AS (SELECT *, CAST((sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0)) AS DOUBLE) / (sum(wt) OVER () - coalesce(sum(wt) OVER b, 0)) AS level
     FROM r WINDOW b AS (ORDER BY cap / wt, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-t AS (SELECT source, source_size, coalesce(least(CAST(cap AS DOUBLE), min(CASE WHEN level * wt <= cap THEN level END) OVER () * wt), cap) AS target FROM l),
+t AS (SELECT source, source_size, least(CAST(cap AS DOUBLE), max(level) OVER () * wt) AS target FROM l),
 e AS (SELECT d.doc_id, d.source, size, source_size, target,
     (CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0::DOUBLE AS u,
     CASE WHEN source_size > 0 THEN least(target / source_size, 3) ELSE 0 END AS expected

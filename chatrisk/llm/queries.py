@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatrisk.llm import chat, decontaminate, mixing, quality
+from chatrisk.llm import (
+    chat, context_mixing, decontaminate, licenses, mixing, near_duplicates, pii, quality, token_counts, toxicity,
+)
 from chatrisk.llm import oracle as o
 from chatrisk.llm.batches import tuned
 from chatrisk.plans.checkpoints import checkpointed
@@ -31,6 +33,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query()
+def op1_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.scored(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
+@query()
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = checkpointed(pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), "personal-data")
+    return pii.with_digest(pii.selected(found, pii.train(found)))
+
+
 @query(o.DECONTAMINATION)
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -40,6 +53,20 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def is_held(doc_id: Column) -> Column:
+        return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0
+
+    found = toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), is_held)
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
+@query()
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counted(table(spark, sf_dir, "documents"))
+
+
 @query(o.QUALITY)
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
@@ -47,6 +74,14 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_duplicates.near_duplicates(docs, shingle=3, percent=85).select(
+        "doc_id", "n_shingles", "component_id", "kept"
+    )
+
+
 @query(o.MIXING)
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.text_words().alias("words"))
@@ -55,6 +90,12 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scanned(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return licenses.with_digest(found).drop("text")
+
+
 @query(o.CHAT)
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
