@@ -9,9 +9,9 @@
 3. Pairs whose sketches are near enough are confirmed on the full shingle sets, which are made again for the
    classes in question only. Confirmed pairs are links.
 4. Nodes of more than `ALL_PAIRS` classes first propose a maximum spanning forest. When its links are known,
-   only pairs between different components are proposed in a second round; nodes that are still too large
-   after the last level are then compared in blocks, the largest component of the node against the rest. So
-   no node is skipped, and a large group of copies costs little once it hangs together.
+   only pairs between different components are proposed in a second round, by a finer sketch; nodes that are
+   still too large after the last level are then compared in blocks, the largest component of the node against
+   the rest. So no node is skipped, and a large group of copies costs little once it hangs together.
 
 Null and empty texts have an empty set and are linked with nothing. Ids may repeat or be null: every row
 keeps its own set. Extra columns are not needed and clash with nothing.
@@ -28,7 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
 from chatrisk.llm.batches import byte_texts, checked_join, map_batches, spaced
 from chatrisk.llm.components import components
@@ -45,6 +45,9 @@ PIVOTS = 8
 #: A pair is confirmed on full sets if its sketch similarity is at most this far below the limit: 4.7
 #: standard deviations at 0.85 and 128 values.
 MARGIN = 0.15
+#: Values of the finer sketch of the second round, of one byte each, and its margin (4.9 standard deviations).
+FINE = 1024
+FINE_MARGIN = 0.055
 
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 _MIX2 = np.uint64(0xC4CEB9FE1A85EC53)
@@ -119,10 +122,11 @@ def _id(column: str = "doc_id") -> Column:
 
 
 def set_rows(docs: DataFrame, shingle: int, similarity: float, trees: int = TREES, sketch: int = SKETCH) -> DataFrame:
-    """doc_id, n_shingles, key (digest of the set; null if empty), sketch and the paths of the first level."""
+    """doc_id, n_shingles, key (digest of the set; null if empty), sketch, tiny (its last bytes) and the paths of the
+    first level."""
     fields = [
         StructField("n_shingles", LongType()), StructField("key", BinaryType()),
-        StructField("sketch", BinaryType()), StructField("paths", ArrayType(LongType())),
+        StructField("sketch", BinaryType()), StructField("tiny", BinaryType()), StructField("paths", ArrayType(LongType())),
     ]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
@@ -137,10 +141,11 @@ def set_rows(docs: DataFrame, shingle: int, similarity: float, trees: int = TREE
                     paths.append(None)
                     continue
                 own = branches(roots, np.broadcast_to(values, (trees, sketch)), similarity)
-                paths.append(np.concatenate([p for _, p in own]).view(np.int64).tolist())
+                paths.append(np.unique(np.concatenate([p for _, p in own]).view(np.int64)).tolist())
             yield batch, [
                 pa.array([len(s) for s in sets], pa.int64()), pa.array([_key(s) if len(s) else None for s in sets], pa.binary()),
-                pa.array([None if v is None else v.tobytes() for v in sketches], pa.binary()), pa.array(paths, pa.list_(pa.int64())),
+                pa.array([None if v is None else v.tobytes() for v in sketches], pa.binary()),
+                pa.array([None if v is None else v.astype(np.uint8).tobytes() for v in sketches], pa.binary()), pa.array(paths, pa.list_(pa.int64())),
             ]
 
     return map_batches(docs.select("doc_id", "text"), rows, fields, ["doc_id"])
@@ -210,7 +215,8 @@ def linked_classes(
     """The set rows of `docs`, and (node, component) of the classes that have a link."""
     similarity = percent / 100
     rows = checkpointed(set_rows(docs, shingle, similarity), "sets")
-    members = rows.filter(F.col("key").isNotNull()).select("key", F.explode("paths").alias("path")).distinct()
+    # Rows of a class have equal paths; a task drops repeated ones before they are dealt out.
+    members = rows.filter(F.col("key").isNotNull()).select("key", "paths").distinct().select("key", F.explode("paths").alias("path"))
     nodes, sketches, proposed, large = [], None, [], None
     for level in range(levels + 1):
         sizes = members.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -226,7 +232,8 @@ def linked_classes(
         if level < levels:
             members = _branched(large, sketches, similarity)
     smalls = reduce(DataFrame.unionByName, nodes)
-    proposed.append(_near_pairs(smalls.select("path", "key", F.col("key").alias("component"), F.lit(0).alias("side")), sketches, similarity, forest=True))
+    alone = smalls.select("path", "key", F.col("key").alias("component"), F.lit(0).alias("side"))
+    proposed.append(_near_pairs(alone, sketches, similarity - MARGIN, "forest"))
     tested = checkpointed(reduce(DataFrame.unionByName, proposed).distinct(), "pairs")
     links = confirmed(docs, rows, tested, shingle, percent)
     wide = smalls.filter(F.col("n") > ALL_PAIRS)
@@ -236,7 +243,9 @@ def linked_classes(
     rest = _crossing(wide, labels).withColumn("side", F.lit(0))
     if large is not None:
         rest = rest.unionByName(_blocks(_crossing(large, labels), node))
-    more = _near_pairs(rest, sketches, similarity, forest=False).distinct().join(tested, ["a", "b"], "left_anti")
+    close = checkpointed(_near_pairs(rest, sketches, similarity - MARGIN, "members"), "close")
+    fine = _fine_sketches(full_sets(docs, rows, close.select("key").distinct(), shingle))
+    more = _near_pairs(close, fine, similarity - FINE_MARGIN, "pairs").join(tested, ["a", "b"], "left_anti")
     more = checkpointed(more, "pairs")
     if more.isEmpty():
         return rows, labels
@@ -244,11 +253,11 @@ def linked_classes(
 
 
 def _sketches_of(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(key, sketch) of the classes that share a node with another one."""
+    """(key, sketch, tiny) of the classes that share a node with another one."""
     firsts = rows.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min(_id()).alias("_id"))
     needed = checkpointed(firsts.join(nodes.select("key").distinct(), "key"), "needed")
-    own = checked_join(rows.select("key", "sketch", _id().alias("_id")), needed, ["key", "_id"], "inner")
-    return checkpointed(own.dropDuplicates(["key"]).select("key", "sketch"), "sketches")
+    own = checked_join(rows.select("key", "sketch", "tiny", _id().alias("_id")), needed, ["key", "_id"], "inner")
+    return checkpointed(own.dropDuplicates(["key"]).select("key", "sketch", "tiny"), "sketches")
 
 
 def _branched(large: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
@@ -264,7 +273,7 @@ def _branched(large: DataFrame, sketches: DataFrame, similarity: float) -> DataF
                 )
 
     schema = StructType([StructField("key", BinaryType()), StructField("path", LongType())])
-    return large.select("path", "key").join(sketches, "key").mapInArrow(branch, schema).distinct()
+    return large.select("path", "key").join(sketches.select("key", "sketch"), "key").mapInArrow(branch, schema).distinct()
 
 
 def _pivot_pairs(large: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
@@ -324,36 +333,47 @@ def _blocks(large: DataFrame, node: int) -> DataFrame:
     return first.unionByName(second)
 
 
-def _near_pairs(nodes: DataFrame, sketches: DataFrame, similarity: float, forest: bool) -> DataFrame:
-    """Near pairs of each node (path, key, component, side), between different components.
+def _near_pairs(nodes: DataFrame, sketches: DataFrame, least: float, give: str) -> DataFrame:
+    """Near pairs (a, b) of each node (path, key, component, side) between different components.
 
-    With `forest`, nodes of more than ALL_PAIRS classes give a maximum spanning forest only. Sketches are
-    compared by one byte per value, which adds 1/256 of a chance match.
+    Sketches (tiny) are compared by one byte per value, which adds 1/256 of a chance match. `give` is "pairs",
+    "forest" (of nodes of more than ALL_PAIRS classes a maximum spanning forest) or "members", the rows of
+    `nodes` that are in a near pair.
     """
-    least = similarity - MARGIN
+    names = ["path", "key", "component", "side"] if give == "members" else ["a", "b"]
 
-    def pairs(keys: list[bytes], parts: list[bytes], sides: list[int], sketches: list[bytes]) -> list[tuple[bytes, bytes]]:
-        values = np.stack([np.frombuffer(s, np.uint32).astype(np.uint8) for s in sketches])
-        codes = np.unique(np.array(parts, object), return_inverse=True)[1]
-        side = np.array(sides)
+    def near_ones(group: dict[str, list]) -> list[tuple[float, int, int]]:
+        values = np.stack([np.frombuffer(s, np.uint8) for s in group["tiny"]])
+        codes = np.unique(np.array(group["component"], object), return_inverse=True)[1]
+        side = np.array(group["side"])
         near = []
-        for i in range(len(keys) - 1):
+        for i in range(len(values) - 1):
             alike = (values[i + 1 :] == values[i]).mean(axis=1)
-            for j in np.flatnonzero((alike >= least) & (codes[i + 1 :] != codes[i])).tolist():
-                if not (side[i] == 0 and side[i + 1 + j] == 0 and side.any()):
-                    near.append((float(alike[j]), i, i + 1 + j))
-        if forest and len(keys) > ALL_PAIRS:
-            near = _spanning(near, len(keys))
-        return [(min(keys[i], keys[j]), max(keys[i], keys[j])) for _, i, j in near]
+            apart = (codes[i + 1 :] != codes[i]) & ((side[i] == 1) | (side[i + 1 :] == 1) | (not side.any()))
+            near += [(float(alike[j]), i, i + 1 + j) for j in np.flatnonzero((alike >= least) & apart).tolist()]
+        return near
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches, "path"):
-            if len(group["key"]) > 1 and (found := pairs(group["key"], group["component"], group["side"], group["sketch"])):
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*found)], names=["a", "b"])
+            near = near_ones(group) if len(group["key"]) > 1 else []
+            if not near:
+                continue
+            if give == "members":
+                rows = sorted({i for _, *pair in near for i in pair})
+                columns = [[group[c][i] for i in rows] for c in names]
+                kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int32()]
+            else:
+                if give == "forest" and len(group["key"]) > ALL_PAIRS:
+                    near = _spanning(near, len(group["key"]))
+                keys = [sorted((group["key"][i], group["key"][j])) for _, i, j in near]
+                columns, kinds = list(zip(*keys)), [pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
-    schema = StructType([StructField("a", BinaryType()), StructField("b", BinaryType())])
-    joined = nodes.join(sketches, "key").select("path", "key", "component", "side", "sketch")
-    return joined.repartition("path").sortWithinPartitions("path", "key").mapInArrow(run, schema).distinct()
+    kinds = {"path": LongType(), "side": IntegerType()}
+    schema = StructType([StructField(n, kinds.get(n, BinaryType())) for n in names])
+    joined = nodes.join(sketches.select("key", "tiny"), "key").select("path", "key", "component", "side", "tiny")
+    found = joined.repartition("path").sortWithinPartitions("path", "key").mapInArrow(run, schema)
+    return found if give == "members" else found.distinct()
 
 
 def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[dict[str, list]]:
@@ -394,9 +414,8 @@ def _spanning(near: list[tuple[float, int, int]], n: int) -> list[tuple[float, i
     return out
 
 
-def confirmed(docs: DataFrame, rows: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose full sets meet the limit."""
-    keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+def full_sets(docs: DataFrame, rows: DataFrame, keys: DataFrame, shingle: int) -> DataFrame:
+    """(key, codes) of some classes, made again from the text of one document each."""
     firsts = rows.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min(_id()).alias("_id"))
     needed = checkpointed(firsts.join(keys, "key").select("_id").distinct(), "ids")
     texts = checked_join(docs.select(_id().alias("_id"), "text"), needed, ["_id"], "left_semi")
@@ -411,7 +430,24 @@ def confirmed(docs: DataFrame, rows: DataFrame, pairs: DataFrame, shingle: int,
             ]
 
     sets = map_batches(texts, remade, [StructField("key", BinaryType()), StructField("codes", BinaryType())], [])
-    sets = checkpointed(sets.filter(F.col("key").isNotNull()), "full-sets").dropDuplicates(["key"])
+    return checkpointed(sets.filter(F.col("key").isNotNull()), "full-sets").dropDuplicates(["key"])
+
+
+def _fine_sketches(sets: DataFrame) -> DataFrame:
+    """(key, tiny) with FINE values instead of SKETCH."""
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
+        sketcher = Sketcher(FINE)
+        for batch in batches:
+            values = [sketcher(np.frombuffer(c, np.uint64)) for c in batch.column("codes").to_pylist()]
+            yield batch, [pa.array([v.astype(np.uint8).tobytes() for v in values], pa.binary())]
+
+    return checkpointed(map_batches(sets, sketched, [StructField("tiny", BinaryType())], ["key"]), "fine-sketches")
+
+
+def confirmed(docs: DataFrame, rows: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose full sets meet the limit."""
+    keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+    sets = full_sets(docs, rows, keys, shingle)
     left = pairs.join(sets.select(F.col("key").alias("a"), F.col("codes").alias("x")), "a")
     both = left.join(sets.select(F.col("key").alias("b"), F.col("codes").alias("y")), "b")
 
