@@ -148,7 +148,7 @@ def masked_urls(spark, sf_dir):
         text.mask_urls(F.concat(F.lit("see "), F.lower("url"), F.lit(" for more"))).alias("sentence"))
 
 
-@query(r"""SELECT doc_id, (length(m) - length(replace(m, '<EMAIL>', ''))) // 7 AS n_emails, (length(m) - length(replace(m, '<PHONE>', ''))) // 7 AS n_phones, length(m) AS n FROM
+@query(r"""SELECT doc_id, (length(m) - length(replace(m, '<EMAIL>', ''))) // 7 AS n_emails, (length(m) - length(replace(m, '<PHONE>', ''))) // 7 AS n_phones, length(m) AS n, m AS masked FROM
 (SELECT doc_id, regexp_replace(regexp_replace(lower(text), '\b[\w.+-]+@[\w-]+\.[a-z]{2,}\b', '<EMAIL>', 'g'), '\b\d[\d\s\-]{5,13}\d\b', '<PHONE>', 'g') AS m FROM documents)""")
 def masked_contacts(spark, sf_dir):
     masked = text.mask_emails(F.col("low"))
@@ -156,21 +156,23 @@ def masked_contacts(spark, sf_dir):
     docs = docs.withColumn("m", text.mask_phones(F.col("mail")))
     return docs.select(
         "doc_id", F.regexp_count("m", F.lit("<EMAIL>")).cast("bigint").alias("n_emails"),
-        F.regexp_count("m", F.lit("<PHONE>")).cast("bigint").alias("n_phones"), F.length("m").cast("bigint").alias("n"))
+        F.regexp_count("m", F.lit("<PHONE>")).cast("bigint").alias("n_phones"), F.length("m").cast("bigint").alias("n"), F.col("m").alias("masked"))
 
 
 @query("""WITH c AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?s).')) AS c, generate_subscripts(regexp_extract_all(text, '(?s).'), 1) AS pos FROM documents),
-l AS (SELECT *, lag(c, 1) OVER w AS c1, lag(c, 2) OVER w AS c2 FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
-SELECT doc_id, string_agg(c, '' ORDER BY pos) AS collapsed FROM l WHERE NOT (c <> chr(10) AND c = coalesce(c1, '') AND c = coalesce(c2, '')) GROUP BY 1""")
+l AS (SELECT *, lag(c, 1) OVER w AS c1, lag(c, 2) OVER w AS c2 FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+k AS (SELECT doc_id, string_agg(c, '' ORDER BY pos) AS kept FROM l WHERE NOT (c <> chr(10) AND c = coalesce(c1, '') AND c = coalesce(c2, '')) GROUP BY 1)
+SELECT doc_id, coalesce(kept, text) AS collapsed FROM documents LEFT JOIN k USING (doc_id)""")
 def collapsed_repeats(spark, sf_dir):
-    docs = views.read_table(spark, sf_dir, "documents").filter("text <> ''")
+    docs = views.read_table(spark, sf_dir, "documents")
     return docs.select("doc_id", text.collapse_repeats(F.col("text")).alias("collapsed"))
 
 
 @query(o.sql([o.SLANG, f"""w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{o.WORD}')) AS w, generate_subscripts(regexp_extract_all(lower(text), '{o.WORD}'), 1) AS pos FROM documents)"""],
-             "SELECT doc_id, string_agg(coalesce(meaning, w), '' ORDER BY pos) AS expanded FROM w LEFT JOIN slang ON w = word GROUP BY 1"))
+             """SELECT doc_id, coalesce(joined, text) AS expanded FROM documents LEFT JOIN (
+SELECT doc_id, string_agg(coalesce(meaning, w), '' ORDER BY pos) AS joined FROM w LEFT JOIN slang ON w = word GROUP BY 1) USING (doc_id)"""))
 def expanded_slang(spark, sf_dir):
-    docs = views.read_table(spark, sf_dir, "documents").filter("text <> ''").withColumn("low", F.lower("text"))
+    docs = views.read_table(spark, sf_dir, "documents").withColumn("low", F.lower("text"))
     return docs.select("doc_id", text.expand_slang(F.col("low")).alias("expanded"))
 
 

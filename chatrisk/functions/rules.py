@@ -44,7 +44,7 @@ def candidate_rules(text: str, catalog: Catalog) -> Column:
     # The look-ahead finds a word at every position, overlapping ones included.
     words = f"regexp_extract_all({low}, {quote(f'(?=({regex}))')}, 1)"
     return F.expr(
-        f"CASE WHEN rlike({low}, {quote(regex)}) THEN flatten(transform({words}, w -> element_at(map({table}), w))) "
+        f"CASE WHEN rlike({low}, {quote(regex)}) THEN array_distinct(flatten(transform(array_distinct({words}), w -> element_at(map({table}), w)))) "
         f"ELSE CAST(array() AS ARRAY<INT>) END")
 
 

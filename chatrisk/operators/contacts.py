@@ -28,8 +28,8 @@ class WindowParams:
     score_medium: float = config.RISK_MEDIUM
 
     def __post_init__(self):
-        if self.size < config.RUN_LENGTH + 1:
-            raise ValueError(f"the window needs at least {config.RUN_LENGTH + 1} messages")
+        if self.size < 1:
+            raise ValueError("the window needs at least one message")
 
 
 class PackedCounts:
@@ -69,7 +69,7 @@ class PackedCounts:
 
 def is_risky(params: WindowParams = WindowParams()) -> Column:
     """A message with a high enough probability or a rule hit of severity 2 or more."""
-    return (F.col("ml_prob") >= params.theta_medium) | (F.col("max_severity") >= 2)
+    return F.coalesce(F.col("ml_prob") >= params.theta_medium, F.lit(False)) | (F.col("max_severity") >= 2)
 
 
 def with_window(
@@ -109,7 +109,7 @@ def _window_figures(
     staged = messages.withColumn("_ext", F.col("sender") == EXTERNAL).withColumns({
         "_sev": F.expr("IF(_ext, max_severity, 0)"),
         "_mask": F.expr("IF(_ext, cat_mask, 0L)"),
-        "_high": F.expr(f"int(_ext AND ml_prob >= {params.theta_high}D)"),
+        "_high": F.expr(f"int(_ext AND coalesce(ml_prob >= {params.theta_high}D, false))"),
         "_risky": F.col("_ext") & is_risky(params),
     }).withColumns({f"_add{w}": F.expr(packed.contribution("_mask", w)) for w in range(packed.words)})
     staged = staged.withColumns({
@@ -119,7 +119,10 @@ def _window_figures(
 
     trust = scoring.has_any("_mask", catalog.mask(catalog.trust))
     solicit = scoring.has_any("_mask", catalog.mask(catalog.solicit))
-    inner = by.rowsBetween(-(params.size - 1 - config.RUN_LENGTH), 0)
+    # Frames no longer than a run hold one run at most, and none that begins inside them.
+    longer = params.size - config.RUN_LENGTH
+    inner = by.rowsBetween(-max(longer - 1, 0), 0)
+    cut = f"lag(_run, {longer}, false)" if longer >= 0 else "lag(false, 1, false)"
     staged = staged.withColumns({
         "window_len": in_frame("count(1)"),
         "n_external": in_frame("sum(int(_ext))"),
@@ -130,8 +133,8 @@ def _window_figures(
         "_solicit": in_frame(f"max(IF({solicit}, _ordinal, NULL))"),
         # Runs that reach their length inside the frame; one cut by the frame start reaches it
         # at the frame's third message.
-        "_inner_runs": F.expr("sum(int(_run AND NOT _ext3))").over(inner),
-        "_cut_run": before(f"lag(_run, {params.size - config.RUN_LENGTH}, false)"),
+        "_inner_runs": F.expr(f"sum(int({longer > 0} AND _run AND NOT _ext3))").over(inner),
+        "_cut_run": before(cut),
         **{f"_first{k}": in_frame(f"min(IF(_sev >= {k}, _ordinal, NULL))") for k in scoring.SEVERITIES},
         **{f"_last{k}": in_frame(f"max(IF(_sev >= {k}, _ordinal, NULL))") for k in scoring.SEVERITIES},
         **{f"_packed{w}": in_frame(f"sum(_add{w})") for w in range(packed.words)},

@@ -27,12 +27,12 @@ def sigmoid(logit: Column) -> Column:
 
 
 def align_scores(labels: DataFrame, scores: DataFrame, on: str) -> DataFrame:
-    """Labels with their predictions, by id."""
-    return labels.join(scores, on)
+    """Labels with their predictions, by id; a label without one stays, and counts as not hit."""
+    return labels.join(scores, on, "left")
 
 
 def confusion(scored: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
-    hit, true = F.col("prob") >= threshold, F.col("label") == 1
+    hit, true = F.coalesce(F.col("prob") >= threshold, F.lit(False)), F.col("label") == 1
     count = lambda condition: F.coalesce(F.sum(condition.cast("bigint")), F.lit(0))
     return scored.agg(count(hit & true).alias("tp"), count(hit & ~true).alias("fp"), count(~hit & true).alias("fn"))
 

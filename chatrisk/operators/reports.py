@@ -63,8 +63,10 @@ def readable_text(index: str = "idx") -> Column:
 
 
 def level_counts(records: DataFrame) -> DataFrame:
-    """Conversations per label and level."""
-    pivoted = records.groupBy("label").pivot("risk_level", LEVELS).agg(F.count(F.lit(1)))
+    """Conversations per label and level; both labels have a row, also without conversations."""
+    labels = records.sparkSession.range(2).select(F.col("id").cast(records.schema["label"].dataType).alias("label"))
+    every = records.select("label", "risk_level").unionByName(labels.withColumn("risk_level", F.lit(None).cast("string")))
+    pivoted = every.groupBy("label").pivot("risk_level", LEVELS).agg(F.count(F.lit(1)))
     return pivoted.fillna(0, subset=LEVELS)
 
 

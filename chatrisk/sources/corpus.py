@@ -22,8 +22,8 @@ def _strip(text: Column) -> Column:
 
 
 def read_conversations(spark: SparkSession, path: str) -> DataFrame:
-    """conv_id and messages of every conversation element, in document order."""
-    raw = spark.read.format("xml").option("rowTag", "conversation").schema(CONVERSATION_SCHEMA).load(path)
+    """conv_id and messages of every conversation element, in document order; malformed XML is an error."""
+    raw = spark.read.format("xml").option("rowTag", "conversation").option("mode", "FAILFAST").schema(CONVERSATION_SCHEMA).load(path)
     return raw.select(_strip(F.col("_id")).alias("conv_id"), F.col("message").alias("messages"))
 
 
@@ -62,8 +62,8 @@ def skipped_truth_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_records(spark: SparkSession, path: str, *, lines: bool = False) -> DataFrame:
-    """Dataset records from a JSON array file, or from JSON lines, which can be split."""
-    return spark.read.schema(RECORD_SCHEMA).option("multiLine", not lines).json(path)
+    """Dataset records from a JSON array file, or from JSON lines, which can be split. Broken JSON is an error."""
+    return spark.read.schema(RECORD_SCHEMA).option("multiLine", not lines).option("mode", "FAILFAST").json(path)
 
 
 def read_feed(spark: SparkSession, path: str, files_per_batch: int | None = None, fmt: str = "parquet") -> DataFrame:

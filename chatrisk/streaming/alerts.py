@@ -67,7 +67,7 @@ class LastMessages(StatefulProcessor):
         out = batch.drop(columns=["reset"]).reset_index(drop=True)
         windows, start = [], 0
         for message, reset in zip(arrived, resets):
-            window = ([] if reset else window[-(self.size - 1):]) + [message]
+            window = ([] if reset or self.size == 1 else window[-(self.size - 1):]) + [message]
             windows.append(window)
             if len(windows) == EMIT_ROWS:
                 yield _with_arrays(out[start:start + EMIT_ROWS], windows)
@@ -113,8 +113,8 @@ def score_windows(windows: DataFrame, params: WindowParams, catalog: Catalog) ->
     staged = staged.withColumns({name: F.expr(sql) for name, sql in {
         "window_len": "size(_all)",
         "n_external": "size(_frame)",
-        "high_risk_count": count(f"m.w_prob >= {params.theta_high}D"),
-        "risky_count": count(f"m.w_prob >= {params.theta_medium}D OR m.w_sev >= 2"),
+        "high_risk_count": count(f"nanvl(m.w_prob, 0D) >= {params.theta_high}D"),
+        "risky_count": count(f"nanvl(m.w_prob, 0D) >= {params.theta_medium}D OR m.w_sev >= 2"),
         "window_mask": "aggregate(_frame, 0L, (mask, m) -> mask | m.w_mask)",
         "n_runs": "regexp_count(array_join(transform(_all, m -> IF(m.w_ext, 'E', 'c')), ''), 'E{%d,}')" % config.RUN_LENGTH,
         "_trust": f"array_min({where(has(catalog.trust))})",

@@ -24,7 +24,7 @@ def test_golden_scores(spark):
         "none": [(False, "send me a pic")],
     })
     risk = {r.conv_id: r for r in conversations.conversation_risk(rows).collect()}
-    assert (risk["g1"].score, risk["g1"].level, risk["g1"].dominance, risk["g1"].density) == (21.5, "HIGH", 0, 0)
+    assert (risk["g1"].score, risk["g1"].level, risk["g1"].dominance, risk["g1"].density) == (15.5, "HIGH", 0, 0)
     assert [risk["g2"][c] for c in COMPONENTS] == [4.5, 1.5, 0, 0, 0, 2, 0] and risk["g2"].score == 8.0
     assert risk["g4"].consec == 0.0 and risk["run"].consec == 0.5
     assert (risk["none"].score, risk["none"].level, risk["none"].label) == (0.0, "LOW", 0)
