@@ -277,24 +277,23 @@ def _branched(large: DataFrame, sketches: DataFrame, similarity: float) -> DataF
 
 
 def _pivot_pairs(large: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
-    """All members of a large node against its PIVOTS smallest classes, by sketch."""
+    """All members of a large node against its PIVOTS smallest classes, by sketch (tiny); a member meets them in one row."""
     # The digests are even, so this keeps some four times PIVOTS classes of a node before any are collected.
     first = F.conv(F.hex(F.substring("key", 1, 2)), 16, 10).cast("bigint") * F.col("n") <= PIVOTS * 4 * 65536
     few = large.filter(first).groupBy("path").agg(F.slice(F.sort_array(F.collect_set("key")), 1, PIVOTS).alias("pivots"))
-    pivots = few.select("path", F.explode("pivots").alias("a")).join(
-        sketches.select(F.col("key").alias("a"), F.col("sketch").alias("pivot")), "a"
-    )
-    own = large.select("path", F.col("key").alias("b")).join(sketches.select(F.col("key").alias("b"), "sketch"), "b")
-    rated = checked_join(own, checkpointed(pivots, "pivots"), ["path"], "inner").filter(F.col("a") != F.col("b"))
+    tiny = few.select("path", F.explode("pivots").alias("key")).join(sketches.select("key", "tiny"), "key")
+    pivots = tiny.groupBy("path").agg(F.collect_list(F.struct("key", "tiny")).alias("pivots"))
+    own = large.select("path", "key").join(sketches.select("key", "tiny"), "key")
+    rated = checked_join(own, checkpointed(pivots, "pivots"), ["path"], "inner").select("key", "tiny", "pivots")
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = [
-                np.mean(np.frombuffer(p, np.uint32) == np.frombuffer(s, np.uint32)) >= similarity - MARGIN
-                for p, s in zip(batch.column("pivot").to_pylist(), batch.column("sketch").to_pylist())
-            ]
-            kept = batch.filter(pa.array(near, pa.bool_()))
-            yield kept.select(["a", "b"])
+            found = []
+            for key, own_tiny, few_pivots in zip(*(c.to_pylist() for c in batch.columns)):
+                values = np.frombuffer(b"".join(p["tiny"] for p in few_pivots), np.uint8).reshape(len(few_pivots), -1)
+                alike = (values == np.frombuffer(own_tiny, np.uint8)).mean(axis=1)
+                found += [(few_pivots[i]["key"], key) for i in np.flatnonzero(alike >= similarity - MARGIN).tolist() if few_pivots[i]["key"] != key]
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.binary()) for i in (0, 1)], names=["a", "b"])
 
     schema = StructType([StructField("a", BinaryType()), StructField("b", BinaryType())])
     return rated.mapInArrow(rate, schema).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
