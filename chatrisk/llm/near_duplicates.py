@@ -240,12 +240,13 @@ def linked_classes(
     if wide.isEmpty() and large is None:
         return rows, components(links)
     labels = components(links)
-    rest = _crossing(wide, labels).withColumn("side", F.lit(0))
+    rest = _crossing(wide, labels).withColumn("side", F.lit(0)).withColumn("origin", F.col("path"))
     if large is not None:
         rest = rest.unionByName(_blocks(_crossing(large, labels), node))
     close = checkpointed(_near_pairs(rest, sketches, similarity - MARGIN, "members"), "close")
     fine = _fine_sketches(full_sets(docs, rows, close.select("key").distinct(), shingle))
-    more = _near_pairs(close, fine, similarity - FINE_MARGIN, "pairs").join(tested, ["a", "b"], "left_anti")
+    origins = close.groupBy("key").agg(F.collect_set("origin").alias("origins"))
+    more = _near_pairs(close.join(origins, "key"), fine, similarity - FINE_MARGIN, "pairs").join(tested, ["a", "b"], "left_anti")
     more = checkpointed(more, "pairs")
     if more.isEmpty():
         return rows, labels
@@ -310,7 +311,7 @@ def _crossing(nodes: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _blocks(large: DataFrame, node: int) -> DataFrame:
     """Large nodes cut into pairs of blocks: the classes outside the node's largest component, in blocks,
-    against each other and against blocks of that component."""
+    against each other and against blocks of that component; `origin` is the node's path."""
     counts = large.groupBy("path", "component").agg(F.count(F.lit(1)).alias("n"))
     main = counts.groupBy("path").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all")).select(
         "path", F.col("top.component").alias("main"), F.ceil(F.col("top.n") * 2 / node).alias("mains"),
@@ -323,11 +324,12 @@ def _blocks(large: DataFrame, node: int) -> DataFrame:
     first = against_main.select(
         F.xxhash64("path", F.lit("main"), F.when(F.col("side") == 1, F.col("place")).otherwise(F.col("other")),
                    F.when(F.col("side") == 1, F.col("other")).otherwise(F.col("place"))).alias("path"), "key", "component", "side",
+        F.col("path").alias("origin"),
     )
     among = own.filter("side = 1").withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("rests") - 1)))
     second = among.select(
         F.xxhash64("path", F.lit("rest"), F.least("place", "other"), F.greatest("place", "other")).alias("path"),
-        "key", "component", F.lit(0).alias("side"),
+        "key", "component", F.lit(0).alias("side"), F.col("path").alias("origin"),
     )
     return first.unionByName(second)
 
@@ -337,9 +339,10 @@ def _near_pairs(nodes: DataFrame, sketches: DataFrame, least: float, give: str)
 
     Sketches (tiny) are compared by one byte per value, which adds 1/256 of a chance match. `give` is "pairs",
     "forest" (of nodes of more than ALL_PAIRS classes a maximum spanning forest) or "members", the rows of
-    `nodes` that are in a near pair.
+    `nodes` that are in a near pair. For "pairs", a class's `origins` are the nodes it is in: a pair is given by the
+    first node that both are in, not by every one.
     """
-    names = ["path", "key", "component", "side"] if give == "members" else ["a", "b"]
+    names = ["path", "key", "component", "side", "origin"] if give == "members" else ["a", "b"]
 
     def near_ones(group: dict[str, list]) -> list[tuple[float, int, int]]:
         values = np.stack([np.frombuffer(s, np.uint8) for s in group["tiny"]])
@@ -355,12 +358,15 @@ def _near_pairs(nodes: DataFrame, sketches: DataFrame, least: float, give: str)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches, "path"):
             near = near_ones(group) if len(group["key"]) > 1 else []
+            if give == "pairs":
+                places = [set(o) for o in group["origins"]]
+                near = [(x, i, j) for x, i, j in near if min(places[i] & places[j]) == group["origin"][0]]
             if not near:
                 continue
             if give == "members":
                 rows = sorted({i for _, *pair in near for i in pair})
                 columns = [[group[c][i] for i in rows] for c in names]
-                kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int32()]
+                kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int64()]
             else:
                 if give == "forest" and len(group["key"]) > ALL_PAIRS:
                     near = _spanning(near, len(group["key"]))
@@ -368,9 +374,9 @@ def _near_pairs(nodes: DataFrame, sketches: DataFrame, least: float, give: str)
                 columns, kinds = list(zip(*keys)), [pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
-    kinds = {"path": LongType(), "side": IntegerType()}
+    kinds = {"path": LongType(), "side": IntegerType(), "origin": LongType()}
     schema = StructType([StructField(n, kinds.get(n, BinaryType())) for n in names])
-    joined = nodes.join(sketches.select("key", "tiny"), "key").select("path", "key", "component", "side", "tiny")
+    joined = nodes.join(sketches.select("key", "tiny"), "key").select(*nodes.columns, "tiny")
     found = joined.repartition("path").sortWithinPartitions("path", "key").mapInArrow(run, schema)
     return found if give == "members" else found.distinct()
 
