@@ -35,7 +35,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @query()
 def op1_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return context_mixing.scored(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return context_mixing.scored(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 @query()

@@ -85,9 +85,9 @@ def hot_words(values: DataFrame, columns: list[str]) -> tuple[dict[bytes, int],
     return places, np.stack([table.column(c).to_numpy().astype(float) for c in columns], axis=1).reshape(-1, len(columns))
 
 
-def summed(docs: DataFrame, values: DataFrame, words: Words, columns: list[str]) -> DataFrame:
-    """`docs` (doc_id, text) as doc_id, n_words, n_bytes (a separator each included) and the sums of `columns`
-    over the words of each text.
+def summed(docs: DataFrame, values: DataFrame, words: Words, columns: list[str], keep: list[str] = ["doc_id"]) -> DataFrame:
+    """`docs` (doc_id, text) as the `keep` columns, n_words, n_bytes (a separator each included) and the sums of
+    `columns` over the words of each text.
 
     `values` has each word of the texts once: word, total and the numeric columns.
     """
@@ -117,13 +117,13 @@ def summed(docs: DataFrame, values: DataFrame, words: Words, columns: list[str])
                 pa.array(rows), pa.array(sizes, pa.int64()), pa.array(lengths, pa.int64()), pa.array(sums, pa.list_(pa.float64())), pa.array(rest, kind)
             ]
 
-    found = checkpointed(map_batches(docs.select("doc_id", "text"), look_up, fields, ["doc_id"]), "word-sums")
+    found = checkpointed(map_batches(docs.select(*keep, "text"), look_up, fields, keep), "word-sums")
     pairs = found.select("row", F.explode("rare").alias("r")).select("row", F.col("r.word").alias("word"), F.col("r.n").alias("n"))
     more = pairs.join(values.select("word", *columns), "word").groupBy("row").agg(
         *[F.sum(F.col("n") * F.col(c)).alias(f"_{c}") for c in columns]
     )
     both = found.drop("rare").join(more, "row", "left")
     return both.select(
-        "doc_id", "n_words", "n_bytes",
+        *keep, "n_words", "n_bytes",
         *[(F.get("hot", F.lit(i)) + F.coalesce(f"_{c}", F.lit(0.0))).alias(c) for i, c in enumerate(columns)],
     )
