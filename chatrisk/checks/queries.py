@@ -322,17 +322,17 @@ HASHED = "CASE WHEN CAST('0x' || md5(conversation_id || '|42')[1:8] AS BIGINT) /
 
 @query(o.sql(TEXTS, "SELECT conversation_id, label, text FROM dataset"))
 def annotated_texts(spark, sf_dir):
-    return dataset(spark, sf_dir).select("conversation_id", "label", "text")
+    return datasets.whole_texts(dataset(spark, sf_dir)).select("conversation_id", "label", "text")
 
 
 @query(o.sql(o.text_ctes("all"), "SELECT conversation_id, label, text FROM dataset"))
 def annotated_texts_all_messages(spark, sf_dir):
-    return dataset(spark, sf_dir, "all").select("conversation_id", "label", "text")
+    return datasets.whole_texts(dataset(spark, sf_dir, "all")).select("conversation_id", "label", "text")
 
 
 @query(o.sql(SPLIT, "SELECT conversation_id, label, split, text FROM split"))
 def dataset_exact_split(spark, sf_dir):
-    return datasets.split_exact(dataset(spark, sf_dir)).select("conversation_id", "label", "split", "text")
+    return datasets.whole_texts(datasets.split_exact(dataset(spark, sf_dir))).select("conversation_id", "label", "split", "text")
 
 
 @query(o.sql(o.CHAT, f"""SELECT conversation_id, label, {HASHED}
@@ -452,7 +452,7 @@ def parsed_records(spark, sf_dir):
 CASE WHEN is_flagged THEN 'PRED' ELSE 'USER' END AS role, norm AS text, coalesce(tl, '') AS rules FROM live LEFT JOIN
 (SELECT conv_id, conv_idx, string_agg(category || ':' || severity, ' ' ORDER BY r) AS tl FROM tag1 GROUP BY 1, 2) USING (conv_id, conv_idx)"""))
 def parsed_messages(spark, sf_dir):
-    rows = records.with_messages(dataset(spark, sf_dir)).select("conversation_id", F.posexplode("messages").alias("pos", "m"))
+    rows = records.parse_records(dataset(spark, sf_dir)).select("conversation_id", F.posexplode("messages").alias("pos", "m"))
     tags = F.transform("m.rules", lambda r: F.concat_ws(":", r["category"], r["severity"].cast("string")))
     return rows.select("conversation_id", "pos", "m.role", "m.text", F.array_join(tags, " ").alias("rules"))
 
@@ -717,7 +717,7 @@ def dataset_json(spark, sf_dir):
 def dataset_sink(spark, sf_dir):
     path = scratch_path(spark, "dataset")
     sinks.write_dataset(datasets.split_exact(dataset(spark, sf_dir)), path)
-    return spark.read.parquet(path).select("conversation_id", "text", "label", "split")
+    return datasets.whole_texts(spark.read.parquet(path)).select("conversation_id", "text", "label", "split")
 
 
 @query(o.sql(REC, f"SELECT {RANK}, {REC_COLUMNS} FROM rec"))

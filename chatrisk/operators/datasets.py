@@ -15,6 +15,7 @@ from chatrisk.operators.messages import annotate_messages, role_tag
 from chatrisk.plans.joins import lookup_join
 from chatrisk.plans.skew import PIECE_ROWS
 
+PREFIX = r"\[RISK:[A-Z]+\] \[CATS:[^\]]*\] \[ESC:[01]\] \[ARC:[01]\] \[DOM:[01]\]"
 BUCKET_DIGITS = 5  # 16 ** 5 buckets of the split key
 
 
@@ -71,6 +72,26 @@ def dataset_columns(texts: DataFrame) -> DataFrame:
     return texts.select("conversation_id", "part", "n_parts", "text", "label")
 
 
+def whole_texts(dataset: DataFrame) -> DataFrame:
+    """One record per conversation, at any size, without part and n_parts.
+
+    Parts, also as read from files, are joined by the separator; those without a message give none. Records
+    without part or of one part pass as they are.
+    """
+    if "n_parts" not in dataset.columns:
+        return dataset
+    is_part = F.coalesce(F.col("n_parts") > 1, F.lit(False))
+    rest = [c for c in dataset.columns if c not in ("conversation_id", "part", "n_parts", "text")]
+    texts = F.array_sort(F.collect_list(F.struct("part", "text")))
+    joined = F.array_join(F.filter(F.transform(texts, lambda t: t["text"]), lambda t: t != ""), config.SEPARATOR)
+    # A first part without a message is the prefix alone.
+    text = F.regexp_replace(joined, F.lit(f"^({PREFIX}){config.SEPARATOR.replace('[', chr(92) + '[').replace(']', chr(92) + ']')}"), F.lit("$1 "))
+    merged = dataset.filter(is_part).groupBy("conversation_id").agg(
+        *[F.min_by(c, "part").alias(c) for c in rest], text.alias("text"))
+    columns = [c for c in dataset.columns if c not in ("part", "n_parts")]
+    return dataset.filter(~is_part).select(*columns).unionByName(merged.select(*columns))
+
+
 def build_dataset(
     messages: DataFrame, *, scope: str = "flagged", catalog: Catalog = DEFAULT, slang=None,
     piece_rows: int = PIECE_ROWS,

@@ -68,9 +68,7 @@ def with_messages(dataset: DataFrame) -> DataFrame:
     return dataset.withColumn("messages", F.transform(parts, message))
 
 
-def parse_records(dataset: DataFrame) -> DataFrame:
-    """The metadata of every record; a record of several parts stays several rows."""
-    parsed = with_messages(with_prefix(dataset))
+def _counted(parsed: DataFrame) -> DataFrame:
     rules = F.flatten(F.col("messages.rules"))
     parsed = parsed.withColumn("_rules", rules).withColumn("_names", F.array_distinct(F.col("_rules.category")))
     return parsed.withColumns({
@@ -82,16 +80,33 @@ def parse_records(dataset: DataFrame) -> DataFrame:
     }).drop("_rules", "_names", "text")
 
 
+def _joined_parts(parsed: DataFrame) -> DataFrame:
+    """Rows of parts as one row per conversation: the columns of the first part, the messages of all."""
+    is_part = F.coalesce(F.col("n_parts") > 1, F.lit(False))
+    rest = [c for c in parsed.columns if c not in ("conversation_id", "part", "n_parts", "messages")]
+    pieces = F.array_sort(F.collect_list(F.struct("part", "messages")))
+    merged = parsed.filter(is_part).groupBy("conversation_id").agg(
+        *[F.min_by(c, "part").alias(c) for c in rest], F.flatten(F.transform(pieces, lambda p: p["messages"])).alias("messages"))
+    return parsed.filter(~is_part).drop("part", "n_parts").unionByName(merged)
+
+
+def parse_records(dataset: DataFrame) -> DataFrame:
+    """The metadata and messages of every record, one row per conversation; parts are parsed apart and joined."""
+    parsed = with_messages(with_prefix(dataset)).drop("text")
+    return _counted(_joined_parts(parsed) if "n_parts" in dataset.columns else parsed)
+
+
 def slim_records(dataset: DataFrame) -> DataFrame:
     """One row of metadata per conversation, without its messages.
 
     Conversations of one part, which is nearly all of them, need no shuffle for this.
     """
-    parsed = parse_records(dataset)
+    parsed = _counted(with_messages(with_prefix(dataset)))
     if "n_parts" not in dataset.columns:
         return parsed.drop("messages")
-    single = parsed.filter("n_parts = 1").drop("messages", "part", "n_parts")
-    several = parsed.filter("n_parts > 1")
+    is_part = F.coalesce(F.col("n_parts") > 1, F.lit(False))
+    single = parsed.filter(~is_part).drop("messages", "part", "n_parts")
+    several = parsed.filter(is_part)
     first = lambda c: F.max_by(c, F.struct(-F.col("part"))).alias(c)
     counts = several.select("conversation_id", F.explode("cat_counts").alias("category", "n")).groupBy(
         "conversation_id", "category").agg(F.sum("n").cast("int").alias("n")).groupBy("conversation_id").agg(

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chatrisk.operators.datasets import whole_texts
+
 CONVERSATION_SCHEMA = T.StructType([
     T.StructField("_id", T.StringType()),
     T.StructField("message", T.ArrayType(T.StructType([
@@ -13,7 +15,7 @@ CONVERSATION_SCHEMA = T.StructType([
         T.StructField("text", T.StringType()),
     ]))),
 ])
-RECORD_SCHEMA = "conversation_id STRING, text STRING, label INT"
+RECORD_SCHEMA = "conversation_id STRING, part INT, n_parts INT, text STRING, label INT"
 FEED_SCHEMA = "contact_id BIGINT, ts TIMESTAMP, msg_id BIGINT, sender STRING, text STRING, ml_prob DOUBLE, reset BOOLEAN"
 
 
@@ -62,8 +64,12 @@ def skipped_truth_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_records(spark: SparkSession, path: str, *, lines: bool = False) -> DataFrame:
-    """Dataset records from a JSON array file, or from JSON lines, which can be split. Broken JSON is an error."""
-    return spark.read.schema(RECORD_SCHEMA).option("multiLine", not lines).option("mode", "FAILFAST").json(path)
+    """Dataset records from a JSON array file, or from JSON lines, which can be split. Broken JSON is an error.
+
+    Parts of a conversation, where the file has them, are joined to one record.
+    """
+    raw = spark.read.schema(RECORD_SCHEMA).option("multiLine", not lines).option("mode", "FAILFAST").json(path)
+    return whole_texts(raw)
 
 
 def read_feed(spark: SparkSession, path: str, files_per_batch: int | None = None, fmt: str = "parquet") -> DataFrame:

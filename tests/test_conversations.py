@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from chatrisk.operators import conversations, datasets, messages, records, reports
 from chatrisk.operators.conversations import COMPONENTS
+from chatrisk.sources import corpus
 from test_contacts import GOLDEN
 
 
@@ -119,3 +120,20 @@ def test_adding_a_hit_never_lowers_base_and_pairs(spark):
     base = [(True, "hi"), (True, "send me a pic")]
     risk = {r.conv_id: r for r in conversations.conversation_risk(table(spark, {"a": base, "b": [*base, (True, "don't tell your mom")]})).collect()}
     assert risk["b"].base >= risk["a"].base and risk["b"].cooccur >= risk["a"].cooccur
+
+
+def test_records_do_not_depend_on_the_piece_length(spark, chat, tmp_path):
+    blank = table(spark, {"late": [(True, " ")] * 40 + [(True, "send me a pic"), (False, "hi")], "none": [(True, " ")] * 70})
+    rows = chat.unionByName(blank.select(chat.columns))
+    outs = []
+    for piece_rows in (1 << 17, 32):
+        made = datasets.dataset_columns(datasets.annotated_texts(rows, piece_rows=piece_rows)).cache()
+        path = str(tmp_path / str(piece_rows))
+        datasets.split_by_hash(made).write.json(path)
+        parsed = records.parse_records(made)
+        texts = reports.ranked_report(parsed).select("conversation_id", "n_messages", reports.readable_text().alias("text"))
+        outs.append([sorted(map(tuple, df.collect())) for df in (
+            datasets.whole_texts(made), corpus.read_records(spark, path, lines=True), texts,
+            reports.ranked_report(parsed).select("idx", "conversation_id", "risk_level", "messages"))])
+    assert made.count() > 9 and all(len(rows) == 9 for rows in outs[0])
+    assert outs[0] == outs[1]
