@@ -671,7 +671,7 @@ def token_sequences(spark, sf_dir):
 
 # --- files: written by Spark from the tables, read back by the sources ----------
 
-# An element holds at most this many messages; a longer conversation goes on in elements of their own.
+# The SQL alone renames conversations from this many messages on; the query keeps their ids.
 XML_ROWS = 100_000
 
 
@@ -680,8 +680,7 @@ CAST(conv_idx % {XML_ROWS} AS INTEGER) AS conv_idx, author, trim(text_raw) AS te
 def xml_messages(spark, sf_dir):
     path = scratch_path(spark, "corpus-xml")
     rows = views.conversation_messages(spark, sf_dir)
-    element = F.expr(f"concat(conv_id, IF(conv_idx >= {XML_ROWS}, concat('#', conv_idx div {XML_ROWS}), ''))")
-    elements = rows.groupBy(element.alias("_id")).agg(
+    elements = rows.groupBy(F.col("conv_id").alias("_id")).agg(
         F.array_sort(F.collect_list(F.struct("conv_idx", "author", F.col("text_raw").alias("text")))).alias("message"))
     elements.write.format("xml").option("rowTag", "conversation").option("rootTag", "conversations").save(path)
     return corpus.read_messages(spark, path)

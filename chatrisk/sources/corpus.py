@@ -30,10 +30,14 @@ def read_conversations(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_messages(spark: SparkSession, path: str) -> DataFrame:
-    """conv_id, conv_idx, author, text_raw: one row per message, missing parts as empty text."""
-    placed = read_conversations(spark, path).select("conv_id", F.posexplode("messages").alias("conv_idx", "m"))
+    """conv_id, conv_idx, author, text_raw: one row per message, missing parts as empty text.
+
+    A conversation without messages has one row with an empty text and no author, so it stays a record.
+    """
+    placed = read_conversations(spark, path).select("conv_id", F.posexplode_outer("messages").alias("conv_idx", "m"))
     return placed.select(
-        "conv_id", "conv_idx", _strip(F.col("m.author")).alias("author"), _strip(F.col("m.text")).alias("text_raw"))
+        "conv_id", F.coalesce("conv_idx", F.lit(0)).alias("conv_idx"),
+        F.when(F.col("conv_idx").isNotNull(), _strip(F.col("m.author"))).alias("author"), _strip(F.col("m.text")).alias("text_raw"))
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:

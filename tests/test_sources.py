@@ -75,3 +75,27 @@ def test_salted_lookup_equals_broadcast(spark):
     for keep in (True, False):
         keys = small.select("k")
         assert semi_join(big, keys, ["k"], keep).exceptAll(semi_join(big, keys, ["k"], keep, limit=1)).count() == 0
+
+
+def test_conversations_without_messages_stay(spark, tmp_path):
+    empty = '<conversation id="none"></conversation><conversation id="bare"/></conversations>'
+    (tmp_path / "c.xml").write_text(XML.replace("</conversations>", empty), encoding="utf-8")
+    rows = corpus.read_messages(spark, str(tmp_path / "c.xml"))
+    assert sorted(tuple(r) for r in rows.filter("conv_id IN ('none', 'bare')").collect()) == [("bare", 0, None, ""), ("none", 0, None, "")]
+    authors = spark.createDataFrame([("a",)], "author_id STRING")
+    built = {r.conversation_id: r for r in datasets.build_dataset(messages.flag_by_author(rows, authors)).collect()}
+    assert {i: (built[i].label, built[i].text) for i in ("none", "bare")} == dict.fromkeys(
+        ("none", "bare"), (0, "[RISK:LOW] [CATS:none] [ESC:0] [ARC:0] [DOM:0]"))
+
+
+def test_a_long_conversation_keeps_its_id(spark, monkeypatch, tmp_path):
+    from chatrisk.checks import queries
+
+    rows = spark.range(100_005).select(
+        F.lit("7").alias("conv_id"), F.col("id").cast("int").alias("conv_idx"), F.lit("a").alias("author"), F.col("id").cast("string").alias("text_raw"))
+    monkeypatch.setattr(queries.views, "conversation_messages", lambda *_: rows)
+    monkeypatch.setattr(queries, "scratch_path", lambda *_: str(tmp_path / "xml"))
+    out = queries.QUERIES["xml_messages"](spark, "")
+    assert out.select("conv_id", "conv_idx", F.col("text_raw").cast("int")).agg(
+        F.countDistinct("conv_id"), F.count("*"), F.max("conv_idx"), F.count_if(F.col("conv_idx") != F.col("text_raw").cast("int"))
+    ).first()[:] == (1, 100_005, 100_004, 0)
