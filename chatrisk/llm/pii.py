@@ -204,16 +204,19 @@ def selected(found: DataFrame, model: Model) -> DataFrame:
     score = F.expr(f"transform(proposals, p -> struct(p.start, p.rank, p.end, p.open, {model.trees.sql('p.f.')} AS score))")
     open_ones = F.filter("_scored", lambda p: p["open"] & (p["score"] >= model.threshold - 1e-9))
     staged = found.withColumn("_scored", score).withColumn("_open", F.sort_array(open_ones))
-    # Candidates are of bounded length, so only near neighbours in order of start can overlap.
-    best = F.filter("_open", lambda p, i: ~F.exists(
-        F.slice("_open", F.greatest(i - 15, F.lit(1)), 32),
-        lambda q: (q["start"] < p["end"]) & (p["start"] < q["end"]) & (
-            (q["score"] > p["score"]) | ((q["score"] == p["score"]) & (
-                (q["end"] - q["start"] > p["end"] - p["start"])
-                | ((q["end"] - q["start"] == p["end"] - p["start"]) & ((q["start"] < p["start"]) | ((q["start"] == p["start"]) & (q["rank"] < p["rank"]))))
-            ))
-        ),
-    ))
+    # Candidates are of bounded length, so only near neighbours in order of start can overlap: one that meets none before it
+    # starts a cluster. In a cluster, by score, longest and first, a candidate is chosen unless it meets one already chosen.
+    starts = F.filter(F.transform("_open", lambda p, i: F.when(~F.exists(
+        F.slice("_open", F.greatest(i - 63, F.lit(1)), F.least(i, F.lit(64))), lambda q: q["end"] > p["start"]), i + 1)), lambda i: i.isNotNull())
+    staged = staged.withColumn("_starts", starts)
+    ranked = lambda cluster: F.sort_array(F.transform(cluster, lambda p: F.struct(
+        (-p["score"]).alias("score"), (p["start"] - p["end"]).alias("size"), p["start"].alias("start"), p["rank"].alias("rank"), p["end"].alias("end"))))
+    chosen = lambda rows: F.aggregate(rows, F.slice(rows, 1, 0), lambda kept, p: F.when(
+        F.exists(kept, lambda q: (q["start"] < p["end"]) & (p["start"] < q["end"])), kept).otherwise(F.concat(kept, F.array(p))))
+    clusters = F.transform("_starts", lambda at, j: ranked(F.slice(
+        "_open", at, F.coalesce(F.get("_starts", j + 1), F.size("_open") + 1) - at)))
+    staged = staged.withColumn("_clusters", clusters)
+    best = F.flatten(F.transform("_clusters", chosen))
     added = F.transform(best, lambda p: F.struct(p["start"].alias("start"), p["rank"].alias("rank"), p["end"].alias("end")))
     names = [c for c in found.columns if c not in ("proposals", "spans")]
     return staged.select(*names, F.array_distinct(F.sort_array(F.concat("base", added))).alias("spans"))

@@ -148,6 +148,21 @@ def test_probabilities_of_the_next_byte_sum_to_one():
     assert 0 < sum(first) < 1
 
 
+def test_candidates_are_chosen_greedily(session):
+    def proposal(start, end, kind):
+        return (start, 3, end, True, False, (kind, 0, 0, 0, 0, 0, 0))
+
+    # A (0-10) meets B (8-20), B meets C (18-30), A does not meet C: scores fall from A to C. D stands alone.
+    chain = [proposal(0, 10, 0), proposal(8, 20, 1), proposal(18, 30, 2), proposal(40, 50, 2)]
+    schema = ("doc_id bigint, base array<struct<start bigint, rank int, end bigint>>, proposals array<struct<start bigint, rank int, end bigint, "
+              "open boolean, passes boolean, f struct<%s>>>" % ", ".join(f"{n}: int" for n in pii.FEATURES))
+    found = session.createDataFrame([(1, [], chain), (2, [], []), (3, [], chain[1:3]), (4, [], chain[::2] + chain[2:3])], schema)
+    trees = boosting.Trees(list(pii.FEATURES), 0.0, [((0, 0), ((0, 9), 3.0, 3.0), ((0, 1), 2.0, 1.0))])
+    rows = pii.selected(found, pii.Model(trees, 0.0)).collect()
+    assert {r.doc_id: [(s.start, s.end) for s in r.spans] for r in rows} == {
+        1: [(0, 10), (18, 30), (40, 50)], 2: [], 3: [(8, 20)], 4: [(0, 10), (18, 30)]}
+
+
 def test_chat_is_read_back(session):
     rows = [
         (1, 0, "user", "a & b <|im_end|> &lt;|"), (1, 1, "user", "second"), (1, 2, "assistant", "x\ny"), (1, 3, None, None),
