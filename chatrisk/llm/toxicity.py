@@ -28,6 +28,7 @@ from pyspark.sql.types import BinaryType, DoubleType, LongType, StructField, Str
 
 from chatrisk.llm.batches import PLAIN, byte_texts, checked_join, map_batches
 from chatrisk.plans.checkpoints import checkpointed
+from chatrisk.plans.joins import fits_broadcast, lookup_join
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 SEED_WEIGHT = 3.0
@@ -42,8 +43,10 @@ SYMBOLS = {
 }
 #: Bytes of word beginnings that are counted beside whole words.
 STEMS = (4, 5, 6)
-#: Least likelihood ratio of a learned arc, least number of toxic documents with it, largest weight, and most arcs.
-LEAST_RATIO, LEAST_DOCUMENTS, MOST_WEIGHT, MOST_ARCS = 24.0, 5, 5.0, 50_000
+#: Least likelihood ratio of a learned arc, least number of toxic documents with it, and largest weight.
+LEAST_RATIO, LEAST_DOCUMENTS, MOST_WEIGHT = 24.0, 5, 5.0
+#: Arcs that every task gets; more are joined to the words of each text.
+SHARED_ARCS = 50_000
 HELD_FEATURES = 1 << 20
 #: Cells of a score: its square root in steps of this size, up to BINS.
 BIN, BINS = 0.25, 40
@@ -140,8 +143,8 @@ class Clauses:
         return total
 
 
-def learned_arcs(docs: DataFrame) -> dict[bytes, float]:
-    """Weights of words and beginnings that mark toxic documents; docs (text, toxic)."""
+def learned_arcs(docs: DataFrame) -> DataFrame | None:
+    """(feature, weight) of words and beginnings that mark toxic documents, or None without both labels; docs (text, toxic)."""
     schema = StructType([StructField("feature", BinaryType()), StructField("toxic", LongType()), StructField("clean", LongType())])
 
     def given(counts: list[Counter]) -> pa.RecordBatch:
@@ -168,7 +171,7 @@ def learned_arcs(docs: DataFrame) -> dict[bytes, float]:
     )
     sizes = found.filter(F.octet_length("feature") == 0).select("a", "b").first()
     if sizes is None or not sizes[0] or not sizes[1]:
-        return {}
+        return None
     toxic, clean = sizes
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
     share = (a + b) / F.lit(float(toxic + clean))
@@ -176,23 +179,56 @@ def learned_arcs(docs: DataFrame) -> dict[bytes, float]:
     # The likelihood ratio of the table of documents with and without the feature, by label.
     ratio = 2 * (part(a, float(toxic)) + part(b, float(clean)))
     odds = F.log((a + 0.5) / (toxic + 1.0)) - F.log((b + 0.5) / (clean + 1.0))
-    rows = (
+    return (
         found.filter(F.octet_length("feature") > 0).select("feature", ratio.alias("ratio"), odds.alias("odds"))
         .filter((F.col("ratio") >= LEAST_RATIO) & (F.col("odds") >= 2.0))
-        .orderBy(F.desc("ratio"), "feature").limit(MOST_ARCS).collect()
+        .select("feature", F.least("odds", F.lit(MOST_WEIGHT)).alias("weight"))
     )
-    return {bytes(r["feature"]): min(r["odds"], MOST_WEIGHT) for r in rows}
 
 
-def clause_sums(docs: DataFrame, arcs: dict[bytes, float], keep: list[str]) -> DataFrame:
-    """`keep` columns with top and total: the best clause's score and the sum over clauses."""
+def clause_sums(docs: DataFrame, arcs: DataFrame | None, keep: list[str], shared: int = SHARED_ARCS) -> DataFrame:
+    """`keep` columns with top and total: the best clause's score and the sum over clauses.
+
+    Up to `shared` arcs (feature, weight) go to all tasks; more of them meet the words of each text in a join.
+    """
+    fields = [StructField("top", DoubleType()), StructField("total", DoubleType())]
+    if arcs is not None and not fits_broadcast(arcs, shared):
+        return _joined_sums(docs, arcs, fields, keep)
+    weights = {bytes(r["feature"]): r["weight"] for r in arcs.collect()} if arcs is not None else {}
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
-        grammar = Clauses(arcs)
+        grammar = Clauses(weights)
         for batch in batches:
             found = [grammar.scores(t) for t in byte_texts(batch.column("text"))]
             yield batch, [pa.array([max(s, default=0.0) for s in found]), pa.array([float(sum(s)) for s in found])]
 
-    return map_batches(docs, score, [StructField("top", DoubleType()), StructField("total", DoubleType())], keep)
+    return map_batches(docs, score, fields, keep)
+
+
+def _joined_sums(docs: DataFrame, arcs: DataFrame, fields: list[StructField], keep: list[str]) -> DataFrame:
+    rows = checkpointed(docs.select(*keep, "text").withColumn("_row", F.monotonically_increasing_id()), "clause-rows")
+    schema = StructType([StructField("_row", LongType()), StructField("feature", BinaryType())])
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, text in zip(batch.column("_row").to_pylist(), byte_texts(batch.column("text"))):
+                own = list({f for w in set(text.translate(PLAIN).split()) for f in features_of(w)})
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(own), row, np.int64)), pa.array(own, pa.binary())], names=schema.names)
+
+    met = lookup_join(rows.select("_row", "text").mapInArrow(features, schema), arcs, ["feature"], "inner")
+    own_arcs = met.groupBy("_row").agg(F.collect_list(F.struct("feature", "weight")).alias("_arcs"))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
+        grammar = Clauses({})
+        for batch in batches:
+            found = []
+            for text, own in zip(byte_texts(batch.column("text")), batch.column("_arcs").to_pylist()):
+                grammar.lexicon = Lexicon({bytes(a["feature"]): a["weight"] for a in own or []})
+                found.append(grammar.scores(text))
+            yield batch, [pa.array([max(s, default=0.0) for s in found]), pa.array([float(sum(s)) for s in found])]
+
+    return map_batches(rows.join(own_arcs, "_row", "left"), score, fields, keep)
 
 
 def _bin(score: str) -> Column:

@@ -148,6 +148,17 @@ def test_probabilities_of_the_next_byte_sum_to_one():
     assert 0 < sum(first) < 1
 
 
+def test_every_significant_arc_counts(session):
+    # 20 rare words, each in 24 toxic texts only; the shared bound lies far below their number.
+    rows = [(i, f"wort{i % 20:02d}x du" if i < 480 else f"gut{i} du") for i in range(960)]
+    docs = session.createDataFrame(rows, "doc_id bigint, text string")
+    arcs = toxicity.learned_arcs(docs.select("text", (F.col("doc_id") < 480).cast("int").alias("toxic")))
+    assert arcs.count() >= 20
+    shared, joined = (
+        {r.doc_id: (r.top, r.total) for r in toxicity.clause_sums(docs, arcs, ["doc_id"], shared=most).collect()} for most in (10_000, 7))
+    assert shared == joined and all(joined[i][0] > 0 for i in range(480)) and not any(joined[i][0] for i in range(480, 960))
+
+
 def test_candidates_are_chosen_greedily(session):
     def proposal(start, end, kind):
         return (start, 3, end, True, False, (kind, 0, 0, 0, 0, 0, 0))
