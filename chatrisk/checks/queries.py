@@ -647,7 +647,7 @@ def classifier_metrics(spark, sf_dir):
     test = held.filter("split = 'val'").drop("split")
     fit = datasets.split_by_hash(held.filter("split = 'train'").drop("split"), "doc_id", 0.2, 8)
     model, threshold, _ = classifier.fit_classifier(
-        fit.filter("split = 'train'"), fit.filter("split = 'val'"), strengths=(0.01,), max_iter=10)
+        fit.filter("split = 'train'"), fit.filter("split = 'val'"))
     return classifier.evaluate_classifier(model, test, threshold)
 
 
