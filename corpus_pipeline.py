@@ -63,7 +63,7 @@ STAGES = [
     ("source_mixing", source_mix),
 ]
 
-#: Boosted trees and the similarity join have no SQL; the tests compare the stages with plain versions.
+#: Boosted trees and the similarity join have no SQL; of the stages, only near duplicates are compared with a plain version.
 ORACLE_SQL = None
 
 
