@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatrisk.llm import (
-    chat, context_mixing, decontaminate, licenses, mixing, near_duplicates, pii, quality, token_counts, toxicity,
+    alignment, chat, context_mixing, decontaminate, fingerprints, hard_negatives, licenses, mixing, near_duplicates, pii,
+    quality, token_counts, toxicity,
 )
 from chatrisk.llm import oracle as o
 from chatrisk.llm.batches import tuned
@@ -105,3 +106,21 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(tricky).alias("text"),
     )
     return chat.with_digest(chat.formatted(rows.unionByName(extra)))
+
+
+@query()
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(table(spark, sf_dir, "documents"))
+
+
+@query(o.HARD_NEGATIVES)
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("bigint")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    rows = hard_negatives.prepared(table(spark, sf_dir, "embeddings"), F.col("vec_id"), moved, F.col("embedding"))
+    return hard_negatives.mined(rows, F.col("vec_id") % 100 == 0)
+
+
+@query()
+def op13_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.near_fingerprints(table(spark, sf_dir, "documents"))
