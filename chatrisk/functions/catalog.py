@@ -15,7 +15,8 @@ try:
 except ImportError:  # older Python
     import sre_parse as _regex_parser
 
-MAX_CATEGORIES = 63
+#: Categories in one BIGINT of a mask; a catalog with more of them has masks of several words.
+MASK_BITS = 63
 # Words too frequent in chat to tell anything; a rarer required word is preferred to them.
 FREQUENT = {
     "you", "your", "are", "the", "what", "how", "have", "when", "where", "like", "just", "don",
@@ -44,19 +45,25 @@ class Catalog:
                 raise ValueError(f"category must be letters, digits and underscores: {category!r}")
             if re.compile(pattern, re.IGNORECASE).search("") is not None:
                 raise ValueError(f"pattern matches the empty text: {pattern}")
-        if len(self.categories) > MAX_CATEGORIES:
-            raise ValueError(f"at most {MAX_CATEGORIES} categories fit the category mask")
 
     @cached_property
     def categories(self) -> tuple[str, ...]:
         return tuple(dict.fromkeys(category for category, _, _ in self.rules))
 
+    @cached_property
+    def _places(self) -> dict[str, int]:
+        return {category: i for i, category in enumerate(self.categories)}
+
+    @property
+    def mask_words(self) -> int:
+        return -(-len(self.categories) // MASK_BITS)
+
     def bit(self, category: str) -> int:
-        return 1 << self.categories.index(category)
+        return 1 << self._places[category]
 
     def mask(self, categories) -> int:
         """Mask of the given categories; those without a rule cannot occur and add nothing."""
-        return sum(self.bit(c) for c in set(categories) if c in self.categories)
+        return sum(self.bit(c) for c in set(categories) if c in self._places)
 
     def weight(self, category: str) -> float:
         return self.weights.get(category, config.DEFAULT_WEIGHT)

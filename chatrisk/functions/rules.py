@@ -11,7 +11,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatrisk.functions.catalog import DEFAULT, Catalog
+from chatrisk.functions.catalog import DEFAULT, MASK_BITS, Catalog
+from chatrisk.functions.scoring import word_name
 from chatrisk.functions.sqltext import name, quote
 
 REGEX_FLAGS = "(?iU)"  # ignore case, Unicode classes and folding
@@ -106,19 +107,27 @@ def categories(matches: str = "matches") -> Column:
     return F.sort_array(F.array_distinct(F.col(f"{matches}.category")))
 
 
-def category_mask(catalog: Catalog = DEFAULT, matches: str = "matches") -> Column:
-    """One bit per category, in catalog order; 0 without a hit."""
-    names = f"array({', '.join(map(quote, catalog.categories))})"
-    return F.expr(
-        f"aggregate({matches}, 0L, (mask, m) -> mask | shiftleft(1L, CAST(array_position({names}, m.category) - 1 AS INT)))")
+def category_masks(catalog: Catalog = DEFAULT, matches: str = "matches", out: str = "cat_mask") -> dict[str, Column]:
+    """One bit per category, in catalog order, over as many words as the catalog needs; 0 without a hit."""
+    masks = {}
+    for word in range(catalog.mask_words):
+        names = f"array({', '.join(map(quote, catalog.categories[word * MASK_BITS:(word + 1) * MASK_BITS]))})"
+        place = f"array_position({names}, m.category)"
+        bit = f"shiftleft(1L, CAST({place} - 1 AS INT))"
+        added = bit if catalog.mask_words == 1 else f"IF({place} > 0, {bit}, 0L)"
+        masks[word_name(out, word)] = F.expr(f"aggregate({matches}, 0L, (mask, m) -> mask | {added})")
+    return masks
 
 
 def mask_categories(mask: str, catalog: Catalog = DEFAULT) -> Column:
     """Sorted category names of a mask."""
-    names = sorted(catalog.categories)
-    bits = ", ".join(f"{catalog.bit(c)}L" for c in names)
-    return F.expr(
-        f"filter(array({', '.join(map(quote, names))}), (c, i) -> ({mask} & element_at(array({bits}), i + 1)) != 0)")
+    found = []
+    for word in range(catalog.mask_words):
+        names = sorted(catalog.categories[word * MASK_BITS:(word + 1) * MASK_BITS])
+        bits = ", ".join(f"{catalog.bit(c) >> word * MASK_BITS}L" for c in names)
+        found.append(
+            f"filter(array({', '.join(map(quote, names))}), (c, i) -> ({word_name(mask, word)} & element_at(array({bits}), i + 1)) != 0)")
+    return F.expr(found[0] if len(found) == 1 else f"array_sort(concat({', '.join(found)}))")
 
 
 def rule_tags(matches: str = "matches") -> Column:
@@ -129,10 +138,11 @@ def rule_tags(matches: str = "matches") -> Column:
 
 
 def with_summary(df: DataFrame, catalog: Catalog = DEFAULT, matches: str = "matches") -> DataFrame:
-    """Add max_severity, cat_mask, n_hits and critical, derived from the hits."""
+    """Add max_severity, cat_mask, n_hits and critical, derived from the hits; a catalog of more categories than
+    one word holds adds cat_mask_1 and so on."""
     return df.withColumns({
         "max_severity": max_severity(matches),
-        "cat_mask": category_mask(catalog, matches),
+        **category_masks(catalog, matches),
         "n_hits": F.size(matches),
         "critical": has_critical(matches),
     })

@@ -11,31 +11,65 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from chatrisk import config
-from chatrisk.functions.catalog import Catalog
+from chatrisk.functions.catalog import MASK_BITS, Catalog
 
 SEVERITIES = (1, 2, 3)
 
 
+def word_name(mask: str, word: int) -> str:
+    """The column of a mask's word; the first one has the mask's own name."""
+    return mask if word == 0 else f"{mask}_{word}"
+
+
+def word_names(mask: str, catalog: Catalog) -> list[str]:
+    return [word_name(mask, word) for word in range(catalog.mask_words)]
+
+
+def mask_parts(mask: str, wanted: int) -> list[tuple[str, int]]:
+    """(column, bits) of the words of `mask` that the number `wanted` has bits in."""
+    parts = []
+    for word in range(-(-wanted.bit_length() // MASK_BITS)):
+        bits = wanted >> word * MASK_BITS & (1 << MASK_BITS) - 1
+        if bits:
+            parts.append((word_name(mask, word), bits))
+    return parts
+
+
 def has_any(mask: str, wanted: int) -> str:
-    return f"({mask} & {wanted}L) != 0"
+    tests = [f"({column} & {bits}L) != 0" for column, bits in mask_parts(mask, wanted)]
+    return f"({' OR '.join(tests)})" if len(tests) > 1 else "".join(tests) or "false"
+
+
+def has_all(mask: str, wanted: int) -> str:
+    return "(" + " AND ".join(f"({column} & {bits}L) = {bits}L" for column, bits in mask_parts(mask, wanted)) + ")"
+
+
+def is_empty(mask: str, catalog: Catalog) -> str:
+    return "(" + " AND ".join(f"{column} = 0" for column in word_names(mask, catalog)) + ")"
+
+
+def has_several(mask: str, catalog: Catalog) -> str:
+    """Two categories or more."""
+    if catalog.mask_words == 1:
+        return f"({mask} & ({mask} - 1L)) != 0"
+    return " + ".join(f"bit_count({column})" for column in word_names(mask, catalog)) + " > 1"
 
 
 def base_score(count_of: Callable[[str], str], mask: str, catalog: Catalog) -> str:
     """Sum of weight times count, each category's count capped; most masks are empty."""
     terms = " + ".join(
         f"{catalog.weight(c)}D * least({count_of(c)}, {config.COUNT_CAP})" for c in catalog.categories)
-    return f"IF({mask} = 0, 0D, {terms})"
+    return f"IF({is_empty(mask, catalog)}, 0D, {terms})"
 
 
 def pair_score(mask: str, catalog: Catalog) -> str:
     """Sum of the bonuses of all pairs whose two categories are both present."""
     terms = [
-        f"IF(({mask} & {both}L) = {both}L, {bonus}D, 0D)"
+        f"IF({has_all(mask, both)}, {bonus}D, 0D)"
         for both, bonus in ((catalog.mask([a, b]), bonus) for a, b, bonus in catalog.pairs
                             if a in catalog.categories and b in catalog.categories)
     ]
-    two_or_more = f"({mask} & ({mask} - 1L)) != 0"
-    return f"IF({two_or_more}, {' + '.join(['0D', *terms])}, 0D)"
+    return f"IF({has_several(mask, catalog)}, {' + '.join(['0D', *terms])}, 0D)"
 
 
 def _highest(reached: Callable[[int], str]) -> str:

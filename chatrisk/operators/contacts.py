@@ -51,7 +51,7 @@ class PackedCounts:
             f"IF({scoring.has_any(mask, self.catalog.bit(category))}, {1 << (slot * self.bits)}L, 0L)"
             for slot, category in enumerate(self._slots(word))
         ]
-        return f"IF({mask} = 0, 0L, {' + '.join(fields)})"
+        return f"IF({scoring.is_empty(mask, self.catalog)}, 0L, {' + '.join(fields)})"
 
     def count_of(self, category: str) -> str:
         word, slot = divmod(self.categories.index(category), self.per_word)
@@ -80,7 +80,7 @@ def with_window(
 
     `counts` adds category_counts, the categories of the window with the messages that hold them.
 
-    `messages` holds sender, ml_prob, max_severity and cat_mask. `order` is unique within a key.
+    `messages` holds sender, ml_prob, max_severity and cat_mask (all its words). `order` is unique within a key.
     Keys beyond `piece_rows` rows are windowed piece by piece.
     """
     ordinary, hot = split_hot(messages, keys, piece_rows)
@@ -108,7 +108,8 @@ def _window_figures(
 
     staged = messages.withColumn("_ext", F.col("sender") == EXTERNAL).withColumns({
         "_sev": F.expr("IF(_ext, max_severity, 0)"),
-        "_mask": F.expr("IF(_ext, cat_mask, 0L)"),
+        **{own: F.expr(f"IF(_ext, {column}, 0L)") for own, column in zip(
+            scoring.word_names("_mask", catalog), scoring.word_names("cat_mask", catalog))},
         "_high": F.expr(f"int(_ext AND coalesce(ml_prob >= {params.theta_high}D, false))"),
         "_risky": F.col("_ext") & is_risky(params),
     }).withColumns({f"_add{w}": F.expr(packed.contribution("_mask", w)) for w in range(packed.words)})
@@ -128,7 +129,8 @@ def _window_figures(
         "n_external": in_frame("sum(int(_ext))"),
         "high_risk_count": in_frame("sum(_high)"),
         "risky_count": in_frame("sum(int(_risky))"),
-        "window_mask": in_frame("bit_or(_mask)"),
+        **{whole: in_frame(f"bit_or({own})") for whole, own in zip(
+            scoring.word_names("window_mask", catalog), scoring.word_names("_mask", catalog))},
         "_trust": in_frame(f"min(IF({trust}, _ordinal, NULL))"),
         "_solicit": in_frame(f"max(IF({solicit}, _ordinal, NULL))"),
         # Runs that reach their length inside the frame; one cut by the frame start reaches it

@@ -50,7 +50,8 @@ def _figures(messages: DataFrame, keys: list[str], catalog: Catalog, extra: dict
         "_s1": over("lag(_scored, 1, false)"), "_s2": over("lag(_scored, 2, false)"), "_s3": over("lag(_scored, 3, false)"),
         "_i2": over("lag(conv_idx, 2, -9)"), "_i3": over("lag(conv_idx, 3, -9)"),
     }).withColumns({
-        "_mask": F.expr("IF(_own, cat_mask, 0L)"),
+        **{own: F.expr(f"IF(_own, {column}, 0L)") for own, column in zip(
+            scoring.word_names("_mask", catalog), scoring.word_names("cat_mask", catalog))},
         "_sev": F.expr("IF(_own, max_severity, 0)"),
         "_ordinal": F.expr("sum(int(_own))").over(by.rowsBetween(Window.unboundedPreceding, 0)),
         # The third message of a run of adjacent ones, each run once.
@@ -64,7 +65,8 @@ def _figures(messages: DataFrame, keys: list[str], catalog: Catalog, extra: dict
         "n_flagged": "count_if(_own)",
         "total_hits": "sum(IF(_own, n_hits, 0))",
         "n_runs": "count_if(_third)",
-        "cat_mask": "bit_or(_mask)",
+        **{whole: f"bit_or({own})" for whole, own in zip(
+            scoring.word_names("cat_mask", catalog), scoring.word_names("_mask", catalog))},
         "_trust": f"min(IF({trust}, _ordinal, NULL))",
         "_solicit": f"max(IF({solicit}, _ordinal, NULL))",
         **{f"_first{k}": f"min(IF(_sev >= {k}, _ordinal, NULL))" for k in scoring.SEVERITIES},
@@ -85,7 +87,7 @@ def _combine(pieces: DataFrame) -> DataFrame:
             continue
         if column == "label":
             how[column] = F.max(column)
-        elif column == "cat_mask":
+        elif column.startswith("cat_mask"):
             how[column] = F.bit_or(column)
         elif column.startswith("_first") or column == "_trust":
             how[column] = F.min(F.col(column) + F.col("_shift"))
@@ -102,7 +104,7 @@ def split_conversations(messages: DataFrame, scope: str, piece_rows: int) -> tup
     if scope == "flagged":
         scored = scored & F.col("is_flagged")
     marked = messages.withColumn("_scored", scored).select(
-        KEY, "conv_idx", "is_flagged", "_scored", "max_severity", "cat_mask", "n_hits", (F.col("norm") != "").alias("_live"),
+        KEY, "conv_idx", "is_flagged", "_scored", "max_severity", *(c for c in messages.columns if c.startswith("cat_mask")), "n_hits", (F.col("norm") != "").alias("_live"),
         *(["_part"] if "_part" in messages.columns else []))
     ordinary, hot = split_hot(marked, [KEY], piece_rows)
     if ordinary is not None:

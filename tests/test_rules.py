@@ -3,6 +3,8 @@ from collections import Counter
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from chatrisk import config, views
 from chatrisk.functions import rules
 from chatrisk.functions.catalog import DEFAULT, Catalog
@@ -70,3 +72,19 @@ def test_bad_catalogs_are_refused(bad):
 
 def test_unknown_category_weighs_one():
     assert Catalog((("other", 1, "x"),)).weight("other") == config.DEFAULT_WEIGHT
+
+
+def test_masks_of_several_words(spark):
+    """150 categories, in three words: a message's categories, counts and pairs do not depend on the word they are in."""
+    from chatrisk.functions.scoring import has_all, has_any, is_empty, mask_parts
+
+    many = Catalog(tuple((f"c{k}", 1, rf"\bw{k}\b") for k in range(150)), pairs=(("c1", "c149", 1.0),), trust=("c140",), solicit=(), control=())
+    assert many.mask_words == 3 and mask_parts("m", many.mask(["c0", "c63", "c149"])) == [("m", 1), ("m_1", 1), ("m_2", 1 << 23)]
+    rows = spark.createDataFrame([("w0 w62",), ("w63 w125 w126",), ("w149 x w1 w64",), ("none",)], "text STRING")
+    found = rules.with_summary(rules.with_matches(rows, "text", many), many).select(
+        rules.mask_categories("cat_mask", many).alias("cats"), F.expr(has_any("cat_mask", many.mask(["c149", "c62"]))).alias("any"),
+        F.expr(has_all("cat_mask", many.mask(["c149", "c1"]))).alias("pair"), F.expr(is_empty("cat_mask", many)).alias("empty"),
+        F.expr(has_any("cat_mask", 0)).alias("nothing"))
+    assert [tuple(r) for r in found.collect()] == [
+        (["c0", "c62"], True, False, False, False), (["c125", "c126", "c63"], False, False, False, False),
+        (["c1", "c149", "c64"], True, True, False, False), ([], False, False, True, False)]
