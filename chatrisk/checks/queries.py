@@ -233,6 +233,50 @@ def custom_catalog_hits(spark, sf_dir):
     return rules.explode_hits(rows, "conv_id", "conv_idx").drop("hit_no")
 
 
+# A category per word beside the fixed rules: more of them than one BIGINT has bits.
+WIDE_WORDS = """family number beautiful pic parents wearing walk old promised school date meet home mom need finish book just age
+you are the did what when how me send than better understand your is so tell do go to would someone older up alone let don""".split()
+WIDE = Catalog(
+    (*DEFAULT.rules, *((f"word_{w}", 1 + i % 2, rf"\b{w}\b") for i, w in enumerate(WIDE_WORDS))),
+    weights=DEFAULT.weights | {"word_book": 0.25, "word_home": 0.5, "word_you": 0.125},
+    pairs=(*DEFAULT.pairs, ("word_book", "word_did", 0.5), ("isolation", "word_tell", 0.25), ("word_age", "word_number", 0.75)),
+)
+WIDE_CTES = [
+    f"rules(rule_id, category, severity, pattern) AS ({o.values([(i, *r) for i, r in enumerate(WIDE.rules)])})",
+    f"weights(category, weight) AS ({o.values(WIDE.weights.items())})", f"pairs(cat_a, cat_b, bonus) AS ({o.values(WIDE.pairs)})",
+]
+
+
+@query(o.sql([*WIDE_CTES, *o.CHAT_HITS, *o.scored_ctes("all")],
+             """SELECT conv_id, conv_idx, CAST(count(h.rule_id) AS INTEGER) AS n_hits, CAST(coalesce(max(severity), 0) AS INTEGER) AS max_severity,
+             coalesce(string_agg(DISTINCT category, ',' ORDER BY category), '') AS categories
+             FROM live LEFT JOIN hits h USING (conv_id, conv_idx) GROUP BY 1, 2"""))
+def wide_catalog_summary(spark, sf_dir):
+    rows = messages.annotate_messages(flagged_messages(spark, sf_dir), scope="all", catalog=WIDE)
+    return text.drop_empty(rows).select(
+        "conv_id", "conv_idx", "n_hits", "max_severity", joined(rules.mask_categories("cat_mask", WIDE)).alias("categories"))
+
+
+@query(o.sql([*WIDE_CTES, *o.risk_ctes("all")], "SELECT conv_id, label, n_messages, base, cooccur, escal, arc, score, level, cats FROM risk"))
+def wide_catalog_risk(spark, sf_dir):
+    rows = messages.annotate_messages(flagged_messages(spark, sf_dir), scope="all", catalog=WIDE)
+    risk = conversations.conversation_risk(rows, scope="all", catalog=WIDE)
+    return risk.withColumn("cats", joined("categories")).select(
+        "conv_id", "label", "n_messages", "base", "cooccur", "escal", "arc", "score", "level", "cats")
+
+
+def wide_windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = messages.annotate_contacts(views.contact_messages(views.read_table(spark, sf_dir, "events")), WIDE)
+    return contacts.with_window(rows, WINDOW_KEYS, WINDOW_ORDER, catalog=WIDE)
+
+
+@query(o.sql([*WIDE_CTES, *o.CONTACT], "SELECT contact_id, msg_id, base, cooccur, escal, arc, score, cats FROM win"))
+def wide_window_risk(spark, sf_dir):
+    return wide_windowed(spark, sf_dir).select(
+        "contact_id", "msg_id", "base", "cooccur", "escal", "arc", "score",
+        joined(rules.mask_categories("window_mask", WIDE), ", ").alias("cats"))
+
+
 @query(o.sql([*o.CHAT_HITS, *o.scored_ctes("flagged")],
              """SELECT conv_id, conv_idx, string_agg(category || ':' || severity, ' ' ORDER BY r) AS tags FROM
              (SELECT conv_id, conv_idx, category, severity, min(rule_id) AS r FROM hits GROUP BY ALL) GROUP BY 1, 2"""))
@@ -775,6 +819,40 @@ def stats_stream(spark, sf_dir):
     return rows.withColumn("cats", joined("cats", ", ")).drop("ts")
 
 
+ALERTS_AND_STATS = """SELECT contact_id, msg_id, level, CAST(NULL AS INTEGER) AS window_len, score FROM al
+UNION ALL SELECT contact_id, msg_id, 'stats', CAST(window_len AS INTEGER), round(score, 2) FROM win"""
+
+
+def redelivered_feed(spark: SparkSession, sf_dir: str, path: str) -> str:
+    """The messages as files of a feed in three slices of time; a contact's messages of a slice are in one file. Every
+    third message comes a second time, in the last files."""
+    rows = views.contact_messages(views.read_table(spark, sf_dir, "events")).withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = rows.withColumn("reset", F.lit(False)).select("contact_id", "ts", "msg_id", "sender", "text", "ml_prob", "reset")
+    span = rows.agg(F.min("ts").cast("double").alias("low"), F.max("ts").cast("double").alias("high")).first()
+    share = (F.col("ts").cast("double") - span.low) / max(span.high - span.low, 1.0)
+    for part in [F.least(F.floor(share * 3), F.lit(2)) == k for k in range(3)] + [F.col("msg_id") % 3 == 0]:
+        rows.filter(part).repartition(2, "contact_id").write.mode("append").parquet(path)  # files are read in order of time written
+    return path
+
+
+@query(o.sql(o.CONTACT, ALERTS_AND_STATS))
+def alerts_and_stats(spark, sf_dir):
+    """One state for both tables, over a feed in several micro-batches that delivers messages again."""
+    streams.prepare_session(spark)
+    path = scratch_path(spark, "alerts-and-stats")
+    incoming = corpus.read_feed(spark, redelivered_feed(spark, sf_dir, f"{path}/feed"), files_per_batch=1, redelivered=True)
+    sinks.write_alerts_and_stats(streams.stream_windows(incoming), f"{path}/alerts", f"{path}/stats", f"{path}/state").awaitTermination()
+    raised = spark.read.parquet(f"{path}/alerts").select("contact_id", "msg_id", "level", F.lit(None).cast("int").alias("window_len"), "score")
+    stats = spark.read.parquet(f"{path}/stats")
+    return raised.unionByName(stats.select("contact_id", "msg_id", F.lit("stats").alias("level"), "window_len", "score"))
+
+
+@query(o.sql([*WIDE_CTES, *o.CONTACT], "SELECT contact_id, msg_id, score, cats FROM win"))
+def wide_catalog_stream(spark, sf_dir):
+    scored = streams.stream_windows(feed(spark, sf_dir), catalog=WIDE)
+    return drained(spark, scored.select("contact_id", "msg_id", "score", joined(rules.mask_categories("window_mask", WIDE), ", ").alias("cats")), "wide-stream")
+
+
 @query(o.sql(o.CONTACT, """SELECT msg_id, CAST(coalesce(max_severity, 0) AS INTEGER) AS max_severity, CASE WHEN ext THEN coalesce(mc, '') ELSE '' END AS cats FROM
 (SELECT cm.msg_id, cm.ext, CASE WHEN cm.ext THEN tsev.sev END AS max_severity, mc FROM cm LEFT JOIN tsev USING (text) LEFT JOIN mcats USING (text))"""))
 def annotated_stream(spark, sf_dir):

@@ -18,6 +18,10 @@ CONVERSATION_SCHEMA = T.StructType([
 RECORD_SCHEMA = "conversation_id STRING, part INT, n_parts INT, text STRING, label INT"
 FEED_SCHEMA = "contact_id BIGINT, ts TIMESTAMP, msg_id BIGINT, sender STRING, text STRING, ml_prob DOUBLE, reset BOOLEAN"
 
+MESSAGE_KEY = ["contact_id", "msg_id"]
+#: Files of a micro-batch unless the caller sets another number.
+FILES_PER_BATCH = 64
+
 
 def _strip(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), F.lit(r"(?U)^\s+|\s+$"), F.lit(""))
@@ -76,9 +80,19 @@ def read_records(spark: SparkSession, path: str, *, lines: bool = False) -> Data
     return whole_texts(raw)
 
 
-def read_feed(spark: SparkSession, path: str, files_per_batch: int | None = None, fmt: str = "parquet") -> DataFrame:
-    """Stream of contact messages from a folder; `files_per_batch` bounds a micro-batch."""
-    reader = spark.readStream.schema(FEED_SCHEMA).format(fmt)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.load(path)
+def read_feed(
+    spark: SparkSession, path: str, files_per_batch: int = FILES_PER_BATCH, fmt: str = "parquet", *,
+    redelivered: bool = False, within: str | None = None,
+) -> DataFrame:
+    """Stream of contact messages from a folder; `files_per_batch` bounds a micro-batch.
+
+    A source that may deliver a message again is read with `redelivered`: of rows with the same contact and message id
+    the first one counts. Their ids are kept for good, or, with `within`, as long as a message comes no later than that
+    after the newest one; rows older still are late and do not count.
+    """
+    feed = spark.readStream.schema(FEED_SCHEMA).format(fmt).option("maxFilesPerTrigger", files_per_batch).load(path)
+    if not redelivered:
+        return feed
+    if within is None:
+        return feed.dropDuplicates(MESSAGE_KEY)
+    return feed.withWatermark("ts", within).dropDuplicatesWithinWatermark(MESSAGE_KEY)

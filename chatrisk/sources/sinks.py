@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from chatrisk.functions.catalog import DEFAULT, Catalog
+from chatrisk.operators.contacts import WindowParams, alerts, window_stats
 from chatrisk.operators.reports import readable_text
 
+STATS_KEYS = ["contact_id", "ts", "msg_id"]
+
 
 def write_dataset(dataset: DataFrame, path: str, fmt: str = "parquet") -> None:
     """One folder per split."""
@@ -37,3 +42,27 @@ def write_alerts(alerts: DataFrame, path: str, checkpoint: str, *, available_now
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start(path)
+
+
+def write_alerts_and_stats(
+    scored: DataFrame, alerts_path: str, stats_path: str, checkpoint: str, *, params: WindowParams = WindowParams(),
+    catalog: Catalog = DEFAULT, available_now: bool = True,
+) -> StreamingQuery:
+    """Alerts and window statistics of one stream of scored messages, from one state.
+
+    A micro-batch's rows go to folders named by its id, which are written anew when the batch is repeated after a
+    failure, so that every message counts once in either table.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist(StorageLevel.DISK_ONLY)  # the state is read and changed once for both tables
+        try:
+            raised = alerts(batch, params, catalog).drop("matches").withColumn("signals", F.to_json("signals"))
+            for rows, path in ((raised, alerts_path), (window_stats(batch, STATS_KEYS, catalog), stats_path)):
+                rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        finally:
+            batch.unpersist()
+
+    writer = scored.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()

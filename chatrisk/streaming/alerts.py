@@ -12,7 +12,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from chatrisk import config
@@ -23,46 +22,49 @@ from chatrisk.operators.messages import annotate_contacts
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-STATE_SCHEMA = T.StructType([
-    T.StructField("ext", T.ArrayType(T.BooleanType())),
-    T.StructField("sev", T.ArrayType(T.IntegerType())),
-    T.StructField("mask", T.ArrayType(T.LongType())),
-    T.StructField("prob", T.ArrayType(T.DoubleType())),
-])
-WINDOW_SCHEMA = (
-    "contact_id BIGINT, ts TIMESTAMP, msg_id BIGINT, sender STRING, text STRING, ml_prob DOUBLE, "
-    "matches_json STRING, max_severity INT, cat_mask BIGINT, "
-    "w_ext ARRAY<BOOLEAN>, w_sev ARRAY<INT>, w_mask ARRAY<BIGINT>, w_prob ARRAY<DOUBLE>"
-)
 MATCHES = "ARRAY<STRUCT<rule_id: INT, category: STRING, severity: INT, text: STRING>>"
 
 
 EMIT_ROWS = 5_000  # rows per batch handed back
 
 
-def _with_arrays(rows: pd.DataFrame, windows: list) -> pd.DataFrame:
-    places = {"w_ext": 0, "w_sev": 1, "w_mask": 2, "w_prob": 3}
-    return rows.assign(**{c: pd.Series([[m[i] for m in w] for w in windows], index=rows.index) for c, i in places.items()})
+def state_schema(catalog: Catalog) -> str:
+    """One kept message: external or not, severity, probability, and the words of its category mask."""
+    return ", ".join(["ext BOOLEAN, sev INT, prob DOUBLE", *(f"{c} BIGINT" for c in scoring.word_names("mask", catalog))])
+
+
+def window_schema(catalog: Catalog) -> str:
+    """A message, and its window as arrays with an element per message."""
+    masks = [*(f"{c} BIGINT" for c in scoring.word_names("cat_mask", catalog)),
+             "w_ext ARRAY<BOOLEAN>, w_sev ARRAY<INT>, w_prob ARRAY<DOUBLE>",
+             *(f"{c} ARRAY<BIGINT>" for c in scoring.word_names("w_mask", catalog))]
+    return ("contact_id BIGINT, ts TIMESTAMP, msg_id BIGINT, sender STRING, text STRING, ml_prob DOUBLE, "
+            f"matches_json STRING, max_severity INT, {', '.join(masks)}")
 
 
 class LastMessages(StatefulProcessor):
-    """Keeps the last `size` messages of a contact; emits each message with its window.
+    """Keeps the last `size` - 1 messages of a contact as a list; emits each message with its window.
 
-    A micro-batch is applied in (ts, msg_id) order; a reset row clears the window before itself. The
-    handler holds one contact's rows of one micro-batch, which the source's per-trigger limit bounds.
+    A micro-batch is applied in (ts, msg_id) order; a reset row clears the window before itself. A contact's window is
+    forgotten when no message of it came for `expires_ms`. The rows of one contact in one micro-batch are ordered
+    together, which the source's per-trigger limit bounds; what is handed back leaves in pieces.
     """
 
-    def __init__(self, size: int):
-        self.size = size
+    def __init__(self, size: int, catalog: Catalog = DEFAULT, expires_ms: int | None = None):
+        self.size, self.expires_ms = size, expires_ms
+        self.schema = state_schema(catalog)
+        self.masks = scoring.word_names("cat_mask", catalog)
+        self.arrays = ["w_ext", "w_sev", "w_prob", *scoring.word_names("w_mask", catalog)]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.window = handle.getValueState("window", STATE_SCHEMA)
+        self.window = handle.getListState("window", self.schema, ttlDurationMs=self.expires_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["ts", "msg_id"], kind="stable")
-        stored = self.window.get() if self.window.exists() else None
-        window = list(zip(*stored)) if stored and stored[0] else []
-        arrived = zip(batch["sender"] == EXTERNAL, batch["max_severity"], batch["cat_mask"], batch["ml_prob"])
+        window = list(self.window.get()) if self.window.exists() else []
+        arrived = zip(
+            (batch["sender"] == EXTERNAL).tolist(), batch["max_severity"].tolist(), batch["ml_prob"].tolist(),
+            *(batch[c].tolist() for c in self.masks))
         resets = batch["reset"].fillna(False).astype(bool).tolist()
         out = batch.drop(columns=["reset"]).reset_index(drop=True)
         windows, start = [], 0
@@ -70,13 +72,16 @@ class LastMessages(StatefulProcessor):
             window = ([] if reset or self.size == 1 else window[-(self.size - 1):]) + [message]
             windows.append(window)
             if len(windows) == EMIT_ROWS:
-                yield _with_arrays(out[start:start + EMIT_ROWS], windows)
+                yield self._with_arrays(out[start:start + EMIT_ROWS], windows)
                 windows, start = [], start + EMIT_ROWS
         if windows:
-            yield _with_arrays(out[start:], windows)
-        ext, sev, mask, prob = zip(*window)
-        self.window.update((
-            [bool(x) for x in ext], [int(x) for x in sev], [int(x) for x in mask], [float(x) for x in prob]))
+            yield self._with_arrays(out[start:], windows)
+        if self.size > 1:
+            self.window.put([tuple(m) for m in window[-(self.size - 1):]])
+
+    def _with_arrays(self, rows: pd.DataFrame, windows: list) -> pd.DataFrame:
+        return rows.assign(**{
+            c: pd.Series([[m[i] for m in w] for w in windows], index=rows.index) for i, c in enumerate(self.arrays)})
 
     def close(self) -> None:
         pass
@@ -92,14 +97,20 @@ def annotate_stream(feed: DataFrame, catalog: Catalog = DEFAULT, *, normalised:
     return annotate_contacts(feed, catalog, normalised=normalised)
 
 
-def stream_windows(feed: DataFrame, params: WindowParams = WindowParams(), catalog: Catalog = DEFAULT) -> DataFrame:
-    """Every message with its window figures and score."""
-    annotated = annotate_stream(feed, catalog).select(
+def stream_windows(
+    feed: DataFrame, params: WindowParams = WindowParams(), catalog: Catalog = DEFAULT, *,
+    normalised: bool = False, expires_ms: int | None = None,
+) -> DataFrame:
+    """Every message with its window figures and score.
+
+    With `expires_ms` the window of a contact that is silent for so long, by the clock, is forgotten.
+    """
+    annotated = annotate_stream(feed, catalog, normalised=normalised).select(
         "contact_id", "ts", "msg_id", "sender", "text", "ml_prob",
-        F.to_json("matches").alias("matches_json"), "max_severity", "cat_mask", "reset")
+        F.to_json("matches").alias("matches_json"), "max_severity", *scoring.word_names("cat_mask", catalog), "reset")
     windows = annotated.groupBy("contact_id").transformWithStateInPandas(
-        statefulProcessor=LastMessages(params.size), outputStructType=WINDOW_SCHEMA,
-        outputMode="Append", timeMode="None")
+        statefulProcessor=LastMessages(params.size, catalog, expires_ms), outputStructType=window_schema(catalog),
+        outputMode="Append", timeMode="ProcessingTime" if expires_ms else "None")
     return score_windows(windows, params, catalog).withColumn("matches", F.from_json("matches_json", MATCHES)).drop("matches_json")
 
 
@@ -108,14 +119,15 @@ def score_windows(windows: DataFrame, params: WindowParams, catalog: Catalog) ->
     where = lambda sql: f"array_compact(transform(_frame, (m, i) -> IF({sql}, i + 1, NULL)))"
     count = lambda sql: f"size(filter(_frame, m -> {sql}))"
     has = lambda names: scoring.has_any("m.w_mask", catalog.mask(names))
-    staged = windows.withColumn("_all", F.arrays_zip("w_ext", "w_sev", "w_mask", "w_prob"))
+    staged = windows.withColumn("_all", F.arrays_zip("w_ext", "w_sev", "w_prob", *scoring.word_names("w_mask", catalog)))
     staged = staged.withColumn("_frame", F.filter("_all", lambda m: m["w_ext"]))
     staged = staged.withColumns({name: F.expr(sql) for name, sql in {
         "window_len": "size(_all)",
         "n_external": "size(_frame)",
         "high_risk_count": count(f"nanvl(m.w_prob, 0D) >= {params.theta_high}D"),
         "risky_count": count(f"nanvl(m.w_prob, 0D) >= {params.theta_medium}D OR m.w_sev >= 2"),
-        "window_mask": "aggregate(_frame, 0L, (mask, m) -> mask | m.w_mask)",
+        **{whole: f"aggregate(_frame, 0L, (mask, m) -> mask | m.{own})" for whole, own in zip(
+            scoring.word_names("window_mask", catalog), scoring.word_names("w_mask", catalog))},
         "n_runs": "regexp_count(array_join(transform(_all, m -> IF(m.w_ext, 'E', 'c')), ''), 'E{%d,}')" % config.RUN_LENGTH,
         "_trust": f"array_min({where(has(catalog.trust))})",
         "_solicit": f"array_max({where(has(catalog.solicit))})",

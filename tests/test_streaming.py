@@ -1,4 +1,5 @@
 import shutil
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -35,3 +36,72 @@ def test_stream_over_restarts_equals_batch(spark, feed_files, tmp_path):
     found = spark.read.parquet(str(tmp_path / "out"))
     assert found.select(columns).exceptAll(raised.select(columns)).count() == 0
     assert found.count() == raised.count() > 0
+
+
+def copied(folder, parts, incoming, name):
+    for file in (folder / f"part{parts}").glob("*.parquet"):
+        shutil.copy(file, incoming / f"{name}-{file.name}")
+        time.sleep(0.05)  # files are taken in the order of their times
+
+
+def test_redelivered_files_count_once(spark, feed_files, tmp_path):
+    folder, rows = feed_files
+    streams.prepare_session(spark)
+    incoming = tmp_path / "in"
+    incoming.mkdir()
+    for i, part in enumerate([0, 1, 0, 2, 1]):  # files come again, in the same run and after a restart
+        copied(folder, part, incoming, i)
+        if i in (2, 4):
+            scored = streams.stream_windows(corpus.read_feed(spark, str(incoming), files_per_batch=1, redelivered=True))
+            sinks.write_alerts_and_stats(scored, *(str(tmp_path / p) for p in ("alerts", "stats", "state"))).awaitTermination()
+    batch = contacts.with_window(messages.annotate_contacts(rows), ["contact_id"], ["ts", "msg_id"])
+    stats = spark.read.parquet(str(tmp_path / "stats"))
+    wanted = contacts.window_stats(batch, ["contact_id", "ts", "msg_id"])
+    assert stats.count() == wanted.count() and stats.select(wanted.columns).exceptAll(wanted).count() == 0
+    raised = contacts.alerts(batch).select("contact_id", "msg_id", "level", "reason", "score")
+    found = spark.read.parquet(str(tmp_path / "alerts")).select(raised.columns)
+    assert found.count() == raised.count() > 0 and found.exceptAll(raised).count() == 0
+
+
+def test_late_copies_are_dropped_within_a_bound(spark, feed_files, tmp_path):
+    folder, rows = feed_files
+    incoming = tmp_path / "in"
+    incoming.mkdir()
+    for i in range(2):
+        copied(folder, 1, incoming, i)
+    feed = corpus.read_feed(spark, str(incoming), redelivered=True, within="10 days").select("contact_id", "msg_id")
+    sinks.write_alerts(feed, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == rows.filter("msg_id = 300").count() == 1
+
+
+def test_a_repeated_batch_is_written_once(spark, feed_files, tmp_path):
+    """A batch that was written but not committed runs again and replaces its own rows."""
+    folder, _ = feed_files
+    streams.prepare_session(spark)
+    incoming = tmp_path / "in"
+    incoming.mkdir()
+    paths = [str(tmp_path / p) for p in ("alerts", "stats", "state")]
+    for i in range(2):
+        copied(folder, i, incoming, i)
+        sinks.write_alerts_and_stats(streams.stream_windows(corpus.read_feed(spark, str(incoming))), *paths).awaitTermination()
+    before = spark.read.parquet(paths[1]).count()
+    last = max((tmp_path / "state" / "commits").glob("[0-9]*"), key=lambda f: int(f.name))
+    last.unlink()
+    (last.parent / f".{last.name}.crc").unlink(missing_ok=True)
+    sinks.write_alerts_and_stats(streams.stream_windows(corpus.read_feed(spark, str(incoming))), *paths).awaitTermination()
+    again = spark.read.parquet(paths[1])
+    assert again.count() == before == again.select("msg_id").distinct().count()
+
+
+@pytest.mark.parametrize("expires, length", [(None, 2), (500, 1)])
+def test_a_silent_contact_is_forgotten(spark, tmp_path, expires, length):
+    streams.prepare_session(spark)
+    incoming = tmp_path / "in"
+    row = "(1L, timestamp'2024-01-01 00:00:0{0}', {0}L, 'external', 'hi', 0.1D, false)"
+    names = [f.split()[0] for f in corpus.FEED_SCHEMA.split(", ")]
+    for i in range(2):
+        spark.sql(f"SELECT * FROM VALUES {row.format(i)} AS t({', '.join(names)})").write.mode("append").parquet(str(incoming))
+        scored = streams.stream_windows(corpus.read_feed(spark, str(incoming)), expires_ms=expires).select("msg_id", "window_len")
+        sinks.write_alerts(scored, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+        time.sleep(1)
+    assert {r.msg_id: r.window_len for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {0: 1, 1: length}
