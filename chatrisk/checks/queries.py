@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chatrisk import views
@@ -715,12 +716,7 @@ def token_sequences(spark, sf_dir):
 
 # --- files: written by Spark from the tables, read back by the sources ----------
 
-# The SQL alone renames conversations from this many messages on; the query keeps their ids.
-XML_ROWS = 100_000
-
-
-@query(o.sql(o.CHAT, f"""SELECT conv_id || CASE WHEN conv_idx >= {XML_ROWS} THEN '#' || conv_idx // {XML_ROWS} ELSE '' END AS conv_id,
-CAST(conv_idx % {XML_ROWS} AS INTEGER) AS conv_idx, author, trim(text_raw) AS text_raw FROM msg"""))
+@query(o.sql(o.CHAT, "SELECT CAST(conv_id AS VARCHAR) AS conv_id, conv_idx, author, trim(text_raw) AS text_raw FROM msg"))
 def xml_messages(spark, sf_dir):
     path = scratch_path(spark, "corpus-xml")
     rows = views.conversation_messages(spark, sf_dir)
@@ -730,6 +726,42 @@ def xml_messages(spark, sf_dir):
     return corpus.read_messages(spark, path)
 
 
+def written_xml(rows: DataFrame, path: str) -> str:
+    """Messages (conv, id, conv_idx, author, text_raw) as XML files, a message per line; ids may repeat or be missing."""
+    def escaped(column: str) -> Column:
+        whole = F.col(column)
+        for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+            whole = F.replace(whole, F.lit(sign), F.lit(name))
+        return whole
+
+    last = F.lead("conv_idx").over(Window.partitionBy("conv").orderBy("conv_idx")).isNull()
+    attribute = F.when(F.col("id").isNull(), "").otherwise(F.concat(F.lit(' id="'), escaped("id"), F.lit('"')))
+    line = F.concat(
+        F.when(F.col("conv_idx") == 0, F.concat(F.lit("<conversation"), attribute, F.lit(">"))).otherwise(""),
+        F.lit("<message><author>"), escaped("author"), F.lit("</author><text>"), escaped("text_raw"), F.lit("</text></message>"),
+        F.when(last, "</conversation>").otherwise(""))
+
+    def rooted(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(["<conversations>"])], names=["value"])
+        yield from batches
+        yield pa.RecordBatch.from_arrays([pa.array(["</conversations>"])], names=["value"])
+
+    lines = rows.select("conv", "conv_idx", line.alias("value")).repartition("conv").sortWithinPartitions("conv", "conv_idx")
+    lines.select("value").mapInArrow(rooted, "value STRING").write.text(path)
+    return path
+
+
+@query(o.sql(o.CHAT, """SELECT CASE WHEN conv_id % 7 <> 0 THEN CAST(conv_id // 2 AS VARCHAR) ELSE '' END AS conv_id, conv_idx, author, trim(text_raw) AS text_raw,
+count(*) OVER (PARTITION BY conv_id) AS n_messages FROM msg"""))
+def xml_conversations(spark, sf_dir):
+    """Ids that two elements share, and elements without one: each element stays a conversation of its own."""
+    rows = views.conversation_messages(spark, sf_dir).withColumn("id", F.when(
+        F.col("conv_id") % 7 != 0, F.floor(F.col("conv_id") / 2).cast("string"))).withColumnRenamed("conv_id", "conv")
+    found = corpus.read_elements(spark, written_xml(rows, scratch_path(spark, "elements-xml")))
+    sizes = found.groupBy("conv_key").agg(F.count(F.lit(1)).alias("n_messages"))
+    return found.join(sizes, "conv_key").drop("conv_key")
+
+
 @query(o.sql(o.CHAT, "SELECT DISTINCT author AS author_id FROM msg WHERE is_flagged"))
 def author_list(spark, sf_dir):
     path = scratch_path(spark, "authors")
@@ -756,6 +788,15 @@ def dataset_json(spark, sf_dir):
     return corpus.read_records(spark, path, lines=True)
 
 
+@query(o.sql(TEXTS, f"SELECT CAST(conversation_id AS VARCHAR) AS conversation_id, text, label, {HASHED} FROM dataset"))
+def dataset_json_array(spark, sf_dir):
+    """Datasets as JSON arrays, a folder per split."""
+    path = scratch_path(spark, "dataset-array")
+    sinks.write_json_array(datasets.split_by_hash(dataset(spark, sf_dir)), path)
+    rows = [datasets.whole_texts(corpus.read_array_records(spark, f"{path}/split={s}")).withColumn("split", F.lit(s)) for s in ("train", "val")]
+    return rows[0].unionByName(rows[1]).select("conversation_id", "text", "label", "split")
+
+
 @query(o.sql(SPLIT, "SELECT conversation_id, text, label, split FROM split"))
 def dataset_sink(spark, sf_dir):
     path = scratch_path(spark, "dataset")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chatrisk.operators.datasets import whole_texts
+from chatrisk.sources import json_array, xml_elements
 
 CONVERSATION_SCHEMA = T.StructType([
     T.StructField("_id", T.StringType()),
@@ -44,6 +45,23 @@ def read_messages(spark: SparkSession, path: str) -> DataFrame:
         F.when(F.col("conv_idx").isNotNull(), _strip(F.col("m.author"))).alias("author"), _strip(F.col("m.text")).alias("text_raw"))
 
 
+def read_elements(spark: SparkSession, path: str) -> DataFrame:
+    """Messages as `read_messages` gives them, with a `conv_key` for every conversation element.
+
+    Elements that share an id, or have none (conv_id ''), stay apart by their key; use it in place of conv_id where a
+    record per element is wanted. Files are split, and an element may span any number of splits.
+    """
+    rows = xml_elements.read_elements(spark, path)
+    return rows.select(
+        "conv_key", _strip(F.col("conv_id")).alias("conv_id"), "conv_idx",
+        F.when(F.col("author").isNotNull(), _strip(F.col("author"))).alias("author"), _strip(F.col("text_raw")).alias("text_raw"))
+
+
+def read_array_records(spark: SparkSession, path: str) -> DataFrame:
+    """Dataset records, parts included, from files that are one JSON array each; files are split at record ends."""
+    return json_array.read_json_array(spark, path, RECORD_SCHEMA)
+
+
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     stripped = spark.read.text(path).select(_strip(F.col("value")).alias("line"))
     return stripped.filter((F.col("line") != "") & ~F.col("line").startswith("#"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +22,24 @@ def write_dataset(dataset: DataFrame, path: str, fmt: str = "parquet") -> None:
     dataset.write.mode("overwrite").partitionBy("split").format(fmt).save(path)
 
 
+def write_json_array(dataset: DataFrame, path: str) -> None:
+    """One folder per split; every file is one JSON array, a record per line."""
+    def array(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sign = "["
+        for batch in batches:
+            lines = []
+            for value in batch.column("value").to_pylist():
+                lines.append(sign + value)
+                sign = ","
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["[]" if sign == "[" else "]"])], names=["value"])
+
+    columns = [c for c in dataset.columns if c != "split"]
+    for split in ("train", "val"):
+        rows = dataset.filter(F.col("split") == split).select(F.to_json(F.struct(*columns)).alias("value"))
+        rows.mapInArrow(array, "value STRING").write.mode("overwrite").text(f"{path}/split={split}")
+
+
 def write_analysis(report: DataFrame, path: str) -> None:
     """Ranked records without their messages, as JSON lines in rank order."""
     slim = report.drop("messages")

@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from chatrisk.operators import datasets, messages, records, reports
@@ -99,3 +100,85 @@ def test_a_long_conversation_keeps_its_id(spark, monkeypatch, tmp_path):
     assert out.select("conv_id", "conv_idx", F.col("text_raw").cast("int")).agg(
         F.countDistinct("conv_id"), F.count("*"), F.max("conv_idx"), F.count_if(F.col("conv_idx") != F.col("text_raw").cast("int"))
     ).first()[:] == (1, 100_005, 100_004, 0)
+
+
+@pytest.fixture
+def small_splits(spark):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300b")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def xml_file(path, conversations):
+    lines = []
+    for attributes, texts in conversations:
+        body = "".join(f"<message line='1'><author>a&lt;{k}</author><text>{t}</text></message>\n" for k, t in enumerate(texts))
+        lines.append(f"<conversation{attributes}>{body}</conversation>")
+    path.write_text('<?xml version="1.0" encoding="UTF-8"?>\n<conversations>\n' + "\n".join(lines) + "\n</conversations>\n", encoding="utf-8")
+
+
+def test_elements_stay_apart_over_many_splits(spark, tmp_path, small_splits):
+    """Ids that repeat or are missing, empty elements, comments, character data, and one element over many splits."""
+    texts = ["hi", "", "é &amp; ü" * 5, "<![CDATA[a <message> & b]]>", "x" * 400, " two\n lines "]
+    plain = ["hi", "", "é & ü" * 5, "a <message> & b", "x" * 400, "two\n lines"]
+    made = [(' id="same"', texts), (' id="same"', texts[:2]), ("", texts), (" id='q>1'", []), ("", []), (' id="long"', texts * 40),
+            (' kind="x" id="last &amp; least"', texts), (' id="end"', [])]
+    xml_file(tmp_path / "a.xml", made)
+    (tmp_path / "b.xml").write_text('<conversations><!-- <conversation id="no"> --><conversation id="solo"/><conversation id="one"><message/><message line="2"><text>t</text></message></conversation></conversations>', encoding="utf-8")
+    rows = corpus.read_elements(spark, str(tmp_path))
+    assert rows.rdd.getNumPartitions() > 20
+    found = {}
+    for r in sorted(rows.collect(), key=lambda r: (r.conv_key, r.conv_idx)):
+        found.setdefault(r.conv_key, []).append((r.conv_id, r.conv_idx, r.author, r.text_raw))
+    ids = ["same", "same", "", "q>1", "", "long", "last & least", "end"]
+    wanted = [[(i, k, f"a<{k}", plain[k % 6]) for k in range(len(t))] or [(i, 0, None, "")] for i, (_, t) in zip(ids, made)]
+    wanted += [[("solo", 0, None, "")], [("one", 0, "", ""), ("one", 1, "", "t")]]
+    assert sorted(found.values(), key=str) == sorted(wanted, key=str)
+
+
+@pytest.mark.parametrize("text", [
+    "<conversations><conversation id='a'><message><text>x</text></message>",
+    "<conversations><conversation id='a'><message><text>x</text></message><message><text>y",
+    "<conversations><message><text>x</text></message></conversations>",
+    "<conversations><conversation id='a'><conversation id='b'></conversation></conversation></conversations>",
+    "<conversations><conversation id='a'><message><text>x</message></conversation></conversations>",
+    "<conversations><conversation id='a'></message></conversation></conversations>",
+])
+def test_malformed_elements_are_errors(spark, tmp_path, text):
+    (tmp_path / "c.xml").write_text(text, encoding="utf-8")
+    with pytest.raises(Exception, match="(?i)closed|outside|inside|malformed|end"):
+        corpus.read_elements(spark, str(tmp_path / "c.xml")).collect()
+
+
+@pytest.mark.parametrize("indent", [None, 2])
+def test_json_arrays_are_split_at_record_ends(spark, tmp_path, small_splits, indent):
+    texts = ['a}b', 'q"u{o', "\\", 'x\\"}', "[1]", "é}\n", '"', "", "{" * 40, "]}" * 400, "plain"]
+    rows = [{"conversation_id": f"{k}", "text": texts[k % 11] * (1 + k % 3), "label": k % 2, "more": {"a": [k, {"b": "}"}]}} for k in range(300)]
+    (tmp_path / "r.json").write_text(json.dumps(rows, ensure_ascii=False, indent=indent), encoding="utf-8")
+    (tmp_path / "empty.json").write_text(" [ ]\n", encoding="utf-8")
+    (tmp_path / "one.json").write_text('﻿[{"conversation_id": 7, "text": null}]', encoding="utf-8")
+    found = corpus.read_array_records(spark, str(tmp_path)).select("conversation_id", "text", "label")
+    assert found.rdd.getNumPartitions() > 20
+    wanted = [(r["conversation_id"], r["text"], r["label"]) for r in rows] + [("7", None, None)]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(wanted, key=str)
+
+
+@pytest.mark.parametrize("text", [
+    '[{"text": "a"}', '[{"text": "a"', '{"text": "a"}', '[{"text": "a"} {"text": "b"}]', '[{"text": "a"}] x', '[{"text": "a}]',
+    '[1, 2]', '[{"text": }]', '[{"text": "a\\}"}]', '[{"text": "a"}]]', '[{"text": "a"},]',
+])
+def test_broken_arrays_are_errors(spark, tmp_path, text):
+    (tmp_path / "r.json").write_text(text, encoding="utf-8")
+    with pytest.raises(Exception):
+        corpus.read_array_records(spark, str(tmp_path / "r.json")).collect()
+
+
+def test_arrays_are_written_and_read_back(spark, tmp_path):
+    rows = spark.range(50).select(F.col("id").cast("string").alias("conversation_id"), F.lit(0).alias("part"), F.lit(1).alias("n_parts"),
+                                  F.concat(F.lit('"},{'), "id").alias("text"), F.lit(1).alias("label"), F.lit("train").alias("split"))
+    sinks.write_json_array(rows.repartition(3), str(tmp_path / "ds"))
+    assert spark.read.text(str(tmp_path / "ds" / "split=val")).filter("value <> ''").collect() in ([], [("[]",)])
+    for file in (tmp_path / "ds" / "split=train").glob("part-*"):
+        assert json.loads(file.read_text())
+    back = corpus.read_array_records(spark, str(tmp_path / "ds" / "split=train"))
+    assert back.count() == 50 and back.exceptAll(rows.drop("split")).count() == 0
