@@ -42,6 +42,8 @@ NODE = 1024
 ALL_PAIRS = 32
 LEVELS = 3
 PIVOTS = 8
+#: Nodes whose pivots are broadcast, at some 1.2 KB each.
+PIVOT_ROWS = 50_000
 #: A pair is confirmed on full sets if its sketch similarity is at most this far below the limit: 4.7
 #: standard deviations at 0.85 and 128 values.
 MARGIN = 0.15
@@ -278,22 +280,26 @@ def _branched(large: DataFrame, sketches: DataFrame, similarity: float) -> DataF
 
 
 def _pivot_pairs(large: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
-    """All members of a large node against its PIVOTS smallest classes, by sketch (tiny); a member meets them in one row."""
+    """Every class of large nodes against the PIVOTS smallest classes of the largest of its nodes, by sketch (tiny): one
+    pair at most, with the nearest. What this leaves unlinked is compared in the second round."""
     # The digests are even, so this keeps some four times PIVOTS classes of a node before any are collected.
     first = F.conv(F.hex(F.substring("key", 1, 2)), 16, 10).cast("bigint") * F.col("n") <= PIVOTS * 4 * 65536
     few = large.filter(first).groupBy("path").agg(F.slice(F.sort_array(F.collect_set("key")), 1, PIVOTS).alias("pivots"))
     tiny = few.select("path", F.explode("pivots").alias("key")).join(sketches.select("key", "tiny"), "key")
     pivots = tiny.groupBy("path").agg(F.collect_list(F.struct("key", "tiny")).alias("pivots"))
-    own = large.select("path", "key").join(sketches.select("key", "tiny"), "key")
-    rated = checked_join(own, checkpointed(pivots, "pivots"), ["path"], "inner").select("key", "tiny", "pivots")
+    own = large.groupBy("key").agg(F.max(F.struct("n", "path")).alias("top")).select("key", F.col("top.path").alias("path"))
+    own = own.join(sketches.select("key", "tiny"), "key")
+    rated = checked_join(own, checkpointed(pivots, "pivots"), ["path"], "inner", PIVOT_ROWS).select("key", "tiny", "pivots")
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for key, own_tiny, few_pivots in zip(*(c.to_pylist() for c in batch.columns)):
-                values = np.frombuffer(b"".join(p["tiny"] for p in few_pivots), np.uint8).reshape(len(few_pivots), -1)
+                others = [p for p in few_pivots if p["key"] != key]
+                values = np.frombuffer(b"".join(p["tiny"] for p in others), np.uint8).reshape(len(others), SKETCH)
                 alike = (values == np.frombuffer(own_tiny, np.uint8)).mean(axis=1)
-                found += [(few_pivots[i]["key"], key) for i in np.flatnonzero(alike >= similarity - MARGIN).tolist() if few_pivots[i]["key"] != key]
+                if len(others) and alike.max() >= similarity - MARGIN:
+                    found.append((others[int(alike.argmax())]["key"], key))
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.binary()) for i in (0, 1)], names=["a", "b"])
 
     schema = StructType([StructField("a", BinaryType()), StructField("b", BinaryType())])
