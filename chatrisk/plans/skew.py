@@ -23,7 +23,7 @@ def hot_keys(df: DataFrame, keys: list[str], limit: int = PIECE_ROWS) -> DataFra
 
     Only the key columns are read, and counts are combined before the shuffle.
     """
-    if df.select(F.lit(1)).limit(limit + 1).count() <= limit:
+    if df.count() <= limit:
         return None
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")) if keys else df.agg(F.count(F.lit(1)).alias("_n"))
     hot = checkpointed(counts.filter(F.col("_n") > limit).select(*keys, "_n"), "hot-keys")
