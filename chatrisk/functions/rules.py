@@ -19,6 +19,8 @@ REGEX_FLAGS = "(?iU)"  # ignore case, Unicode classes and folding
 # Characters that match an ASCII letter when case is ignored but do not lower-case to it alone.
 FOLDED = ("\u017f\u0131\u212a\u0130", "siki")
 _HIT = "STRUCT<rule_id: INT, category: STRING, severity: INT, text: STRING>"
+# Noncharacters around hits while their places are counted; those of the text itself stand in as the next two.
+MARKS, STAND_INS = "\ufdd0\ufdd1", "\ufdd2\ufdd3"
 _SPAN_HIT = "STRUCT<rule_id: INT, category: STRING, severity: INT, start: INT, end: INT, text: STRING>"
 
 
@@ -61,20 +63,26 @@ def matches_sql(text: str, candidates: str, catalog: Catalog, spans: bool, gate:
             lists.append(f"CASE WHEN array_contains({candidates}, {i}) THEN {found} END" if gated else found)
         return f"array({', '.join(lists)})"
 
-    found = per_rule(f"regexp_extract_all({text}, {{}}, 0)")
     category = f"element_at(array({', '.join(quote(c) for c, _, _ in catalog.rules)}), r + 1)"
     severity = f"element_at(array({', '.join(str(s) for _, s, _ in catalog.rules)}), r + 1)"
     head = f"'rule_id', r, 'category', {category}, 'severity', {severity}"
+    empty = f"CAST(array() AS ARRAY<{hit}>)"
     if spans:
-        # A hit starts after the gaps before it and the hits before it.
-        gaps = f"element_at({per_rule(f'split({text}, {{}}, -1)')}, r + 1)"
-        length = "aggregate({}, 0, (n, s) -> n + char_length(s))"
-        start = length.format(f"slice({gaps}, 1, i + 1)") + " + " + length.format("slice(hs, 1, i)")
-        body = f"named_struct({head}, 'start', {start}, 'end', {start} + char_length(h), 'text', h)"
+        # One pass of a pattern puts marks around its hits. What stands between marks is gap, hit, gap and so on, and
+        # the running sum of the lengths gives every place; an array of one element binds a value for what follows.
+        opening, closing = MARKS
+        plain = f"translate({text}, {quote(MARKS)}, {quote(STAND_INS)})"
+        found = per_rule(f"regexp_replace({plain}, {{}}, {quote(f'{opening}$0{closing}')})")
+        ends = "aggregate(parts, array(0), (ends, s) -> array_append(ends, element_at(ends, -1) + char_length(s)))"
+        start, end = "element_at(ends, 2 * i)", "element_at(ends, 2 * i + 1)"
+        body = f"named_struct({head}, 'start', {start}, 'end', {end}, 'text', substring({text}, {start} + 1, {end} - {start}))"
+        hits = f"transform(array({ends}), ends -> transform(sequence(1, CAST(size(parts) div 2 AS INT)), i -> {body}))[0]"
+        parted = f"transform(array(split(m, {quote(f'[{MARKS}]')}, -1)), parts -> {hits})[0]"
+        labelled = f"transform({found}, (m, r) -> IF(contains(m, {quote(opening)}), {parted}, {empty}))"
     else:
+        found = per_rule(f"regexp_extract_all({text}, {{}}, 0)")
         body = f"named_struct({head}, 'text', h)"
-    empty = f"CAST(array() AS ARRAY<{hit}>)"
-    labelled = f"transform({found}, (hs, r) -> coalesce(transform(hs, (h, i) -> {body}), {empty}))"
+        labelled = f"transform({found}, (hs, r) -> coalesce(transform(hs, (h, i) -> {body}), {empty}))"
     every = f"flatten({labelled})"
     if not gate or not all(catalog.anchors):
         return every

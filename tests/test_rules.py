@@ -88,3 +88,13 @@ def test_masks_of_several_words(spark):
     assert [tuple(r) for r in found.collect()] == [
         (["c0", "c62"], True, False, False, False), (["c125", "c126", "c63"], False, False, False, False),
         (["c1", "c149", "c64"], True, True, False, False), ([], False, False, True, False)]
+
+
+def test_spans_of_texts_that_hold_the_marks(spark):
+    """Places are counted in characters, whatever stands between the hits, the marks used for counting included."""
+    catalog = Catalog((("a", 1, r"\bsex\b"), ("b", 2, r"x+y?")))
+    texts = ["sexy sex sex", "﷐x﷑xy﷒ sex﷓", "😀 xx é x", "", "none"]
+    df = rules.with_matches(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i INT, text STRING"), "text", catalog, spans=True, gate=False)
+    found = sorted((r.i, r.rule_id, r.start, r.end, r.text) for r in rules.explode_hits(df, "i").collect())
+    wanted = sorted((i, k, m.start(), m.end(), m[0]) for i, t in enumerate(texts) for k, (_, _, p) in enumerate(catalog.rules) for m in re.finditer(p, t))
+    assert found == wanted
