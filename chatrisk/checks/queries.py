@@ -12,7 +12,9 @@ from chatrisk import views
 from chatrisk.checks import oracle as o
 from chatrisk.functions import rules, text
 from chatrisk.functions.catalog import DEFAULT, Catalog
-from chatrisk.operators import classifier, contacts, conversations, datasets, evaluation, messages, records, reports
+from chatrisk.operators import (
+    classifier, contacts, conversations, datasets, evaluation, messages, records, reports, trainer,
+)
 from chatrisk.plans.checkpoints import scratch_path
 from chatrisk.plans.session import tune
 from chatrisk.plans.spread import spread_small
@@ -203,6 +205,21 @@ def document_rule_hits(spark, sf_dir):
     return hits.withColumn("first_at", F.expr("instr(t, text)") - 1).drop("t")
 
 
+# Every hit of a document by its place: the shortest beginning of the text that holds as many hits as come before it.
+@query("""WITH hits AS (SELECT doc_id, text AS t, unnest(string_split_regex(text, '[0-9]+')) AS gap,
+generate_subscripts(string_split_regex(text, '[0-9]+'), 1) AS k FROM documents),
+nums AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+')) AS hit, generate_subscripts(regexp_extract_all(text, '[0-9]+'), 1) AS k FROM documents),
+sums AS (SELECT doc_id, h.k, hit, sum(length(gap)) OVER w + coalesce(sum(length(hit)) OVER (PARTITION BY doc_id ORDER BY h.k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place
+FROM hits h JOIN nums USING (doc_id, k) WINDOW w AS (PARTITION BY doc_id ORDER BY h.k))
+SELECT doc_id, hit AS text, CAST(place AS INTEGER) AS "start", CAST(place + length(hit) AS INTEGER) AS "end" FROM sums""")
+def document_rule_spans(spark, sf_dir):
+    """Places of many hits of one rule in long texts."""
+    numbers = Catalog((("number", 1, "[0-9]+"),))
+    docs = spread_small(views.read_table(spark, sf_dir, "documents")).select("doc_id", F.col("text").alias("t"))
+    spans = rules.explode_hits(rules.with_matches(docs, "t", numbers, spans=True, gate=False), "doc_id")
+    return spans.select("doc_id", "text", "start", "end")
+
+
 @query(o.sql(o.CHAT_HITS, """SELECT conv_id, conv_idx, rule_id, text, CAST(strpos(norm, text) - 1 AS INTEGER) AS "start",
 CAST(strpos(norm, text) - 1 + length(text) AS INTEGER) AS "end" FROM live JOIN text_hits USING (norm)"""))
 def rule_spans(spark, sf_dir):
@@ -522,6 +539,16 @@ def ranked_report(spark, sf_dir):
     return reports.ranked_report(slim(spark, sf_dir)).select("idx", "conversation_id", "risk_level", "sev3_hits", "total_rule_hits")
 
 
+@query("""SELECT row_number() OVER (ORDER BY quality DESC, toxic DESC, doc_id % 7 DESC, doc_id) AS idx, doc_id AS conversation_id, quality, toxic
+FROM (SELECT * FROM (SELECT *, row_number() OVER () AS place FROM labels) WHERE place <= 120)""")
+def first_of_file_report(spark, sf_dir):
+    """The first rows of the file, ranked."""
+    rows = reports.with_file_order(views.read_table(spark, sf_dir, "labels")).select(
+        F.col("doc_id").alias("conversation_id"), "quality", "toxic", F.col("quality").alias("risk_order"),
+        F.col("toxic").alias("sev3_hits"), (F.col("doc_id") % 7).alias("total_rule_hits"), *reports.FILE_ORDER)
+    return reports.ranked_report(rows, limit=120, first_by=reports.FILE_ORDER).select("idx", "conversation_id", "quality", "toxic")
+
+
 @query(o.sql(REC, f"SELECT {RANK}, conversation_id, label_str, risk_level, sev3_hits FROM rec WHERE label = 1"))
 def positives_report(spark, sf_dir):
     return reports.ranked_report(slim(spark, sf_dir), only_positive=True).select("idx", "conversation_id", "label_str", "risk_level", "sev3_hits")
@@ -696,22 +723,55 @@ def classifier_metrics(spark, sf_dir):
     return classifier.evaluate_classifier(model, test, threshold)
 
 
+PARTS = """WITH held AS (SELECT doc_id, quality, CAST('0x' || md5(doc_id || '|7')[1:8] AS BIGINT) / 4294967296.0 < 0.2 AS is_test,
+CAST('0x' || md5(doc_id || '|8')[1:8] AS BIGINT) / 4294967296.0 < 0.2 AS is_val FROM documents JOIN labels USING (doc_id))"""
+
+
+@query(PARTS + """SELECT count(*) FILTER (NOT is_test AND NOT is_val) AS n_train, count(*) FILTER (NOT is_test AND is_val) AS n_val,
+count(*) FILTER (is_test) AS n_test, count(*) FILTER (is_test AND quality = 1) AS n_positive, true AS loss_fell, true AS stopped_as_logged,
+true AS counts_add_up FROM held""")
+def trained_epochs(spark, sf_dir):
+    """A fit in epochs with early stop: documents labelled for quality. What the SQL knows of it are its counts, and that
+    the loss falls, the run ends where the log says, and the counts at the threshold add up to the test's positives."""
+    rows = views.read_table(spark, sf_dir, "documents").join(views.read_table(spark, sf_dir, "labels"), "doc_id").select(
+        "doc_id", "text", F.col("quality").alias("label"))
+    held = datasets.split_by_hash(rows, "doc_id", 0.2, 7)
+    test = held.filter("split = 'val'").drop("split")
+    fit = datasets.split_by_hash(held.filter("split = 'train'").drop("split"), "doc_id", 0.2, 8)
+    train, val = (fit.filter(F.col("split") == s).drop("split") for s in ("train", "val"))
+    model, log = trainer.train_epochs(train, val, epochs=6, patience=2)
+    ran = evaluation.epoch_choice(log, ["run"], 2)
+    loss_fell = F.min_by("loss", -F.col("epoch")) < F.min_by("loss", "epoch")
+    logged = ran.agg(loss_fell.alias("loss_fell"), (F.every("ran") & ((F.max("no_improve") >= 2) | (F.count(F.lit(1)) == 6))).alias("stopped_as_logged"))
+    scored = model.score(test).select("prob", "label")
+    counts, run = evaluation.metrics(scored, model.threshold).first(), logged.first()
+    sizes = test.agg(F.count(F.lit(1)).alias("n_test"), F.count_if(F.col("label") == 1).alias("n_positive"))
+    return sizes.withColumns({
+        "n_train": F.lit(train.count()).cast("bigint"), "n_val": F.lit(val.count()).cast("bigint"),
+        "loss_fell": F.lit(run.loss_fell), "stopped_as_logged": F.lit(run.stopped_as_logged),
+        "counts_add_up": F.col("n_positive") == counts.tp + counts.fn})
+
+
 @query("SELECT doc_id, round(least(length(text) / 1000.0, 1.0), 6) AS prob FROM documents")
 def user_model_scores(spark, sf_dir):
     def load():
         return lambda texts: (texts.str.len() / 1000.0).clip(upper=1.0)
 
     docs = views.read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return classifier.score_with(load, docs).select("doc_id", F.round("prob", 6).alias("prob"))
+    return classifier.score_with(load, docs, model_key="length").select("doc_id", F.round("prob", 6).alias("prob"))
 
 
-@query("""SELECT doc_id, CAST(least(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')), 256) AS INTEGER) AS n_tokens, 256 AS n_ids,
-CAST(least(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')), 256) AS INTEGER) AS mask_sum FROM documents""")
+@query("""WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')[1:256] AS words FROM documents)
+SELECT doc_id, CAST(len(words) AS INTEGER) AS n_tokens,
+array_to_string(list_concat(list_transform(words, lambda w: CAST('0x' || md5(w)[1:8] AS BIGINT) % 1048575 + 1), list_transform(range(256 - len(words)), lambda i: 0::BIGINT)), ',') AS ids,
+array_to_string(list_concat(list_transform(words, lambda w: 1), list_transform(range(256 - len(words)), lambda i: 0)), '') AS mask,
+repeat('0', 256) AS types FROM w""")
 def token_sequences(spark, sf_dir):
     docs = views.read_table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = classifier.token_sequences(docs, length=256)
-    return rows.select("doc_id", "n_tokens", F.size("input_ids").alias("n_ids"),
-                       F.aggregate("attention_mask", F.lit(0), lambda a, m: a + m).alias("mask_sum"))
+    return rows.select(
+        "doc_id", "n_tokens", F.array_join("input_ids", ",").alias("ids"), F.array_join("attention_mask", "").alias("mask"),
+        F.array_join("token_type_ids", "").alias("types"))
 
 
 # --- files: written by Spark from the tables, read back by the sources ----------
@@ -804,23 +864,32 @@ def dataset_sink(spark, sf_dir):
     return datasets.whole_texts(spark.read.parquet(path)).select("conversation_id", "text", "label", "split")
 
 
-@query(o.sql(REC, f"SELECT {RANK}, {REC_COLUMNS} FROM rec"))
+@query(o.sql([*REC, "cc AS (SELECT conv_id, string_agg(category || ':' || n, ',' ORDER BY category) AS cat_counts FROM tagn GROUP BY 1)"],
+             f"SELECT {RANK}, {REC_COLUMNS}, coalesce(cat_counts, '') AS cat_counts FROM rec LEFT JOIN cc ON conv_id = conversation_id"))
 def analysis_sink(spark, sf_dir):
     path = scratch_path(spark, "analysis")
-    sinks.write_analysis(reports.ranked_report(slim(spark, sf_dir)).drop("cat_counts").withColumn("categories", joined("categories")), path)
+    sinks.write_analysis(reports.ranked_report(slim(spark, sf_dir)), path)
     schema = """idx BIGINT, conversation_id BIGINT, label INT, label_str STRING, risk_level STRING, risk_order INT, escalation BOOLEAN, arc BOOLEAN,
-    dominance BOOLEAN, categories STRING, n_categories INT, total_rule_hits INT, sev3_hits INT, n_messages INT"""
-    return spark.read.schema(schema).json(path)
+    dominance BOOLEAN, categories ARRAY<STRING>, n_categories INT, total_rule_hits INT, sev3_hits INT, n_messages INT, cat_counts MAP<STRING, INT>"""
+    counts = F.transform(F.map_entries("cat_counts"), lambda e: F.concat(e["key"], F.lit(":"), e["value"]))
+    return spark.read.schema(schema).json(path).withColumns({
+        "categories": joined("categories"), "cat_counts": F.array_join(F.array_sort(counts), ",")})
 
 
 @query(o.sql([*REC, """line AS (SELECT conv_id, CASE WHEN is_flagged THEN '[PRED]' ELSE '[USER]' END || coalesce('  ' || tl, '') || '  ' || norm AS value
-FROM live LEFT JOIN (SELECT conv_id, conv_idx, string_agg('[' || category || ':' || severity || ']', ' ' ORDER BY r) AS tl FROM tag1 GROUP BY 1, 2) USING (conv_id, conv_idx))"""],
-             "SELECT value, count(*) AS n FROM line GROUP BY 1"))
+FROM live LEFT JOIN (SELECT conv_id, conv_idx, string_agg('[' || category || ':' || severity || ']', ' ' ORDER BY r) AS tl FROM tag1 GROUP BY 1, 2) USING (conv_id, conv_idx))""",
+              f"rk AS (SELECT {RANK}, * FROM rec)",
+              "ru AS (SELECT conv_id, string_agg(category || ':' || n, '  ' ORDER BY n DESC, firstpos) AS by_count FROM tagn GROUP BY 1)"],
+             """SELECT value, count(*) AS n FROM (SELECT value FROM line UNION ALL SELECT repeat('=', 70) FROM rk UNION ALL SELECT repeat('-', 70) FROM rk
+             UNION ALL SELECT '' FROM rk UNION ALL SELECT 'id=' || conversation_id FROM rk
+             UNION ALL SELECT 'cats=' || replace(categories, ',', ', ') FROM rk WHERE categories <> ''
+             UNION ALL SELECT 'rules=' || by_count FROM ru
+             UNION ALL SELECT '#' || idx || '  [' || label_str || ']  RISK:' || risk_level || CASE WHEN escalation THEN '  ESC' ELSE '' END
+             || CASE WHEN arc THEN '  ARC' ELSE '' END || CASE WHEN dominance THEN '  DOM' ELSE '' END FROM rk) GROUP BY 1"""))
 def readable_sink(spark, sf_dir):
     path = scratch_path(spark, "readable")
     sinks.write_readable(reports.ranked_report(records.parse_records(dataset(spark, sf_dir))), path)
-    lines = spark.read.text(path).filter(F.col("value").rlike(r"^\[(PRED|USER)\]"))
-    return lines.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    return spark.read.text(path).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(ORACLE["metrics_at_threshold"])

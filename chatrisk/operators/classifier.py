@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from chatrisk import config
 from chatrisk.operators.evaluation import calibrate, metrics, with_class_weight
+from chatrisk.plans.workers import once_per_worker
 
 HASH_SPACE = 1 << 20
 
@@ -47,13 +48,21 @@ def score(model: PipelineModel, df: DataFrame) -> DataFrame:
     return scored.drop("_words", "_tf", "_features", "rawPrediction", "probability", "prediction")
 
 
-def score_with(load: Callable[[], Callable[[pd.Series], pd.Series]], df: DataFrame, text: str = "text") -> DataFrame:
-    """Add prob from any model. `load` runs once per task and returns texts -> probabilities."""
+def score_with(
+    load: Callable[[], Callable[[pd.Series], pd.Series]], df: DataFrame, text: str = "text", *,
+    model_key: str | None = None, size: int = 256,
+) -> DataFrame:
+    """Add prob from any model. `load` returns texts -> probabilities, which gets `size` texts at most.
+
+    It runs once per Python worker for a `model_key`, whatever the number of tasks; name the model and its version
+    there. Without a key it runs once per task.
+    """
     @F.pandas_udf("double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = load()
+        model = once_per_worker(("model", model_key), load) if model_key else load()
         for batch in batches:
-            yield model(batch).astype("float64")
+            parts = [model(batch.iloc[at:at + size]).astype("float64") for at in range(0, len(batch), size)]
+            yield pd.concat(parts) if parts else batch.astype("float64")
 
     return df.withColumn("prob", predict(F.col(text)))
 
@@ -63,11 +72,14 @@ def evaluate_classifier(model: PipelineModel, test: DataFrame, threshold: float)
 
 
 def token_sequences(df: DataFrame, text: str = "text", length: int = 512, space: int = HASH_SPACE) -> DataFrame:
-    """Add input_ids and attention_mask of a fixed length: hashed words, cut or padded with 0."""
+    """Add input_ids, attention_mask and token_type_ids of a fixed length: hashed words, cut or padded with 0.
+
+    A text is one segment, so every token type is 0.
+    """
     words = F.slice(F.filter(F.split(F.col(text), r"\s+"), lambda w: w != ""), 1, length)
     staged = df.withColumn("_words", words).withColumn("n_tokens", F.size("_words"))
     pad = F.array_repeat(F.lit(0).cast("bigint"), F.lit(length) - F.col("n_tokens"))
-    ids = F.transform("_words", lambda w: F.pmod(F.xxhash64(w), F.lit(space - 1)) + 1)
+    ids = F.transform("_words", lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint") % F.lit(space - 1) + 1)
     mask = F.concat(
         F.array_repeat(F.lit(1), F.col("n_tokens")), F.array_repeat(F.lit(0), F.lit(length) - F.col("n_tokens")))
-    return staged.withColumns({"input_ids": F.concat(ids, pad), "attention_mask": mask}).drop("_words")
+    return staged.withColumns({"input_ids": F.concat(ids, pad), "attention_mask": mask, "token_type_ids": F.array_repeat(F.lit(0), F.lit(length))}).drop("_words")

@@ -2,27 +2,41 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatrisk.plans.skew import PIECE_ROWS, with_position
 
 LEVELS = ["HIGH", "MEDIUM", "LOW", "UNKNOWN"]
+FILE_ORDER = ("_file", "_row")
 LINE = 70  # width of the rules between conversations
 
 
+def with_file_order(files: DataFrame) -> DataFrame:
+    """Add the file of every row, and its place in it, to a table as read from Parquet files."""
+    return files.withColumns({"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")})
+
+
 def report_order() -> list[Column]:
     return [F.desc("risk_order"), F.desc("sev3_hits"), F.desc("total_rule_hits"), F.asc("conversation_id")]
 
 
 def ranked_report(
     records: DataFrame, *, only_positive: bool = False, limit: int | None = None, piece_rows: int = PIECE_ROWS,
+    first_by: Sequence[str] = ("conversation_id",),
 ) -> DataFrame:
-    """Records with their 1-based place; the limit takes the first records by id, before ranking."""
+    """Records with their 1-based place; the limit takes the first records by `first_by`, before ranking.
+
+    For the first records of the files they were read from, add the place with `with_file_order` when reading and
+    give FILE_ORDER here.
+    """
     if only_positive:
         records = records.filter("label = 1")
     if limit is not None:
-        records = records.orderBy("conversation_id").limit(limit)
+        records = records.orderBy(*first_by).limit(limit)
+    records = records.drop(*FILE_ORDER)
     negated = records.withColumns({"_r": -F.col("risk_order"), "_s": -F.col("sev3_hits"), "_t": -F.col("total_rule_hits")})
     placed = with_position(negated, [], ["_r", "_s", "_t", "conversation_id"], "_pos", piece_rows)
     return placed.withColumn("idx", F.col("_pos") + 1).drop("_r", "_s", "_t", "_pos")
