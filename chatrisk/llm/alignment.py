@@ -61,6 +61,27 @@ def _piece_bytes(piece: str) -> bytes:
     return piece.replace("▁", " ").encode()
 
 
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids in order, and their number in each list."""
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int64, int(sizes.sum())), sizes
+
+
+def _joined(side: tuple[np.ndarray, np.ndarray], spelt: list[bytes], wholes: list[bytes]) -> np.ndarray:
+    """Whether the bytes of the ids of each segment are its whole."""
+    ids, ends = side[0].tolist(), np.cumsum(side[1]).tolist()
+    return np.array([b"".join(map(spelt.__getitem__, ids[at:end])) == whole for at, end, whole in zip([0, *ends], ends, wholes)], bool)
+
+
+def _encodable(texts: list[str]) -> bool:
+    """Whether all are Unicode without lone surrogates."""
+    try:
+        "".join(texts).encode()
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Tokenizers:
     """Both encoders, the bytes of their ids, and whether texts may be cut into segments."""
 
@@ -96,10 +117,30 @@ class Tokenizers:
         """The parts of a text without the space that each begins with."""
         return _CUT.split(text) if self.cuts else [text]
 
-    def encoded(self, segments: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of space + segment under A, and of the segment under B, which adds the space."""
+    def encoded(self, segments: list[str]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """(all ids, number of ids per segment) of space + segment under A, and of the segment under B, which adds the
+        space."""
         a = self.a.encode_batch([f" {s}" for s in segments], add_special_tokens=False)
-        return [e.ids for e in a], self.b.encode(segments, num_threads=1)
+        return _flat([e.ids for e in a]), _flat(self.b.encode(segments, num_threads=1))
+
+    def encoded_in_line(self, segments: list[str], wholes: list[bytes]):
+        """The same for segments that neither begin nor end with white space, in one call for each side: cut again at
+        the segments, the ids of a line of them are those of each. None if bytes are not given back as they are."""
+        line, ends = " ".join(segments), np.cumsum(np.fromiter(map(len, wholes), np.int64, len(wholes)))
+        whole, sides = b"".join(wholes), []
+        for ids, spelt, sizes in (
+            (self.a.encode(f" {line}", add_special_tokens=False).ids, self.a_bytes, self.a_sizes),
+            (self.b.encode(line), self.b_bytes, self.b_sizes),
+        ):
+            if b"".join(map(spelt.__getitem__, ids)) != whole:
+                return None
+            ids = np.array(ids, np.int64)
+            reach = np.cumsum(sizes[ids])
+            last = np.searchsorted(reach, ends)
+            if not np.array_equal(reach[last], ends):
+                return None
+            sides.append((ids, np.diff(last + 1, prepend=0)))
+        return sides
 
 
 def tokenizers(a_path: str, b_path: str) -> Tokenizers:
@@ -161,17 +202,6 @@ def written(a: np.ndarray, b: np.ndarray, a_group: np.ndarray, b_group: np.ndarr
     return names[sign, ids].tolist()
 
 
-def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """All ids in order, and their number in each list."""
-    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    return np.fromiter(chain.from_iterable(lists), np.int64, int(sizes.sum())), sizes
-
-
-def _joined(lists: list[list[int]], spelt: list[bytes], wholes: list[bytes]) -> list[bool]:
-    """Whether the bytes of each list of ids are its whole."""
-    return [b"".join(map(spelt.__getitem__, ids)) == whole for ids, whole in zip(lists, wholes)]
-
-
 class Segments:
     """What a worker knows of the segments it has met: counts, digest and id pairs with their numbers."""
 
@@ -201,13 +231,21 @@ class Segments:
 
     def _add(self, new: list[str]) -> None:
         c = self.coders
-        a_ids, b_ids = c.encoded(new)
-        wholes = [f" {s}".encode(errors="replace") for s in new]
-        good = np.array(_joined(a_ids, c.a_bytes, wholes)) & np.array(_joined(b_ids, c.b_bytes, wholes))
-        kept = np.flatnonzero(good).tolist()
-        if len(kept) < len(new):
-            a_ids, b_ids = ([ids if g else [] for ids, g in zip(side, good)] for side in (a_ids, b_ids))
-        (a, a_n), (b, b_n) = _flat(a_ids), _flat(b_ids)
+        plain = [s for s in new if s and not (s[0].isspace() or s[-1].isspace())] if c.cuts else []
+        sides = c.encoded_in_line(plain, [f" {s}".encode() for s in plain]) if plain and _encodable(plain) else None
+        if sides:
+            self._keep(plain, np.ones(len(plain), bool), *sides)
+            known = set(plain)
+            new = [s for s in new if s not in known]
+        if new:
+            wholes = [f" {s}".encode(errors="replace") for s in new]
+            a, b = c.encoded(new)
+            good = _joined(a, c.a_bytes, wholes) & _joined(b, c.b_bytes, wholes)
+            a, b = ((ids[np.repeat(good, n)], np.where(good, n, 0)) for ids, n in (a, b))
+            self._keep(new, good, a, b)
+
+    def _keep(self, new: list[str], good: np.ndarray, a_side: tuple[np.ndarray, np.ndarray], b_side: tuple[np.ndarray, np.ndarray]) -> None:
+        c, (a, a_n), (b, b_n) = self.coders, a_side, b_side
         a_group, b_group = coalesced(c.a_sizes[a], c.b_sizes[b])
         group, codes, times = expanded(a, b, a_group, b_group)
 
