@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from chatrisk import views
 from chatrisk.checks import oracle as o
-from chatrisk.functions import rules, text
+from chatrisk.functions import catalog_table, rules, text
 from chatrisk.functions.catalog import DEFAULT, Catalog
 from chatrisk.operators import (
     classifier, contacts, conversations, datasets, evaluation, messages, records, reports, trainer,
@@ -265,6 +265,33 @@ WIDE_CTES = [
 ]
 
 
+# A word and what follows it: 2,303 rules in 150 categories, kept as a table.
+TABLE_RULES = [
+    (k, f"c{k % 150}", 1 + k % 3, pattern) for k, pattern in enumerate(
+        [rf"\b{w}\s+\w{{{n}}}\b" for w in WIDE_WORDS for n in range(1, 10)] + [rf"\b{w}\b.{{{n}}}" for w in WIDE_WORDS for n in range(1, 41)])
+]
+
+
+@query(o.sql([*o.CHAT, f"tr(rule_id, category, severity, pattern) AS ({o.values(TABLE_RULES)})",
+              "texts AS (SELECT DISTINCT text_raw AS t FROM msg)",
+              "th AS (SELECT t, rule_id, category, severity, unnest(regexp_extract_all(t, pattern, 0, 'i')) AS hit FROM texts, tr)",
+              """ts AS (SELECT t, count(*) AS n_hits, sum(rule_id) AS rule_sum, sum(length(hit)) AS n_chars, max(severity) AS max_severity,
+              count(DISTINCT category) AS n_categories FROM th GROUP BY 1)"""],
+             """SELECT conv_id, conv_idx, CAST(coalesce(n_hits, 0) AS INTEGER) AS n_hits, CAST(coalesce(rule_sum, 0) AS BIGINT) AS rule_sum,
+             CAST(coalesce(n_chars, 0) AS BIGINT) AS n_chars, CAST(coalesce(max_severity, 0) AS INTEGER) AS max_severity,
+             CAST(coalesce(n_categories, 0) AS INTEGER) AS n_categories FROM msg LEFT JOIN ts ON t = text_raw"""))
+def table_catalog_hits(spark, sf_dir):
+    path = scratch_path(spark, "catalog")
+    spark.createDataFrame(TABLE_RULES, catalog_table.CATALOG_SCHEMA).write.parquet(path)
+    table = catalog_table.read_catalog(spark.read.parquet(path))
+    rows = catalog_table.with_table_matches(views.conversation_messages(spark, sf_dir), table, "text_raw")
+    total = lambda value: F.aggregate(F.transform("matches", value), F.lit(0).cast("bigint"), lambda a, v: a + v)
+    return rows.select(
+        "conv_id", "conv_idx", F.size("matches").alias("n_hits"), total(lambda m: m["rule_id"].cast("bigint")).alias("rule_sum"),
+        total(lambda m: F.length(m["text"]).cast("bigint")).alias("n_chars"), rules.max_severity().alias("max_severity"),
+        F.size(rules.categories()).alias("n_categories"))
+
+
 @query(o.sql([*WIDE_CTES, *o.CHAT_HITS, *o.scored_ctes("all")],
              """SELECT conv_id, conv_idx, CAST(count(h.rule_id) AS INTEGER) AS n_hits, CAST(coalesce(max(severity), 0) AS INTEGER) AS max_severity,
              coalesce(string_agg(DISTINCT category, ',' ORDER BY category), '') AS categories

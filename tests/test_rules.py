@@ -98,3 +98,27 @@ def test_spans_of_texts_that_hold_the_marks(spark):
     found = sorted((r.i, r.rule_id, r.start, r.end, r.text) for r in rules.explode_hits(df, "i").collect())
     wanted = sorted((i, k, m.start(), m.end(), m[0]) for i, t in enumerate(texts) for k, (_, _, p) in enumerate(catalog.rules) for m in re.finditer(p, t))
     assert found == wanted
+
+
+def test_a_catalog_as_a_table_equals_the_unrolled_form(spark):
+    """The fixed rules, rules without required words and rules in other orders, on phrases and odd texts."""
+    from chatrisk.functions import catalog_table
+
+    more = (("any", 1, r"\d{2,}"), ("any", 2, r"[aeiou]{3,}|zz"), ("tail", 3, r"(alone|home)\W*$"))
+    catalog = Catalog((*DEFAULT.rules, *more))
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*PHRASES, None, "queue 12 345 jazz", "K İ ı ſ"])], "i INT, text STRING")
+    unrolled = rules.with_matches(rows, "text", catalog).select("i", "matches")
+    table = catalog_table.read_catalog(catalog.to_df(spark).orderBy(F.desc("rule_id")))
+    found = catalog_table.with_table_matches(rows, table).select("i", "matches")
+    assert sorted(map(str, found.collect())) == sorted(map(str, unrolled.collect()))
+    none = catalog_table.with_table_matches(rows, table, when=F.col("i") < 0)
+    assert none.filter(F.size("matches") > 0).count() == 0
+    assert catalog_table.with_table_matches(rows, catalog_table.RuleTable.of([])).filter(F.size("matches") > 0).count() == 0
+
+
+@pytest.mark.parametrize("rows", [[(1, "a", 4, "x")], [(1, "a", 1, "x*")], [(1, "a", 1, "x"), (1, "b", 1, "y")], [(1, "", 1, "x")], [(1, "a", 1, "(")]])
+def test_bad_rule_tables(rows):
+    from chatrisk.functions import catalog_table
+
+    with pytest.raises((ValueError, re.error)):
+        catalog_table.RuleTable.of(rows)
