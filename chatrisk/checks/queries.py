@@ -998,6 +998,20 @@ def annotated_stream(spark, sf_dir):
     return drained(spark, stream, "annotated-stream")
 
 
+@query(o.sql([*o.CONTACT, *o.normalised("(SELECT DISTINCT upper(text) AS up FROM base_msg)", "up", "up", "un"),
+              "uh AS (SELECT up, rule_id, category, severity, regexp_extract_all(norm, pattern, 0, 'i') AS hs FROM un, rules)",
+              "us AS (SELECT up, max(severity) AS sev, string_agg(DISTINCT category, ', ' ORDER BY category) AS cats, sum(len(hs)) AS n FROM uh WHERE len(hs) > 0 GROUP BY 1)"],
+             """SELECT msg_id, CAST(CASE WHEN ext THEN coalesce(sev, 0) ELSE 0 END AS INTEGER) AS max_severity,
+             CASE WHEN ext THEN coalesce(us.cats, '') ELSE '' END AS cats, CAST(CASE WHEN ext THEN coalesce(n, 0) ELSE 0 END AS INTEGER) AS n_hits
+             FROM base_msg LEFT JOIN us ON up = upper(text)"""))
+def normalised_stream(spark, sf_dir):
+    """Shouted messages: the stream brings texts to their normal form before it matches."""
+    shouted = feed(spark, sf_dir).withColumn("text", F.upper("text"))
+    stream = streams.annotate_stream(shouted, normalised=True).select(
+        "msg_id", "max_severity", F.array_join(rules.categories(), ", ").alias("cats"), "n_hits")
+    return drained(spark, stream, "normalised-stream")
+
+
 # A reset row clears the window first: the messages since the last reset form a window of their own.
 RESET = o.contact_ctes("contact_id, epoch", ", sum(CASE WHEN event_id % 17 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS epoch")
 

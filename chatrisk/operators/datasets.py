@@ -12,6 +12,7 @@ from chatrisk.functions import rules
 from chatrisk.functions.catalog import DEFAULT, Catalog
 from chatrisk.operators import conversations as conv
 from chatrisk.operators.messages import annotate_messages, role_tag
+from chatrisk.plans.checkpoints import checkpointed
 from chatrisk.plans.joins import lookup_join
 from chatrisk.plans.skew import PIECE_ROWS
 
@@ -123,7 +124,9 @@ def split_exact(
     """
     keyed = df.withColumn("_key", F.struct(split_key(id_column, seed).alias("h"), F.col(id_column).cast("string").alias("id")))
     ids = keyed.filter("part = 0") if "part" in df.columns else keyed
-    ids = ids.select(F.col(label).alias("_label"), "_key", F.substring(F.col("_key.h"), 1, BUCKET_DIGITS).alias("_bucket"))
+    # Read three times, so the keys and labels are written; texts are not.
+    ids = checkpointed(
+        ids.select(F.col(label).alias("_label"), "_key", F.substring(F.col("_key.h"), 1, BUCKET_DIGITS).alias("_bucket")), "split-keys")
     sizes = ids.groupBy("_label", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     upto = Window.partitionBy("_label").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy("_label")

@@ -108,9 +108,12 @@ def slim_records(dataset: DataFrame) -> DataFrame:
     single = parsed.filter(~is_part).drop("messages", "part", "n_parts")
     several = parsed.filter(is_part)
     first = lambda c: F.max_by(c, F.struct(-F.col("part"))).alias(c)
-    counts = several.select("conversation_id", F.explode("cat_counts").alias("category", "n")).groupBy(
-        "conversation_id", "category").agg(F.sum("n").cast("int").alias("n")).groupBy("conversation_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("category", "n"))).alias("cat_counts"))  # one entry per category
+    # One entry per category, in the order in which categories first appear over the parts.
+    counts = several.select("conversation_id", "part", F.posexplode("cat_counts").alias("_at", "category", "n")).groupBy(
+        "conversation_id", "category").agg(
+        F.min(F.struct("part", "_at")).alias("_first"), F.sum("n").cast("int").alias("n")).groupBy("conversation_id").agg(
+        F.array_sort(F.collect_list(F.struct("_first", "category", "n"))).alias("_entries")).select(
+        "conversation_id", F.map_from_arrays("_entries.category", "_entries.n").alias("cat_counts"))
     head = [c for c in single.columns if c not in (
         "conversation_id", "cat_counts", "total_rule_hits", "sev3_hits", "n_messages")]
     merged = several.groupBy("conversation_id").agg(

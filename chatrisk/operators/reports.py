@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chatrisk.plans.checkpoints import checkpointed
+from chatrisk.plans.joins import lookup_join
 from chatrisk.plans.skew import PIECE_ROWS, with_position
 
 LEVELS = ["HIGH", "MEDIUM", "LOW", "UNKNOWN"]
@@ -37,9 +39,13 @@ def ranked_report(
     if limit is not None:
         records = records.orderBy(*first_by).limit(limit)
     records = records.drop(*FILE_ORDER)
+    bodies = checkpointed(records, "records") if "messages" in records.columns else None
+    if bodies is not None:  # the order is found from numbers alone; messages are joined to their places
+        records = bodies.select("conversation_id", "risk_order", "sev3_hits", "total_rule_hits")
     negated = records.withColumns({"_r": -F.col("risk_order"), "_s": -F.col("sev3_hits"), "_t": -F.col("total_rule_hits")})
     placed = with_position(negated, [], ["_r", "_s", "_t", "conversation_id"], "_pos", piece_rows)
-    return placed.withColumn("idx", F.col("_pos") + 1).drop("_r", "_s", "_t", "_pos")
+    ranked = placed.withColumn("idx", F.col("_pos") + 1).drop("_r", "_s", "_t", "_pos")
+    return ranked if bodies is None else lookup_join(bodies, ranked.select("conversation_id", "idx"), ["conversation_id"], "inner")
 
 
 def top_report(records: DataFrame, k: int) -> DataFrame:
@@ -128,7 +134,8 @@ def severity_histogram(records: DataFrame, max_edges: int = 20) -> DataFrame:
     last possible edge are counted as one, which leaves at most `max_edges` + 1 rows per label.
     """
     values = records.groupBy("label", F.least("sev3_hits", F.lit(max_edges)).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    edge = F.least(F.greatest(F.max("v").over(Window.partitionBy()), F.lit(1)) + 1, F.lit(max_edges - 1))
+    highest = records.select(F.max(F.least("sev3_hits", F.lit(max_edges)))).scalar()
+    edge = F.least(F.greatest(highest, F.lit(1)) + 1, F.lit(max_edges - 1))
     binned = values.withColumn("_edge", edge).withColumn("_out", F.col("v") > F.col("_edge"))
     binned = binned.groupBy("label", F.least(F.col("v"), F.col("_edge") - 1).alias("bin"), "_edge").agg(
         F.sum(F.when(F.col("_out"), 0).otherwise(F.col("n"))).alias("n"), F.lit(1.0).alias("width"))
@@ -138,8 +145,7 @@ def severity_histogram(records: DataFrame, max_edges: int = 20) -> DataFrame:
 def hits_histogram(records: DataFrame, max_edges: int = 40) -> DataFrame:
     """Conversations per label and equal-width bin of the total hits over [0, highest + 1]."""
     values = records.groupBy("label", F.col("total_rule_hits").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    # One row per label and distinct total here.
-    highest = F.greatest(F.max("v").over(Window.partitionBy()), F.lit(1))
+    highest = F.greatest(records.select(F.max("total_rule_hits")).scalar(), F.lit(1))
     shaped = values.withColumn("_end", highest + 1).withColumn("_bins", F.least(F.col("_end") + 1, F.lit(max_edges)) - 1)
     bucket = F.least(F.floor(F.col("v") * F.col("_bins") / F.col("_end")), F.col("_bins") - 1).cast("int")
     binned = shaped.groupBy("label", bucket.alias("bin"), "_bins", (F.col("_end") / F.col("_bins")).alias("width")).agg(F.sum("n").alias("n"))

@@ -35,17 +35,16 @@ def split_hot(
 ) -> tuple[DataFrame | None, DataFrame | None]:
     """(rows of ordinary keys, rows of hot keys); a side that cannot have rows is None.
 
-    With hot keys the rows are read twice; `materialise` writes them first, so that what was
-    computed for them, such as rule hits, is computed once.
+    Every row is worked on in one of the two. `materialise` writes the hot rows alone, since their order and their
+    pieces are found in several passes.
     """
     hot = hot_keys(df, keys, limit)
     if hot is None:
         return df, None
     if not keys:
         return None, df
-    if materialise:
-        df = checkpointed(df, "skewed")
-    return semi_join(df, hot, keys, keep=False), semi_join(df, hot, keys, keep=True)
+    many = semi_join(df, hot, keys, keep=True)
+    return semi_join(df, hot, keys, keep=False), checkpointed(many, "skewed") if materialise else many
 
 
 def with_position(
@@ -76,7 +75,7 @@ def spread_position(df: DataFrame, keys: list[str], order: list[str], out: str)
     earlier = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(*keys, "_piece", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_start"))
     # One row per key and partition it touches: hot keys plus partitions bound its size.
-    joined = lookup_join(placed, starts, [*keys, "_piece"], how="inner")
+    joined = lookup_join(placed, starts, [*keys, "_piece"], how="inner", null_safe=True)
     rank = F.row_number().over(Window.partitionBy(*keys, "_piece").orderBy(*order))
     return joined.withColumn(out, F.col("_start") + rank - 1).drop("_piece", "_start")
 

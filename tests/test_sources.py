@@ -66,16 +66,32 @@ def test_truth_labels_the_conversation_of_the_pair_only(spark):
     assert {r.conv_id: r.label for r in messages.conversation_labels(flagged).collect()} == {"c1": 1, "c2": 0}
 
 
-def test_salted_lookup_equals_broadcast(spark):
+@pytest.mark.parametrize("hot", [1 << 17, 60, 1])
+def test_lookup_beyond_the_limit_equals_broadcast(spark, hot):
     from chatrisk.plans.joins import lookup_join, semi_join
 
-    big = spark.range(500).select((F.col("id") % 7).alias("k"), "id")
-    small = spark.createDataFrame([(1, "a"), (3, "b"), (9, "c")], "k BIGINT, v STRING")
-    for how in ("left", "inner"):
-        assert lookup_join(big, small, ["k"], how).exceptAll(lookup_join(big, small, ["k"], how, limit=1, salts=4)).count() == 0
-    for keep in (True, False):
-        keys = small.select("k")
-        assert semi_join(big, keys, ["k"], keep).exceptAll(semi_join(big, keys, ["k"], keep, limit=1)).count() == 0
+    key = F.when(F.col("id") % 11 == 0, F.lit(None)).otherwise(F.least(F.col("id") % 7, F.lit(4)))
+    big = spark.range(500).select(key.alias("k"), "id")
+    small = spark.createDataFrame([(1, "a"), (3, "b"), (4, "d"), (9, "c"), (None, "n")], "k BIGINT, v STRING")
+    for how in ("left", "inner", "left_semi", "left_anti"):
+        for null_safe in (False, True):
+            one = lookup_join(big, small, ["k"], how, null_safe=null_safe)
+            other = lookup_join(big, small, ["k"], how, limit=1, hot_rows=hot, null_safe=null_safe)
+            assert one.columns == other.columns and one.count() == other.count() and one.exceptAll(other).count() == 0
+    keys = small.select("k")
+    kept, left = (semi_join(big, keys, ["k"], keep, limit=1) for keep in (True, False))
+    assert kept.count() + left.count() == 500 and kept.filter("k IS NULL").count() == 46 and left.filter("k IS NULL").count() == 0
+
+
+def test_hot_null_keys_are_placed(spark):
+    from chatrisk.plans.skew import split_hot, with_position
+
+    rows = spark.range(100).select(F.when(F.col("id") % 2 == 0, F.col("id") % 3).alias("k"), "id")
+    placed = with_position(rows, ["k"], ["id"], limit=20)
+    plain = with_position(rows, ["k"], ["id"])
+    assert placed.count() == 100 and placed.select("k", "id", "pos").exceptAll(plain.select("k", "id", "pos")).count() == 0
+    ordinary, hot = split_hot(rows, ["k"], 20)
+    assert (ordinary.count(), hot.count()) == (50, 50) and hot.filter("k IS NOT NULL").count() == 0
 
 
 def test_conversations_without_messages_stay(spark, tmp_path):
