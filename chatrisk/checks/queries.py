@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -15,7 +16,7 @@ from chatrisk.functions.catalog import DEFAULT, Catalog
 from chatrisk.operators import (
     classifier, contacts, conversations, datasets, evaluation, messages, records, reports, trainer,
 )
-from chatrisk.plans.checkpoints import scratch_path
+from chatrisk.plans.checkpoints import checkpointed, scratch_path
 from chatrisk.plans.session import tune
 from chatrisk.plans.spread import spread_small
 from chatrisk.sources import corpus, sinks
@@ -75,6 +76,16 @@ def scored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- messages, joins, labels ------------------------------------------------
 
+FULL_WIDTH = ("".join(map(chr, range(0x21, 0x7F))), "".join(chr(c + 0xFEE0) for c in range(0x21, 0x7F)))
+
+
+@query("SELECT doc_id, md5(nfc_normalize(text)) AS composed FROM documents")
+def full_width_documents(spark, sf_dir):
+    """Texts whose ASCII signs were written in full width: the compatible composed form brings them back."""
+    wide = F.translate("text", *FULL_WIDTH)
+    return views.read_table(spark, sf_dir, "documents").select("doc_id", F.md5(text.nfkc(wide)).alias("composed"))
+
+
 @query(o.sql(o.CHAT, "SELECT conv_id, conv_idx, author, text_raw FROM msg"))
 def messages_indexed(spark, sf_dir):
     rows = views.conversation_rows(views.read_table(spark, sf_dir, "events"))
@@ -805,12 +816,8 @@ def token_sequences(spark, sf_dir):
 
 @query(o.sql(o.CHAT, "SELECT CAST(conv_id AS VARCHAR) AS conv_id, conv_idx, author, trim(text_raw) AS text_raw FROM msg"))
 def xml_messages(spark, sf_dir):
-    path = scratch_path(spark, "corpus-xml")
-    rows = views.conversation_messages(spark, sf_dir)
-    elements = rows.groupBy(F.col("conv_id").alias("_id")).agg(
-        F.array_sort(F.collect_list(F.struct("conv_idx", "author", F.col("text_raw").alias("text")))).alias("message"))
-    elements.write.format("xml").option("rowTag", "conversation").option("rootTag", "conversations").save(path)
-    return corpus.read_messages(spark, path)
+    rows = views.conversation_messages(spark, sf_dir).withColumn("id", F.col("conv_id").cast("string"))
+    return corpus.read_messages(spark, written_xml(rows.withColumnRenamed("conv_id", "conv"), scratch_path(spark, "corpus-xml")))
 
 
 def written_xml(rows: DataFrame, path: str) -> str:
@@ -829,9 +836,8 @@ def written_xml(rows: DataFrame, path: str) -> str:
         F.when(last, "</conversation>").otherwise(""))
 
     def rooted(batches):
-        yield pa.RecordBatch.from_arrays([pa.array(["<conversations>"])], names=["value"])
-        yield from batches
-        yield pa.RecordBatch.from_arrays([pa.array(["</conversations>"])], names=["value"])
+        columns = itertools.chain([pa.array(["<conversations>"])], (b.column("value") for b in batches), [pa.array(["</conversations>"])])
+        yield from (pa.RecordBatch.from_arrays([column], names=["value"]) for column in columns)
 
     lines = rows.select("conv", "conv_idx", line.alias("value")).repartition("conv").sortWithinPartitions("conv", "conv_idx")
     lines.select("value").mapInArrow(rooted, "value STRING").write.text(path)
@@ -915,7 +921,9 @@ FROM live LEFT JOIN (SELECT conv_id, conv_idx, string_agg('[' || category || ':'
              || CASE WHEN arc THEN '  ARC' ELSE '' END || CASE WHEN dominance THEN '  DOM' ELSE '' END FROM rk) GROUP BY 1"""))
 def readable_sink(spark, sf_dir):
     path = scratch_path(spark, "readable")
-    sinks.write_readable(reports.ranked_report(records.parse_records(dataset(spark, sf_dir))), path)
+    rows = checkpointed(dataset(spark, sf_dir), "dataset")
+    ranked = reports.ranked_report(records.slim_records(rows))
+    sinks.write_readable_lines(reports.readable_lines(ranked, records.parsed_parts(rows)), path)
     return spark.read.text(path).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -96,6 +96,12 @@ def parse_records(dataset: DataFrame) -> DataFrame:
     return _counted(_joined_parts(parsed) if "n_parts" in dataset.columns else parsed)
 
 
+def parsed_parts(dataset: DataFrame) -> DataFrame:
+    """(conversation_id, part, messages): every part's own messages, not joined to one row."""
+    parted = dataset if "part" in dataset.columns else dataset.withColumn("part", F.lit(0))
+    return with_messages(parted).select("conversation_id", "part", "messages")
+
+
 def slim_records(dataset: DataFrame) -> DataFrame:
     """One row of metadata per conversation, without its messages.
 

@@ -60,26 +60,41 @@ def categories_by_count() -> Column:
     return F.transform(F.array_sort(placed), lambda e: F.struct(e["category"].alias("category"), (-e["n"]).alias("n")))
 
 
-def readable_text(index: str = "idx") -> Column:
-    """A conversation as lines of text."""
+def _head(index: str) -> list[Column]:
+    """The lines in front of a conversation's messages; null where one does not apply."""
     mark = lambda column, text: F.when(F.col(column), F.lit(text)).otherwise(F.lit(""))
     head = F.concat(
         F.lit("#"), F.col(index), F.lit("  ["), F.col("label_str"), F.lit("]  RISK:"), F.col("risk_level"),
         mark("escalation", "  ESC"), mark("arc", "  ARC"), mark("dominance", "  DOM"))
     counts = F.array_join(F.transform(categories_by_count(), lambda e: F.concat(e["category"], F.lit(":"), e["n"])), "  ")
+    return [
+        F.lit("=" * LINE), head, F.concat(F.lit("id="), F.col("conversation_id")),
+        F.when(F.size("categories") > 0, F.concat(F.lit("cats="), F.array_join("categories", ", "))),
+        F.when(F.size("cat_counts") > 0, F.concat(F.lit("rules="), counts)), F.lit("-" * LINE)]
 
-    def line(message: Column) -> Column:
-        tags = F.array_join(F.transform(message["rules"], lambda r: F.concat(
-            F.lit("["), r["category"], F.lit(":"), r["severity"], F.lit("]"))), " ")
-        return F.concat(
-            F.lit("["), message["role"], F.lit("]"), F.when(tags == "", "").otherwise(F.concat(F.lit("  "), tags)),
-            F.lit("  "), message["text"])
 
-    return F.concat_ws(
-        "\n", F.lit("=" * LINE), head, F.concat(F.lit("id="), F.col("conversation_id")),
-        F.when(F.size("categories") > 0, F.concat(F.lit("cats="), F.array_join("categories", ", "))),
-        F.when(F.size("cat_counts") > 0, F.concat(F.lit("rules="), counts)),
-        F.lit("-" * LINE), F.transform("messages", line), F.lit(""))
+def _message_line(message: Column) -> Column:
+    tags = F.array_join(F.transform(message["rules"], lambda r: F.concat(
+        F.lit("["), r["category"], F.lit(":"), r["severity"], F.lit("]"))), " ")
+    return F.concat(
+        F.lit("["), message["role"], F.lit("]"), F.when(tags == "", "").otherwise(F.concat(F.lit("  "), tags)),
+        F.lit("  "), message["text"])
+
+
+def readable_lines(ranked: DataFrame, parts: DataFrame) -> DataFrame:
+    """(idx, part, at, value): the lines of `readable_text`, in the order of the first three, for conversations of any
+    size. `ranked` holds records without messages and their place, `parts` (conversation_id, part, messages)."""
+    first, last = F.lit(-1), F.lit((1 << 31) - 1)
+    head = ranked.select("idx", first.alias("part"), F.posexplode(F.array_compact(F.array(*_head("idx")))).alias("at", "value"))
+    tail = ranked.select("idx", last.alias("part"), F.lit(0).alias("at"), F.lit("").alias("value"))
+    placed = lookup_join(parts, ranked.select("conversation_id", "idx"), ["conversation_id"], "inner")
+    body = placed.select("idx", "part", F.posexplode(F.transform("messages", _message_line)).alias("at", "value"))
+    return head.unionByName(body).unionByName(tail)
+
+
+def readable_text(index: str = "idx") -> Column:
+    """A conversation as lines of text, in one row."""
+    return F.concat_ws("\n", *_head(index), F.transform("messages", _message_line), F.lit(""))
 
 
 def level_counts(records: DataFrame) -> DataFrame:

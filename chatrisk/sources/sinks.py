@@ -51,6 +51,11 @@ def write_readable(report: DataFrame, path: str) -> None:
     report.orderBy("idx").select(readable_text().alias("value")).write.mode("overwrite").text(path)
 
 
+def write_readable_lines(lines: DataFrame, path: str) -> None:
+    """The lines of `readable_lines` as text, in order over the part files; a conversation may span several."""
+    lines.orderBy("idx", "part", "at").select("value").write.mode("overwrite").text(path)
+
+
 def write_metrics(metrics: DataFrame, path: str) -> None:
     """One JSON row; the table has one row by construction."""
     metrics.coalesce(1).write.mode("overwrite").json(path)

@@ -137,3 +137,13 @@ def test_records_do_not_depend_on_the_piece_length(spark, chat, tmp_path):
             reports.ranked_report(parsed).select("idx", "conversation_id", "risk_level", "messages"))])
     assert made.count() > 9 and all(len(rows) == 9 for rows in outs[0])
     assert outs[0] == outs[1]
+
+
+def test_lines_of_parts_equal_the_whole_text(chat):
+    """The report by lines, from parts that are never joined, is the report by rows."""
+    whole = datasets.dataset_columns(datasets.annotated_texts(chat))
+    rows = reports.ranked_report(records.parse_records(whole)).orderBy("idx").select(reports.readable_text().alias("t")).collect()
+    parts = datasets.dataset_columns(datasets.annotated_texts(chat, piece_rows=32))
+    lines = reports.readable_lines(reports.ranked_report(records.slim_records(parts)), records.parsed_parts(parts))
+    found = [r.value for r in lines.orderBy("idx", "part", "at").collect()]
+    assert found == [line for r in rows for line in r.t.split("\n")]
