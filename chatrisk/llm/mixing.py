@@ -1,8 +1,9 @@
 """Mixing sources to target weights by Pareto order sampling, with DataFrame operations only.
 
-Each source has a target number of words. A document's expected copies are its source's target over its
-source's size, times its own weight if one is given. The whole part is certain; the rest is an inclusion
-probability p, and documents are ranked by (u / (1 - u)) / (p / (1 - p)) with u a hash of the seed and the
+Each source has a target number of words. A document's expected copies are its own weight times a level that
+is the same for its source, and never more than the most copies allowed: what the heaviest documents cannot
+take goes to the others, so that the expected words meet the target. Weights are to have few distinct values
+(bands); without them all documents weigh the same. The whole part is certain; the rest is an inclusion probability p, and documents are ranked by (u / (1 - u)) / (p / (1 - p)) with u a hash of the seed and the
 document's id. The documents first in rank are taken until the source's remaining words are used up, so the
 sample has a fixed size (in words) with unequal probabilities.
 
@@ -70,7 +71,8 @@ def mixed(
 ) -> DataFrame:
     """`docs` with size, source_size, target, copies and taken (words, repeats counted).
 
-    `weight` multiplies a document's expected copies, `size` replaces the count of its words.
+    `weight` (above 0, few distinct values; null: 1) is a document's share of copies next to others of its source,
+    `size` replaces the count of its words.
     """
     new = ["size", "source_size", "target", "copies", "taken"]
     own = [c for c in docs.columns if c not in new]
@@ -81,16 +83,15 @@ def mixed(
         F.coalesce("source", F.lit("")).alias("_source"), F.col("source").isNull().alias("_none"),
     )
     key = ["_source", "_none"]
-    sizes = sized.groupBy(*key).agg(
-        F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("_own")).alias("_mass")
-    )
+    classes = checkpointed(sized.groupBy(*key, "_own").agg(F.sum("size").alias("_size")), "mix-classes")
+    sizes = classes.groupBy(*key).agg(F.sum("_size").alias("source_size"))
     named = checkpointed(sizes.withColumn("source", F.when(~F.col("_none"), F.col("_source"))), "mix-sizes")
     targets = with_targets(named, weights, most)
     share = (
         named.join(targets.drop("source_size"), named["source"].eqNullSafe(targets["source"]))
-        .select(*key, "source_size", "_mass", "target")
+        .select(*key, "source_size", "target")
     )
-    share = checkpointed(share, "mix-targets")
+    share = checkpointed(share.join(_levels(classes.join(share, key), key, most), key), "mix-targets")
     ranked = _ranked(lookup_join(sized, share, key, "inner"), most, buckets)
 
     # Words left per source after the certain copies, and the bucket of ranks in which they run out.
@@ -131,9 +132,20 @@ def mixed(
     )
 
 
+def _levels(classes: DataFrame, key: list[str], most: int) -> DataFrame:
+    """Copies per weight for every source, from its sizes by weight: the heaviest classes that reach `most` copies are
+    full, and the level is the largest that any number of full ones leaves to the rest."""
+    mass = F.col("_own") * F.col("_size")
+    before = Window.partitionBy(*key).orderBy(F.desc("_own")).rowsBetween(Window.unboundedPreceding, -1)
+    left = F.col("target") - F.lit(float(most)) * F.coalesce(F.sum("_size").over(before), F.lit(0))
+    rest = F.sum(mass).over(Window.partitionBy(*key)) - F.coalesce(F.sum(mass).over(before), F.lit(0.0))
+    found = classes.withColumn("_level", F.when(rest > 0, left / F.nullif(rest, F.lit(0.0))))
+    return found.groupBy(*key).agg(F.max("_level").alias("_level"))
+
+
 def _ranked(joined: DataFrame, most: int, buckets: int) -> DataFrame:
     """Certain copies (_whole), rank (_odds) and its bucket; no rank where nothing is left to chance."""
-    expected = F.when(F.col("_mass") > 0, F.col("target") / F.col("_mass") * F.col("_own")).otherwise(F.lit(0.0))
+    expected = F.coalesce(F.col("_level") * F.col("_own"), F.lit(0.0))
     chance = F.col("_p") > 0
     return (
         joined.withColumn("_expected", F.least(expected, F.lit(float(most))))

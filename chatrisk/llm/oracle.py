@@ -54,10 +54,16 @@ r AS (SELECT *, CAST([5, 2, 1][(row_number() OVER (ORDER BY source ASC NULLS LAS
 l AS (SELECT *, CAST((sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0)) AS DOUBLE) / (sum(wt) OVER () - coalesce(sum(wt) OVER b, 0)) AS level
     FROM r WINDOW b AS (ORDER BY cap / wt, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (SELECT source, source_size, least(CAST(cap AS DOUBLE), max(level) OVER () * wt) AS target FROM l),
-e AS (SELECT d.doc_id, d.source, size, source_size, target,
+w AS (SELECT *, CASE WHEN size >= 50 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS own FROM d),
+c AS (SELECT source, own, sum(size) AS words FROM w GROUP BY source, own),
+v AS (SELECT source, max(level) AS level FROM (SELECT c.source, CASE WHEN sum(own * words) OVER a - coalesce(sum(own * words) OVER b, 0) > 0
+    THEN (target - 3.0::DOUBLE * coalesce(sum(words) OVER b, 0)) / nullif(sum(own * words) OVER a - coalesce(sum(own * words) OVER b, 0), 0) END AS level
+    FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source
+    WINDOW a AS (PARTITION BY c.source), b AS (PARTITION BY c.source ORDER BY own DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) GROUP BY source),
+e AS (SELECT w.doc_id, w.source, size, source_size, target,
     (CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0::DOUBLE AS u,
-    CASE WHEN source_size > 0 THEN least(target / source_size, 3) ELSE 0 END AS expected
-    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+    least(coalesce(level * own, 0), 3) AS expected
+    FROM w JOIN t ON w.source IS NOT DISTINCT FROM t.source JOIN v ON w.source IS NOT DISTINCT FROM v.source),
 p AS (SELECT *, floor(expected) AS whole, expected - floor(expected) AS p FROM e),
 q AS (SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS odds FROM p),
 left_over AS (SELECT source, any_value(target) - sum(size * whole) AS words FROM q GROUP BY source),

@@ -86,7 +86,9 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(o.MIXING)
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.text_words().alias("words"))
-    return mixing.mixed(checkpointed(docs, "mix-words"), size=F.col("words")).select(
+    # A document of 50 words or more counts for two shorter ones.
+    band = F.when(F.col("words") >= 50, 2.0).otherwise(1.0)
+    return mixing.mixed(checkpointed(docs, "mix-words"), size=F.col("words"), weight=band).select(
         "doc_id", "size", "source_size", "target", "taken"
     )
 
