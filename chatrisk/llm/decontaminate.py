@@ -142,8 +142,9 @@ def with_digest(found: DataFrame) -> DataFrame:
     """n_hit, n_items, items_sha256 and contaminated from the spans and items."""
     hit = F.aggregate("hit_spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
     ids = F.array_join(F.array_sort(F.transform("hit_items", lambda i: i.cast("string"))), ",")
+    new = ("n_hit", "n_items", "items_sha256", "contaminated")
     return found.select(
-        "*", hit.alias("n_hit"), F.size("hit_items").cast("bigint").alias("n_items"),
+        *[c for c in found.columns if c not in new], hit.alias("n_hit"), F.size("hit_items").cast("bigint").alias("n_items"),
         F.sha2(ids, 256).alias("items_sha256"), (F.size("hit_spans") > 0).alias("contaminated"),
     )
 

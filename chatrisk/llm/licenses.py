@@ -173,8 +173,9 @@ def with_digest(found: DataFrame) -> DataFrame:
     base = F.filter("matches", lambda m: m["phrase"] == 1)
     starts = F.transform(base, lambda m: m["start"].cast("bigint"))
     names = lambda array: F.array_join(F.sort_array(F.array_distinct(F.transform(array, lambda m: m["label"]))), ",")
+    new = ("matches", "score", "n_base", "first_word", "last_word", "base_labels", "labels")
     return found.select(
-        *[c for c in found.columns if c not in ("matches", "score")], F.size(base).cast("bigint").alias("n_base"),
+        *[c for c in found.columns if c not in new], F.size(base).cast("bigint").alias("n_base"),
         F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
         names(base).alias("base_labels"), names(F.col("matches")).alias("labels"), "score",
     )

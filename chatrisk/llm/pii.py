@@ -232,7 +232,7 @@ def with_digest(chosen: DataFrame) -> DataFrame:
     """n_email, n_ip, n_card, n_phone and base_sha256 of the base spans, and all spans as text."""
     count = lambda i: F.size(F.filter("base", lambda s: s["rank"] == i)).cast("bigint")
     counts = {f"n_{k}": count(i) for i, k in enumerate(KINDS)}
-    names = [c for c in chosen.columns if c not in ("base", "spans")]
+    names = [c for c in chosen.columns if c not in ("base", "spans", "base_sha256", *counts)]
     return chosen.select(
         *names, *[v.alias(n) for n, v in counts.items()], F.sha2(listed("base"), 256).alias("base_sha256"),
         listed("spans").alias("spans"),

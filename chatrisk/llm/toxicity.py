@@ -254,8 +254,11 @@ def calibrated(sums: DataFrame) -> list[float]:
 
 
 def scored(docs: DataFrame, labels: DataFrame, is_held: Callable[[Column], Column]) -> DataFrame:
-    """doc_id, held_out, top, total, score and predicted of every text; `is_held` marks ids not learned from."""
-    own = labels.filter(F.col("toxic").isNotNull() & ~is_held(F.col("doc_id"))).groupBy("doc_id").agg(
+    """doc_id, held_out, top, total, score and predicted of every text; `is_held` marks ids not learned from.
+
+    Labels are 0 and 1; others, null ones too, teach nothing. Of several labels of an id 1 counts before 0.
+    """
+    own = labels.filter(F.col("toxic").isin(0, 1) & ~is_held(F.col("doc_id"))).groupBy("doc_id").agg(
         F.max("toxic").cast("int").alias("toxic")
     )
     known = checked_join(docs.select("doc_id", "text"), checkpointed(own, "labels"), ["doc_id"], "inner")
