@@ -239,6 +239,13 @@ def rule_spans(spark, sf_dir):
     return spans.select("conv_id", "conv_idx", "rule_id", "text", "start", "end")
 
 
+@query(o.sql(o.CHAT_HITS, """SELECT conv_id, conv_idx, rule_id, text, pattern FROM live JOIN text_hits h USING (norm) JOIN rules USING (rule_id)"""))
+def hit_patterns(spark, sf_dir):
+    rows = text.normalise(views.conversation_messages(spark, sf_dir))
+    hits = rules.explode_hits(rules.with_matches(rows, "norm"), "conv_id", "conv_idx")
+    return rules.with_patterns(hits, DEFAULT.to_df(spark)).select("conv_id", "conv_idx", "rule_id", "text", "pattern")
+
+
 @query(o.sql([*o.CHAT_HITS, *o.scored_ctes("flagged")],
              """SELECT conv_id, conv_idx, CAST(count(h.rule_id) AS INTEGER) AS n_hits, CAST(coalesce(max(severity), 0) AS INTEGER) AS max_severity,
              coalesce(bool_or(severity = 3), false) AS critical, coalesce(string_agg(DISTINCT category, ',' ORDER BY category), '') AS categories

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from chatrisk.functions.catalog import DEFAULT, MASK_BITS, Catalog
 from chatrisk.functions.scoring import word_name
 from chatrisk.functions.sqltext import name, quote
+from chatrisk.plans.joins import lookup_join
 
 REGEX_FLAGS = "(?iU)"  # ignore case, Unicode classes and folding
 # Characters that match an ASCII letter when case is ignored but do not lower-case to it alone.
@@ -156,6 +157,11 @@ def with_summary(df: DataFrame, catalog: Catalog = DEFAULT, matches: str = "matc
     })
 
 
+def with_patterns(hits: DataFrame, rules: DataFrame) -> DataFrame:
+    """Hits (a row each) with the pattern of their rule; `rules` is a catalog's table, one row per rule."""
+    return lookup_join(hits, rules.select("rule_id", "pattern"), ["rule_id"])
+
+
 def explode_hits(df: DataFrame, *keys: str, matches: str = "matches") -> DataFrame:
     """One row per hit, numbered per rule within its message."""
     # The outer form keeps Spark from testing the list, and so matching, a second time below.

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from chatrisk import config
 from chatrisk.operators.evaluation import calibrate, metrics, with_class_weight
+from chatrisk.plans.checkpoints import checkpointed
 from chatrisk.plans.workers import once_per_worker
 
 HASH_SPACE = 1 << 20
@@ -24,21 +25,26 @@ def fit_classifier(
     strengths=(0.01, 0.1), features: int = 1 << 16, max_iter: int = 20,
 ) -> tuple[PipelineModel, float, float]:
     """Logistic regression on hashed words, positives weighted up; the regularisation with the best
-    F2 on validation wins. Returns (model, threshold, f2). The model is linear, not a transformer."""
+    F2 on validation wins. Returns (model, threshold, f2). The model is linear, not a transformer.
+
+    Words and their document frequencies are found once and written; every strength is fitted to that table.
+    """
     weighted = with_class_weight(train, scale).withColumn("label", F.col("label").cast("double"))
     best: tuple[PipelineModel | None, float, float] = (None, 0.5, -1.0)
-    words = [
+    words = Pipeline(stages=[
         RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"\s+"),
         HashingTF(inputCol="_words", outputCol="_tf", numFeatures=features),
         IDF(inputCol="_tf", outputCol="_features"),
-    ]
+    ]).fit(weighted)
+    featured = checkpointed(words.transform(weighted).select("_features", "label", "weight"), "features")
+    held = checkpointed(words.transform(validation).drop("_words", "_tf"), "held-features")
     for strength in strengths:
         regression = LogisticRegression(
             featuresCol="_features", labelCol="label", weightCol="weight", regParam=strength, maxIter=max_iter)
-        model = Pipeline(stages=[*words, regression]).fit(weighted)
-        found = calibrate(score(model, validation)).first()
+        fitted = regression.fit(featured)
+        found = calibrate(score(PipelineModel(stages=[fitted]), held)).first()
         if found["f2"] > best[2]:
-            best = (model, found["threshold"], found["f2"])
+            best = (PipelineModel(stages=[*words.stages, fitted]), found["threshold"], found["f2"])
     return best
 
 

@@ -100,7 +100,7 @@ def read_records(spark: SparkSession, path: str, *, lines: bool = False) -> Data
 
 def read_feed(
     spark: SparkSession, path: str, files_per_batch: int = FILES_PER_BATCH, fmt: str = "parquet", *,
-    redelivered: bool = False, within: str | None = None,
+    redelivered: bool = False, within: str | None = None, schema: str = FEED_SCHEMA,
 ) -> DataFrame:
     """Stream of contact messages from a folder; `files_per_batch` bounds a micro-batch.
 
@@ -108,7 +108,7 @@ def read_feed(
     the first one counts. Their ids are kept for good, or, with `within`, as long as a message comes no later than that
     after the newest one; rows older still are late and do not count.
     """
-    feed = spark.readStream.schema(FEED_SCHEMA).format(fmt).option("maxFilesPerTrigger", files_per_batch).load(path)
+    feed = spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", files_per_batch).load(path)
     if not redelivered:
         return feed
     if within is None:

@@ -33,12 +33,12 @@ def state_schema(catalog: Catalog) -> str:
     return ", ".join(["ext BOOLEAN, sev INT, prob DOUBLE", *(f"{c} BIGINT" for c in scoring.word_names("mask", catalog))])
 
 
-def window_schema(catalog: Catalog) -> str:
-    """A message, and its window as arrays with an element per message."""
+def window_schema(catalog: Catalog, ids: dict[str, str]) -> str:
+    """A message, and its window as arrays with an element per message; `ids` are the types of its ids."""
     masks = [*(f"{c} BIGINT" for c in scoring.word_names("cat_mask", catalog)),
              "w_ext ARRAY<BOOLEAN>, w_sev ARRAY<INT>, w_prob ARRAY<DOUBLE>",
              *(f"{c} ARRAY<BIGINT>" for c in scoring.word_names("w_mask", catalog))]
-    return ("contact_id BIGINT, ts TIMESTAMP, msg_id BIGINT, sender STRING, text STRING, ml_prob DOUBLE, "
+    return (f"contact_id {ids['contact_id']}, ts TIMESTAMP, msg_id {ids['msg_id']}, sender STRING, text STRING, ml_prob DOUBLE, "
             f"matches_json STRING, max_severity INT, {', '.join(masks)}")
 
 
@@ -88,8 +88,10 @@ class LastMessages(StatefulProcessor):
 
 
 def prepare_session(spark: SparkSession) -> None:
-    """Stateful processors need the RocksDB state store."""
+    """Stateful processors need the RocksDB state store. Expired state is left out when it is next read, so batches
+    without data have nothing to do; with them a run over what is there would never end."""
     spark.conf.set(STATE_STORE, ROCKSDB)
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
 
 
 def annotate_stream(feed: DataFrame, catalog: Catalog = DEFAULT, *, normalised: bool = False) -> DataFrame:
@@ -101,7 +103,7 @@ def stream_windows(
     feed: DataFrame, params: WindowParams = WindowParams(), catalog: Catalog = DEFAULT, *,
     normalised: bool = False, expires_ms: int | None = None,
 ) -> DataFrame:
-    """Every message with its window figures and score.
+    """Every message with its window figures and score. Ids of contacts and messages may be of any type that sorts.
 
     With `expires_ms` the window of a contact that is silent for so long, by the clock, is forgotten.
     """
@@ -109,7 +111,7 @@ def stream_windows(
         "contact_id", "ts", "msg_id", "sender", "text", "ml_prob",
         F.to_json("matches").alias("matches_json"), "max_severity", *scoring.word_names("cat_mask", catalog), "reset")
     windows = annotated.groupBy("contact_id").transformWithStateInPandas(
-        statefulProcessor=LastMessages(params.size, catalog, expires_ms), outputStructType=window_schema(catalog),
+        statefulProcessor=LastMessages(params.size, catalog, expires_ms), outputStructType=window_schema(catalog, dict(annotated.dtypes)),
         outputMode="Append", timeMode="ProcessingTime" if expires_ms else "None")
     return score_windows(windows, params, catalog).withColumn("matches", F.from_json("matches_json", MATCHES)).drop("matches_json")
 

@@ -10,6 +10,15 @@ from chatrisk.sources import corpus, sinks
 from chatrisk.streaming import alerts as streams
 
 
+@pytest.fixture(scope="module", autouse=True)
+def few_partitions(spark):
+    """Each partition has a state of its own to open and commit in every micro-batch."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 @pytest.fixture(scope="module")
 def feed_files(spark, sf_dir, tmp_path_factory):
     """The contact messages in time order, several files."""
@@ -105,3 +114,17 @@ def test_a_silent_contact_is_forgotten(spark, tmp_path, expires, length):
         sinks.write_alerts(scored, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
         time.sleep(1)
     assert {r.msg_id: r.window_len for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {0: 1, 1: length}
+
+
+def test_ids_of_other_types(spark, feed_files, tmp_path):
+    """Contacts and messages named by text give the windows that numbers give."""
+    _, rows = feed_files
+    streams.prepare_session(spark)
+    named = rows.withColumns({"contact_id": F.concat(F.lit("c-"), "contact_id"), "msg_id": F.format_string("%08d", "msg_id")})
+    named.select([f.split()[0] for f in corpus.FEED_SCHEMA.split(", ")]).coalesce(1).write.parquet(str(tmp_path / "in"))
+    schema = corpus.FEED_SCHEMA.replace("contact_id BIGINT", "contact_id STRING").replace("msg_id BIGINT", "msg_id STRING")
+    scored = streams.stream_windows(corpus.read_feed(spark, str(tmp_path / "in"), schema=schema)).select("contact_id", "msg_id", "score")
+    sinks.write_alerts(scored, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    batch = contacts.with_window(messages.annotate_contacts(named), ["contact_id"], ["ts", "msg_id"]).select("contact_id", "msg_id", "score")
+    found = spark.read.parquet(str(tmp_path / "out"))
+    assert found.count() == batch.count() and found.exceptAll(batch).count() == 0
