@@ -40,6 +40,8 @@ CHUNK_DOCS = 65_536
 #: A worker forgets its segments when there are more than this, or more characters of digests.
 MEMO_SEGMENTS = 1 << 18
 MEMO_CHARS = 64_000_000
+#: Segments encoded as one line.
+LINE = 128
 #: A larger group is linked by its distinct ids and their numbers instead of token by token.
 GROUP_LINKS = 256
 
@@ -123,18 +125,15 @@ class Tokenizers:
         a = self.a.encode_batch([f" {s}" for s in segments], add_special_tokens=False)
         return _flat([e.ids for e in a]), _flat(self.b.encode(segments, num_threads=1))
 
-    def encoded_in_line(self, segments: list[str], wholes: list[bytes]):
-        """The same for segments that neither begin nor end with white space, in one call for each side: cut again at
-        the segments, the ids of a line of them are those of each. None if bytes are not given back as they are."""
-        line, ends = " ".join(segments), np.cumsum(np.fromiter(map(len, wholes), np.int64, len(wholes)))
-        whole, sides = b"".join(wholes), []
-        for ids, spelt, sizes in (
-            (self.a.encode(f" {line}", add_special_tokens=False).ids, self.a_bytes, self.a_sizes),
-            (self.b.encode(line), self.b_bytes, self.b_sizes),
-        ):
-            if b"".join(map(spelt.__getitem__, ids)) != whole:
+    def encoded_in_lines(self, segments: list[str], wholes: list[bytes]):
+        """The same for segments that neither begin nor end with white space, a line of them at a time: cut again at
+        the segments, the ids of a line are those of each. None if bytes are not given back as they are."""
+        lines = [" ".join(segments[at : at + LINE]) for at in range(0, len(segments), LINE)]
+        whole, ends = b"".join(wholes), np.cumsum(np.fromiter(map(len, wholes), np.int64, len(wholes)))
+        sides = []
+        for (ids, _), spelt, sizes in zip(self.encoded(lines), (self.a_bytes, self.b_bytes), (self.a_sizes, self.b_sizes)):
+            if b"".join(map(spelt.__getitem__, ids.tolist())) != whole:
                 return None
-            ids = np.array(ids, np.int64)
             reach = np.cumsum(sizes[ids])
             last = np.searchsorted(reach, ends)
             if not np.array_equal(reach[last], ends):
@@ -232,7 +231,7 @@ class Segments:
     def _add(self, new: list[str]) -> None:
         c = self.coders
         plain = [s for s in new if s and not (s[0].isspace() or s[-1].isspace())] if c.cuts else []
-        sides = c.encoded_in_line(plain, [f" {s}".encode() for s in plain]) if plain and _encodable(plain) else None
+        sides = c.encoded_in_lines(plain, [f" {s}".encode() for s in plain]) if plain and _encodable(plain) else None
         if sides:
             self._keep(plain, np.ones(len(plain), bool), *sides)
             known = set(plain)
