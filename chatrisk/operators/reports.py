@@ -149,7 +149,7 @@ def severity_histogram(records: DataFrame, max_edges: int = 20) -> DataFrame:
     last possible edge are counted as one, which leaves at most `max_edges` + 1 rows per label.
     """
     values = records.groupBy("label", F.least("sev3_hits", F.lit(max_edges)).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    highest = records.select(F.max(F.least("sev3_hits", F.lit(max_edges)))).scalar()
+    highest = values.select(F.max("v")).scalar()
     edge = F.least(F.greatest(highest, F.lit(1)) + 1, F.lit(max_edges - 1))
     binned = values.withColumn("_edge", edge).withColumn("_out", F.col("v") > F.col("_edge"))
     binned = binned.groupBy("label", F.least(F.col("v"), F.col("_edge") - 1).alias("bin"), "_edge").agg(
@@ -160,7 +160,7 @@ def severity_histogram(records: DataFrame, max_edges: int = 20) -> DataFrame:
 def hits_histogram(records: DataFrame, max_edges: int = 40) -> DataFrame:
     """Conversations per label and equal-width bin of the total hits over [0, highest + 1]."""
     values = records.groupBy("label", F.col("total_rule_hits").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    highest = F.greatest(records.select(F.max("total_rule_hits")).scalar(), F.lit(1))
+    highest = F.greatest(values.select(F.max("v")).scalar(), F.lit(1))
     shaped = values.withColumn("_end", highest + 1).withColumn("_bins", F.least(F.col("_end") + 1, F.lit(max_edges)) - 1)
     bucket = F.least(F.floor(F.col("v") * F.col("_bins") / F.col("_end")), F.col("_bins") - 1).cast("int")
     binned = shaped.groupBy("label", bucket.alias("bin"), "_bins", (F.col("_end") / F.col("_bins")).alias("width")).agg(F.sum("n").alias("n"))
