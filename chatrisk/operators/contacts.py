@@ -44,6 +44,7 @@ class PackedCounts:
         self.categories = catalog.categories
         self.catalog = catalog
         self.words = -(-len(self.categories) // self.per_word)
+        self.names = [f"_packed{w}" for w in range(self.words)]
 
     def contribution(self, mask: str, word: int) -> str:
         """What one message adds to a word."""

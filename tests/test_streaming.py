@@ -1,10 +1,14 @@
+import re
 import shutil
 import time
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from chatrisk import views
+from chatrisk.functions.catalog import DEFAULT
 from chatrisk.operators import contacts, messages
 from chatrisk.sources import corpus, sinks
 from chatrisk.streaming import alerts as streams
@@ -128,3 +132,60 @@ def test_ids_of_other_types(spark, feed_files, tmp_path):
     batch = contacts.with_window(messages.annotate_contacts(named), ["contact_id"], ["ts", "msg_id"]).select("contact_id", "msg_id", "score")
     found = spark.read.parquet(str(tmp_path / "out"))
     assert found.count() == batch.count() and found.exceptAll(batch).count() == 0
+
+
+class KeptWindows:
+    """A map state in memory."""
+
+    def __init__(self):
+        self.kept = {}
+
+    def getMapState(self, name, key, value, ttlDurationMs=None):
+        return self
+
+    def getValue(self, key):
+        return self.kept.get(key)
+
+    def updateValue(self, key, value):
+        self.kept[key] = value
+
+
+@pytest.mark.parametrize("size", [1, 2, 5, 30])
+def test_many_contacts_are_worked_on_in_one_call(monkeypatch, size):
+    """Windows of a bucket's contacts, cut into pieces at any place, over two micro-batches with resets."""
+    monkeypatch.setattr(streams, "EMIT_ROWS", 7)
+    rng, n = np.random.default_rng(size), 160
+    rows = pd.DataFrame({
+        "contact_key": [f"={c}" for c in rng.choice(12, n, p=[0.45, *[0.05] * 11])], "ts": np.arange(n) // 3, "msg_id": np.arange(n),
+        "sender": rng.choice(["external", "child"], n, p=[0.8, 0.2]), "max_severity": rng.integers(0, 4, n),
+        "ml_prob": np.where(rng.random(n) < 0.1, np.nan, rng.random(n)), "cat_mask": rng.integers(0, 1 << len(DEFAULT.categories), n),
+        "reset": rng.random(n) < 0.1})
+    params = contacts.WindowParams(size=size)
+    operator, found = streams.LastMessages(params), []
+    operator.init(KeptWindows())
+    for batch in (rows[:90], rows[90:]):
+        found += operator.handleInputRows((0,), iter([batch.sample(frac=1, random_state=1)]), None)
+    found = pd.concat(found).set_index("msg_id")
+    packed, windows = contacts.PackedCounts(DEFAULT, size), {}
+    assert len(found) == n
+    for row in rows.itertuples():
+        window = [] if row.reset else windows.get(row.contact_key, [])
+        windows[row.contact_key] = window = [*window, row][-size:]
+        external = [m for m in window if m.sender == "external"]
+        at = lambda holds: [k for k, m in enumerate(external, 1) if holds(m)]
+        runs = re.findall("E{3,}", "".join("E" if m.sender == "external" else "c" for m in window))
+        own = found.loc[row.msg_id]
+        assert own[streams.COUNTS].tolist() == [
+            len(window), len(external), len(at(lambda m: m.ml_prob >= params.theta_high)),
+            len(at(lambda m: m.ml_prob >= params.theta_medium or m.max_severity >= 2)), len(runs)]
+        trust, solicit = (DEFAULT.mask(names) for names in (DEFAULT.trust, DEFAULT.solicit))
+        assert own["_trust"] == min(at(lambda m: m.cat_mask & trust), default=size + 1)
+        assert own["_solicit"] == max(at(lambda m: m.cat_mask & solicit), default=0)
+        for k in (1, 2, 3):
+            assert own[f"_first{k}"] == min(at(lambda m: m.max_severity >= k), default=size + 1)
+            assert own[f"_last{k}"] == max(at(lambda m: m.max_severity >= k), default=0)
+        for k, category in enumerate(DEFAULT.categories):
+            word, slot = divmod(k, packed.per_word)
+            count = len(at(lambda m: m.cat_mask >> k & 1))
+            assert own[f"_packed{word}"] >> slot * packed.bits & (1 << packed.bits) - 1 == count
+            assert own["window_mask"] >> k & 1 == (count > 0)
