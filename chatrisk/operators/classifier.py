@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
@@ -18,6 +20,8 @@ from chatrisk.plans.checkpoints import checkpointed
 from chatrisk.plans.workers import once_per_worker
 
 HASH_SPACE = 1 << 20
+#: Bytes of a batch of texts sent to Python; a longer text is a batch of its own.
+BATCH_BYTES = 4 << 20
 
 
 def fit_classifier(
@@ -61,14 +65,21 @@ def score_with(
     """Add prob from any model. `load` returns texts -> probabilities, which gets `size` texts at most.
 
     It runs once per Python worker for a `model_key`, whatever the number of tasks; name the model and its version
-    there. Without a key it runs once per task.
+    there. Without a key it runs once per task. A batch on its way to Python is bounded in rows and bytes. What a model
+    leaves in reference cycles (`Series.str` makes one) is freed after each batch: Python itself waits for a number of
+    objects, whatever the size of their texts.
     """
-    @F.pandas_udf("double")
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    session = df.sparkSession
+    session.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(size))
+    session.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+    @F.arrow_udf("double")
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = once_per_worker(("model", model_key), load) if model_key else load()
         for batch in batches:
-            parts = [model(batch.iloc[at:at + size]).astype("float64") for at in range(0, len(batch), size)]
-            yield pd.concat(parts) if parts else batch.astype("float64")
+            parts = [pa.Array.from_pandas(model(batch.slice(at, size).to_pandas()).astype("float64")) for at in range(0, len(batch), size)]
+            gc.collect(1)
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.float64())
 
     return df.withColumn("prob", predict(F.col(text)))
 
