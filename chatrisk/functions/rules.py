@@ -33,17 +33,22 @@ def word_regex(words) -> str:
     return "|".join(f"{re.escape(letter)}(?:{'|'.join(rest)})" for letter, rest in by_letter.items())
 
 
-def candidate_rules(text: str, catalog: Catalog) -> Column:
-    """Ids of the gated rules that the words of a text leave possible."""
+def lowered(text: str) -> Column:
+    """The text in lower case, in which the words are looked for."""
+    column = name(text)
+    folded = f"translate({column}, {quote(FOLDED[0])}, {quote(FOLDED[1])})"
+    return F.expr(f"lower(CASE WHEN octet_length({column}) = char_length({column}) THEN {column} ELSE {folded} END)")
+
+
+def candidate_rules(low: str, catalog: Catalog) -> Column:
+    """Ids of the gated rules that the words of a lowered text leave possible."""
     rules_of: dict[str, list[int]] = {}
     for i, anchor in enumerate(catalog.anchors):
         for word in anchor or ():
             rules_of.setdefault(word, []).append(i)
     if not rules_of:
         return F.array().cast("array<int>")
-    column, regex = name(text), word_regex(rules_of)
-    folded = f"translate({column}, {quote(FOLDED[0])}, {quote(FOLDED[1])})"
-    low = f"lower(CASE WHEN octet_length({column}) = char_length({column}) THEN {column} ELSE {folded} END)"
+    low, regex = name(low), word_regex(rules_of)
     table = ", ".join(f"{quote(w)}, array({', '.join(map(str, ids))})" for w, ids in rules_of.items())
     # The look-ahead finds a word at every position, overlapping ones included.
     words = f"regexp_extract_all({low}, {quote(f'(?=({regex}))')}, 1)"
@@ -97,9 +102,10 @@ def with_matches(
     """Add `matches`, the hits of every rule on `text`; rows failing `when` get an empty list."""
     allowed = F.lit(True) if when is None else F.coalesce(when, F.lit(False))
     staged = df.withColumn("_text", F.when(allowed, F.coalesce(F.col(text), F.lit(""))).otherwise(F.lit("")))
-    staged = staged.withColumn("_candidates", candidate_rules("_text", catalog))
+    # Lowering costs as much as the pass over the words; as a column of its own it is done once.
+    staged = staged.withColumn("_low", lowered("_text")).withColumn("_candidates", candidate_rules("_low", catalog))
     matches = F.expr(matches_sql("_text", "_candidates", catalog, spans, gate))
-    return staged.withColumn(out, matches).drop("_text", "_candidates")
+    return staged.withColumn(out, matches).drop("_text", "_low", "_candidates")
 
 
 def max_severity(matches: str = "matches") -> Column:

@@ -127,3 +127,11 @@ def test_bad_rule_tables(rows):
 
     with pytest.raises((ValueError, re.error)):
         catalog_table.RuleTable.of(rows)
+
+
+def test_texts_are_lowered_once(spark):
+    """The lowered text is used twice, and computed in one place of the plan."""
+    rows = rules.with_matches(spark.range(3).select(F.format_string("What SCHOOL %d", "id").alias("text")))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 1
+    assert [len(r.matches) for r in rows.collect()] == [len(rules_hit.matches) for rules_hit in rules.with_matches(rows.select("text"), gate=False).collect()]
