@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -121,6 +122,29 @@ def test_a_catalog_as_a_table_equals_the_unrolled_form(spark):
     assert catalog_table.with_table_matches(rows, catalog_table.RuleTable.of([])).filter(F.size("matches") > 0).count() == 0
 
 
+def test_plain_rules_of_a_table_hit_as_in_the_unrolled_form(spark):
+    """Rules that begin alike, overlap, end in nothing or are not plain, on plain and other texts; the session's engine
+    gets only what is not plain."""
+    from chatrisk.functions import catalog_table
+
+    patterns = [rf"\b{w}{rest}" for w in ("you", "ana", "it") for rest in (
+        "", r"\b", r"\b.{3}", r".{1,4}", r"\s+\w{2}\b", r"\b.*", r"\b.*?t", "(r|rs)?", r"\w*\W", r"[a-f ]+", "[^a-c]{2}", "$", r"\D+\d", "?s")]
+    patterns += ["ana", "ana.{2}", "an(a|t)", r"\d+", r"(it|you)\s\w+", "don['\u2019]t", "(?=you).", "(an)+a", "a++n", "[a-z&&[^b]]{3}", r"you(?<=ou)\b", "it\\Z"]
+    catalog = Catalog(tuple((f"c{k % 7}", 1 + k % 3, p) for k, p in enumerate(p for p in patterns if "&&" not in p)))
+    letters = random.Random(7)
+    parts = ["you", "YOU", "ana", "banana", "anana", "it", "its", "yours", " ", "  ", "\t", "don\u2019t", "\u00dcber", "7", "x9", "?", "-", "fab", "\u0416", "_"]
+    odd = ["\n", "\r", "\u0130t", "\u0131t", "\x1c", "\u00a0", "e\u0301", "\u00b2", "\U0001f600", "\u4e2d", "\u2028"]
+    plain = ["".join(letters.choices(parts, k=letters.randint(1, 12))) for _ in range(400)]
+    others = ["".join(letters.choices(parts + 2 * odd, k=12)) for _ in range(200)]
+    texts = spark.createDataFrame(list(enumerate([*plain, *others])), "i INT, text STRING")
+    table = catalog_table.read_catalog(catalog.to_df(spark))
+    found = {r.i: r.matches for r in catalog_table.with_table_matches(texts, table).select("i", "matches").collect()}
+    assert found == {r.i: r.matches for r in rules.with_matches(texts, "text", catalog, gate=False).select("i", "matches").collect()}
+    left = {r["rule_id"] for rest in catalog_table._Automaton(table).found(plain).field("left").to_pylist() for r in rest}
+    assert left and left <= {k for k, (_, _, p) in enumerate(catalog.rules) if p in ("(?=you).", "(an)+a", "a++n", r"you(?<=ou)\b", "it\\Z")}
+    assert not catalog_table._is_plain("[a-z&&[^b]]{3}") and not any(map(catalog_table.PLAIN_TEXT.fullmatch, odd))
+
+
 @pytest.mark.parametrize("rows", [[(1, "a", 4, "x")], [(1, "a", 1, "x*")], [(1, "a", 1, "x"), (1, "b", 1, "y")], [(1, "", 1, "x")], [(1, "a", 1, "(")]])
 def test_bad_rule_tables(rows):
     from chatrisk.functions import catalog_table
