@@ -37,6 +37,8 @@ _RULE = "STRUCT<rule_id: INT, category: STRING, severity: INT, pattern: STRING>"
 #: Rules tried by one pattern, and between two tests of the text's length; texts whose hits are held as Python objects.
 TRIED_AT_ONCE = 64
 GUARDED = 8
+#: With more places of its word in a text, a rule goes through the text alone and skips what its hits cover.
+FEW_PLACES = 4
 HELD_TEXTS = 512
 
 _QUOTES = "\u2018\u2019\u201c\u201d\u2013\u2014\u2026"
@@ -89,7 +91,7 @@ def _parted(pattern: str, word: str) -> tuple[str, str] | None:
     The first part matches in one way only, so the rest can be tried on its own.
     """
     parts = re.fullmatch(rf"((?:\\b|\^)*{re.escape(word)}(?:\\b)*)((?![*+?{{]).*)", pattern, re.IGNORECASE)
-    return parts.groups() if parts and "|" not in pattern else None
+    return parts.groups() if parts and "|" not in pattern and re.fullmatch(r"[\w ']+", word) else None
 
 
 @dataclass(frozen=True)
@@ -213,7 +215,10 @@ class _Automaton:
             for end, entry in self.words.iter(text.lower()):
                 stands.setdefault(id(entry), (entry, []))[1].append(end - entry[0] + 1)
         alone = set(self.always)
-        for (_, _, together, others), starts in stands.values():
+        for (_, places, together, others), starts in stands.values():
+            if len(starts) > FEW_PLACES:
+                alone.update(places)
+                continue
             for rules in together:
                 rules.hits(text, starts, out)
             alone.update(others)

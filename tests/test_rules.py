@@ -129,7 +129,7 @@ def test_plain_rules_of_a_table_hit_as_in_the_unrolled_form(spark):
 
     patterns = [rf"\b{w}{rest}" for w in ("you", "ana", "it") for rest in (
         "", r"\b", r"\b.{3}", r".{1,4}", r"\s+\w{2}\b", r"\b.*", r"\b.*?t", "(r|rs)?", r"\w*\W", r"[a-f ]+", "[^a-c]{2}", "$", r"\D+\d", "?s")]
-    patterns += ["ana", "ana.{2}", "an(a|t)", r"\d+", r"(it|you)\s\w+", "don['\u2019]t", "(?=you).", "(an)+a", "a++n", "[a-z&&[^b]]{3}", r"you(?<=ou)\b", "it\\Z"]
+    patterns += [r"a.a\ba\.a", "ana", "ana.{2}", "an(a|t)", r"\d+", r"(it|you)\s\w+", "don['\u2019]t", "(?=you).", "(an)+a", "a++n", "[a-z&&[^b]]{3}", r"you(?<=ou)\b", "it\\Z"]
     catalog = Catalog(tuple((f"c{k % 7}", 1 + k % 3, p) for k, p in enumerate(p for p in patterns if "&&" not in p)))
     letters = random.Random(7)
     parts = ["you", "YOU", "ana", "banana", "anana", "it", "its", "yours", " ", "  ", "\t", "don\u2019t", "\u00dcber", "7", "x9", "?", "-", "fab", "\u0416", "_"]
@@ -142,6 +142,8 @@ def test_plain_rules_of_a_table_hit_as_in_the_unrolled_form(spark):
     assert found == {r.i: r.matches for r in rules.with_matches(texts, "text", catalog, gate=False).select("i", "matches").collect()}
     left = {r["rule_id"] for rest in catalog_table._Automaton(table).found(plain).field("left").to_pylist() for r in rest}
     assert left and left <= {k for k, (_, _, p) in enumerate(catalog.rules) if p in ("(?=you).", "(an)+a", "a++n", r"you(?<=ou)\b", "it\\Z")}
+    dotted = catalog_table.RuleTable.of([(0, "c", 1, r"a.a\b-?a\.a")])
+    assert catalog_table._Automaton(dotted).found(["axa-a.a"]).field("hits").to_pylist() == [[{"rule_id": 0, "category": "c", "severity": 1, "text": "axa-a.a"}]]
     assert not catalog_table._is_plain("[a-z&&[^b]]{3}") and not any(map(catalog_table.PLAIN_TEXT.fullmatch, odd))
 
 
